@@ -36,4 +36,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = written(_star(_star(now, True), False), "edges")
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return found.union(now.select("v", "v").distinct())

@@ -86,15 +86,22 @@ def find_copies(docs: DataFrame, key: Column | None = None, broadcast_hits: int
     )
 
 
-def drop_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_copies(docs: DataFrame, broadcast_lost: int = BROADCAST_HITS, **options) -> DataFrame:
     """The rows of docs that stay, one for each text, with docs' columns.
 
-    Of rows that repeat the keeper's id and text, one stays.
+    A row is known by its id and its text, so rows with equal or null ids and
+    other texts stay. Of rows that repeat the keeper's id and text, one stays.
     """
-    found = find_copies(docs, **options)
-    lost = found.filter(~F.col("kept")).select("doc_id").distinct()
-    twice = found.filter("kept AND group_size > 1").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    stays = docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
-    repeated = stays.join(twice, stays["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
-    single = stays.join(twice, stays["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti")
-    return single.unionByName(repeated.withColumn("__text", normalised()).dropDuplicates(["doc_id", "__text"]).drop("__text"))
+    found = written(find_copies(docs, **options), "dedup-found")
+    lost = found.filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    twice = found.filter("(kept OR doc_id IS NULL) AND group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    twice = twice.filter("n > 1 OR doc_id IS NULL")
+    marks = lost.select("doc_id", "text_sha256", F.lit(False).alias("one")).union(twice.select("doc_id", "text_sha256", "kept")).distinct()
+    marks = written(marks.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("one").alias("__one")), "dedup-marks")
+    if marks.count() <= broadcast_lost:
+        marks = F.broadcast(marks)
+    rows = docs.withColumn("__text", F.sha2(normalised().cast("binary"), 256))
+    rows = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__sha")), "left")
+    single = rows.filter(F.col("__one").isNull()).select(*docs.columns)
+    repeated = rows.filter("__one").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    return single.unionByName(repeated)

@@ -38,6 +38,8 @@ MAX_BITS = 2
 SEED = 42
 LEAST_SHARED_BYTES = 8 - MAX_BITS
 HOT_POSTING = 256
+#: Up to so many ids (8 bytes each and a little more) of rows to drop are broadcast; more are joined by a shuffle.
+BROADCAST_LOST = 200_000
 #: Sets of four byte positions: two of the four pairs of neighbouring bytes.
 POSITION_SETS = [(a, a + 1, b, b + 1) for a, b in combinations((0, 2, 4, 6), 2)]
 
@@ -127,11 +129,13 @@ def find_near_copies(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT_POS
     return made.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, broadcast_lost: int = BROADCAST_LOST, **options) -> DataFrame:
     """The rows of docs that stay, one of each component: that with the component's id.
 
-    Where a component has null ids only, they stay. Rows that repeat that id all stay.
+    Rows with a null id stay, and so do all rows with the id of a component.
     """
     found = find_near_copies(docs, **options)
-    lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
+    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-lost")
+    if lost.count() <= broadcast_lost:
+        lost = F.broadcast(lost)
+    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
