@@ -20,7 +20,6 @@ import heapq
 import json
 import re
 from collections.abc import Callable
-from functools import cache
 from itertools import pairwise
 
 import pyarrow as pa
@@ -37,7 +36,6 @@ _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-
 _NOT_PLAIN = re.compile("[^\t-\r -~\xc0-\xff]")
 
 
-@cache
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     printable = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -57,8 +55,9 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
-        self.inner = [ids.get(c) for c in byte_symbols()]
-        self.final = [ids.get(c + self.suffix) for c in byte_symbols()]
+        symbols = byte_symbols()
+        self.inner = [ids.get(c) for c in symbols]
+        self.final = [ids.get(c + self.suffix) for c in symbols]
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
