@@ -9,7 +9,8 @@ The work is dealt out in blocks of texts. A block keeps its token sequence as
 numbers of its own vocabulary, and adds its counts up before they travel: one
 entry for each distinct word and pair of a block, dealt to buckets of keys by
 hash. A key's bucket sums the entries of all blocks and answers a block only
-where the sum differs from what the block already holds. So no task or driver
+where the sum differs from what the block already holds: a bit for each of its
+keys, in order, and the sums for those set. So no task or driver
 holds a table of the corpus, and a word in every text costs one entry a block.
 
 Keys are 64-bit hashes (XXH64 of the word, and a mix of two for a pair); at ten
@@ -37,7 +38,7 @@ from .words import crc_fold, mix, split_words, word_hashes
 from .workspace import BATCH_BYTES, BATCH_ROWS, type_of, written
 
 #: Tokens after which a block is closed, and mean entries of a bucket of keys.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
 BUCKET_TOKENS = 4_000_000
 #: Texts whose crc32(id) modulo FOLDS is HELD_OUT are never learned from; of the others, those with DELETED give the weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -47,7 +48,21 @@ EM_ROUNDS = 60
 
 _START, _END = np.uint64(0x5D1B7A9F3C2E4801), np.uint64(0xA6E48560C3D1B7FE)
 COUNTS = "kind int, bucket int, block long, keys binary, train binary, deleted binary"
-ANSWERS = "block long, kind int, keys binary, train binary, deleted binary, distinct long, total long, total_deleted long"
+ANSWERS = "block long, kind int, bucket int, lacks binary, train binary, deleted binary, distinct long, total long, total_deleted long"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed: planes that are all but zero cost nothing."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+
+
+def _from_planes(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate([keys[:1], np.diff(keys)])
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -123,6 +138,10 @@ class Block:
         return self.hashes[order], train[order], deleted[order], order
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     limits = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
     return np.searchsorted(keys, limits)
@@ -139,13 +158,13 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
                     keys, train, deleted, _ = block.counts(kind)
                     cuts = _bucket_cuts(keys, buckets)
                     parts = [np.split(x, cuts) for x in (keys, train.astype(np.uint32), deleted.astype(np.uint32))]
-                    rows = [(kind, b, r["block"], *(x.tobytes() for x in part)) for b, part in enumerate(zip(*parts)) if len(part[0])]
+                    rows = [(kind, b, r["block"], _planes(_gaps(k)), _planes(t), _planes(d)) for b, (k, t, d) in enumerate(zip(*parts)) if len(k)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["kind", "bucket", "block", "keys", "train", "deleted"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         kind = int(frame["kind"].iloc[0])
-        read = lambda c, t: [np.frombuffer(x, dtype=t) for x in frame[c]]
-        keys, train, deleted = read("keys", np.uint64), read("train", np.uint32), read("deleted", np.uint32)
+        keys = [np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64) for x in frame["keys"]]
+        train, deleted = ([_from_planes(x, np.uint32) for x in frame[c]] for c in ("train", "deleted"))
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(every)).astype(np.int64) for x in (train, deleted)]
         out, pos = [], 0
@@ -154,12 +173,12 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
             pos += len(k)
             more = (sums[0][mine] != t) | (sums[1][mine] != d)
             if more.any():
-                of = mine[more]
-                out.append((block, kind, every[of].tobytes(), sums[0][of].astype(np.uint32).tobytes(), sums[1][of].astype(np.uint32).tobytes(), None, None, None))
+                sent = (sums[k][mine[more]].astype(np.uint32) for k in (0, 1))
+                out.append((block, kind, frame["bucket"].iloc[0], zstandard.compress(np.packbits(more).tobytes(), 1), *map(_planes, sent), None, None, None))
         if not kind:
             word = every != _START
-            out.append((None, kind, None, None, None, int((sums[0][word] > 0).sum()), int(sums[0][word].sum()), int(sums[1][word].sum())))
-        return pd.DataFrame(out, columns=["block", "kind", "keys", "train", "deleted", "distinct", "total", "total_deleted"]).astype({c: "Int64" for c in ("block", "distinct", "total", "total_deleted")})
+            out.append((None, kind, None, None, None, None, int((sums[0][word] > 0).sum()), int(sums[0][word].sum()), int(sums[1][word].sum())))
+        return pd.DataFrame(out, columns=_names(ANSWERS)).astype({c: "Int64" for c in ("block", "bucket", "distinct", "total", "total_deleted")})
 
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
     entries = blocks.mapInArrow(emit, COUNTS).repartition(buckets, "kind", "bucket")
@@ -173,13 +192,16 @@ class Totals:
     deleted: int
 
 
-def _full_counts(block: Block, frame: pd.DataFrame, kind: int):
+def _full_counts(block: Block, frame: pd.DataFrame, kind: int, buckets: int):
     """The corpus's counts of a block's keys: its own, with the answers in their place."""
     keys, train, deleted, at = block.counts(kind)
     train, deleted = train.astype(np.int64), deleted.astype(np.int64)
+    cuts = [0, *_bucket_cuts(keys, buckets).tolist(), len(keys)]
     for r in frame[frame["kind"] == kind].itertuples(index=False):
-        where = np.searchsorted(keys, np.frombuffer(r.keys, dtype=np.uint64))
-        train[where], deleted[where] = np.frombuffer(r.train, dtype=np.uint32), np.frombuffer(r.deleted, dtype=np.uint32)
+        start, end = cuts[int(r.bucket)], cuts[int(r.bucket) + 1]
+        lacks = np.unpackbits(np.frombuffer(zstandard.decompress(r.lacks), dtype=np.uint8), count=end - start)
+        where = start + np.flatnonzero(lacks)
+        train[where], deleted[where] = _from_planes(r.train, np.uint32), _from_planes(r.deleted, np.uint32)
     if kind:
         return train[at], deleted[at]
     own = np.empty((2, len(at)), dtype=np.int64)
@@ -229,7 +251,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     kind = type_of(docs, "doc_id")
     blocks = blocks_of(docs)
     tokens = blocks.agg(F.sum(F.length("lengths") / 4 + F.length("sequence"))).first()[0] or 0
-    answers = count(blocks, max(1, ceil(tokens / BUCKET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = max(1, ceil(tokens / BUCKET_TOKENS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    answers = count(blocks, buckets)
     total = answers.filter("block IS NULL").agg(F.sum("total"), F.sum("distinct"), F.sum("total_deleted")).first()
     totals = Totals(*(int(x or 0) for x in total))
 
@@ -237,8 +260,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         made = []
         for r in left.drop_columns(["ids"]).to_pylist():
             block, found = Block(r), right.to_pandas()
-            pair, pair_deleted = _full_counts(block, found, 1)
-            word, word_deleted = _full_counts(block, found, 0)
+            pair, pair_deleted = _full_counts(block, found, 1, buckets)
+            word, word_deleted = _full_counts(block, found, 0, buckets)
             use = block.deleted
             cut = word - word_deleted
             cells = histogram((pair - pair_deleted)[use], cut[block.context[use]], cut[block.token[use]], max(1, totals.tokens - totals.deleted), totals.distinct)
