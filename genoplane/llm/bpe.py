@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The distinct words of a batch are laid out as one row of symbols. An index maps
+The distinct words of a batch (up to ENCODE_BYTES of text) are laid out as one row of symbols. An index maps
 each adjacent pair that the vocabulary can merge to all its positions; the active
 pair of lowest rank is taken, its occurrences are merged from left to right, and
 the lists of the pairs that this makes or breaks are updated. One pass so encodes
@@ -19,16 +19,19 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .workspace import over_texts, type_of
 
-#: Words whose encoding one task remembers at most.
-CACHE_WORDS = 400_000
+#: Words whose encoding one task remembers; when there are more, it begins anew with the next batch.
+CACHE_WORDS = 600_000
+#: Rows and bytes of text that are encoded together.
+ENCODE_ROWS, ENCODE_BYTES = 16_384, 24 << 20
 
 #: Fixed pattern of the vocabulary's pre-tokenizer, for text of ASCII and the letters of Latin-1, lower-cased.
 _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -43,6 +46,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(shifted)) for b in range(256)]
 
 
+#: Marks among symbols: between words, merged into its neighbour, a byte that the vocabulary lacks. And the rank of no merge.
+WALL, GONE, ABSENT, NO_RANK = -1, -2, -3, 1 << 40
+
+
 class Vocabulary:
     """The model of a tokenizer file: symbols, ranks of merges and special tokens."""
 
@@ -56,69 +63,93 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         symbols = byte_symbols()
-        self.inner = [ids.get(c) for c in symbols]
-        self.final = [ids.get(c + self.suffix) for c in symbols]
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.inner = np.array([ids.get(c, ABSENT) for c in symbols], dtype=np.int32)
+        self.final = np.array([ids.get(c + self.suffix, ABSENT) for c in symbols], dtype=np.int32)
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        self.by_rank = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+        first, second, merged = np.array(self.by_rank, dtype=np.int64).reshape(-1, 3).T
+        ranks = np.arange(len(pairs))
+        # Ascending order needs that no merge makes a pair of lower rank than its own, as in any vocabulary learned by merging.
+        lowest = np.full(max(self.tokens, default=0) + 1, NO_RANK)
+        np.minimum.at(lowest, np.concatenate([first, second]), np.concatenate([ranks, ranks]))
+        if (lowest[merged] <= ranks).any():
+            raise ValueError("a merge makes a pair that comes before it")
+        keys = (first << 20) | second
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_ranks = keys[order], ranks[order]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NO_RANK where the vocabulary has no merge; symbols below 0 have none."""
+        key = (left.astype(np.int64) << 20) | right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NO_RANK)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word (bytes), all words at once through one pair occurrence index."""
-        symbols: list[int] = []
-        spans = []
-        for w in words:
-            start = len(symbols)
-            symbols += [x for x in [*[self.inner[b] for b in w[:-1]], *[self.final[b] for b in w[-1:]]] if x is not None]
-            symbols.append(-1)  # no pair reaches over a word's end
-            spans.append((start, len(symbols) - 1))
+        """The ids of each word (bytes), all words at once through one pair occurrence index.
+
+        symbols holds all words in a row, with WALL before, between and after
+        them. occurs maps a rank to arrays of the positions where its pair was seen.
+        """
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        last = np.cumsum(sizes[sizes > 0]) - 1
+        inner = self.inner[raw]
+        inner[last] = self.final[raw[last]]
+        symbols = np.full(len(raw) + len(words) + 1, WALL, dtype=np.int32)
+        symbols[np.arange(len(raw)) + np.repeat(np.arange(1, len(words) + 1), sizes)] = inner
+        symbols = symbols[symbols != ABSENT]
         n = len(symbols)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, occurs, made = self.merges, {}, {}
-        for k, pair in enumerate(pairwise(symbols)):
-            if pair in merges:
-                rank, made_id = merges[pair]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+
+        occurs: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def index(positions: np.ndarray, ranks: np.ndarray) -> None:
+            found = ranks < NO_RANK
+            if not found.any():
+                return
+            positions, ranks = positions[found], ranks[found]
+            order = np.argsort(ranks, kind="stable")
+            positions, ranks = positions[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            starts = [0, *cuts.tolist(), len(ranks)]
+            for s, e in pairwise(starts):
+                rank = int(ranks[s])
                 if rank not in occurs:
                     occurs[rank] = []
-                    made[rank] = (pair, made_id)
-                occurs[rank].append(k)
-        ranks = list(occurs)
-        heapq.heapify(ranks)
-        while ranks:
-            rank = heapq.heappop(ranks)
-            positions = occurs.pop(rank, None)
-            if positions is None:
+                    heapq.heappush(heap, rank)
+                occurs[rank].append(positions[s:e])
+
+        index(np.arange(n - 1), self._ranks(symbols[:-1], symbols[1:]))
+        while heap:
+            rank = heapq.heappop(heap)
+            lists = occurs.pop(rank)
+            a, b, merged = self.by_rank[rank]
+            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+            at = at[symbols[at] == a]
+            right = after[at]
+            hit = symbols[right] == b
+            at, right = at[hit], right[hit]
+            if a == b and len(at) > 1:  # of overlapping pairs in a run, each second one
+                keep, free = np.ones(len(at), dtype=bool), -1
+                for k, (x, y) in enumerate(zip(at.tolist(), right.tolist())):
+                    keep[k] = x != free
+                    free = y if keep[k] else -1
+                at, right = at[keep], right[keep]
+            if not len(at):
                 continue
-            (a, b), merged = made[rank]
-            positions.sort()
-            for done, k in enumerate(positions):
-                if symbols[k] != a:
-                    continue
-                r = right[k]
-                if r >= n or symbols[r] != b:
-                    continue
-                symbols[k], symbols[r] = merged, -2
-                after = right[r]
-                right[k] = after
-                if after < n:
-                    left[after] = k
-                lower = False
-                before = left[k]
-                for at, pair in ((before, (symbols[before], merged)), (k, (merged, symbols[after]))) if before >= 0 else ((k, (merged, symbols[after])),):
-                    if pair in merges:
-                        x, made_id = merges[pair]
-                        if x in occurs:
-                            occurs[x].append(at)
-                        else:
-                            occurs[x] = [at]
-                            made[x] = (pair, made_id)
-                            heapq.heappush(ranks, x)
-                        lower |= x <= rank
-                if lower:  # a pair of lower rank became active: it goes first
-                    occurs[rank] = [*occurs.get(rank, []), *positions[done + 1 :]]
-                    heapq.heappush(ranks, rank)
-                    break
-        return [[x for x in symbols[s:e] if x != -2] for s, e in spans]
+            symbols[at], symbols[right] = merged, GONE
+            beyond = after[right]
+            after[at], before[beyond] = beyond, at
+            ahead = before[at]
+            index(np.concatenate([ahead, at]), self._ranks(np.concatenate([symbols[ahead], symbols[at]]), np.concatenate([symbols[at], symbols[beyond]])))
+        ids = symbols[symbols != GONE]
+        walls = np.flatnonzero(ids == WALL)
+        flat = ids.tolist()
+        return [flat[s + 1 : e] for s, e in pairwise(walls.tolist())]
 
 
 class Encoder:
@@ -133,13 +164,14 @@ class Encoder:
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.splits = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.known: dict[str, object] = {}
-        self.special = {i: render([i]) if render else None for i in self.vocabulary.special.values()}
+        self.known: dict = {}
 
-    def _words(self, text: str) -> list[str | int]:
+    def _words(self, text: str) -> list:
         """Parts of a text: words free of white space, (words,) of byte symbols, or special ids."""
+        if "<|" not in text and not _NOT_PLAIN.search(text):
+            return text.lower().split()
         parts: list = []
-        for part in self.splits.split(text) if "<|" in text else (text,):
+        for part in self.splits.split(text):
             if part in self.vocabulary.special:
                 parts.append(self.vocabulary.special[part])
             elif not _NOT_PLAIN.search(part):
@@ -148,25 +180,34 @@ class Encoder:
                 parts += [(piece,) for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return parts
 
-    def encode(self, texts: list[str | None]) -> list[list]:
-        """For each text the rendered ids of its words."""
-        split = [self._words(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the words of texts that are not known yet, all together."""
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        pieces: dict[bytes, int] = {}
-        made = []
-        for w in new:
-            if isinstance(w, int):
-                known[w] = self.special[w]
-                continue
-            raw = [bytes(map(self.byte_of.__getitem__, w[0]))] if isinstance(w, tuple) else [p.encode() for p in _LATIN_PIECES.findall(w)]
-            made.append((w, [pieces.setdefault(p, len(pieces)) for p in raw]))
-        ids = self.vocabulary.encode_words(list(pieces))
-        for w, at in made:
-            known[w] = self.render(ids[at[0]] if len(at) == 1 else [x for k in at for x in ids[k]])
-        return [[known[w] for w in words] for words in split]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new: set = set()
+        for t in texts:
+            new.update(self._words(t))
+        todo, split = list(new - known.keys()), []
+        for w in todo:
+            if isinstance(w, str):
+                split.append(_LATIN_PIECES.findall(w))
+            else:
+                split.append([] if isinstance(w, int) else [w])
+        pieces = {p: k for k, p in enumerate({p for ps in split for p in ps})}
+        ids = self.vocabulary.encode_words([p.encode() if isinstance(p, str) else bytes(map(self.byte_of.__getitem__, p[0])) for p in pieces])
+        render = self.render
+        for w, ps in zip(todo, split):
+            if len(ps) == 1:
+                known[w] = render(ids[pieces[ps[0]]])
+            else:
+                known[w] = render([x for p in ps for x in ids[pieces[p]]] if ps else [w])
+
+    def encode(self, texts: list[str | None]) -> Iterator[list]:
+        """For each text the rendered ids of its words. Texts are split twice, so that no batch's words are held at once."""
+        self.learn([t for t in texts if t])
+        for t in texts:
+            yield [*map(self.known.__getitem__, self._words(t))] if t else []
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -187,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, ids array<int>, decoded string")
+    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, ids array<int>, decoded string", ENCODE_ROWS, ENCODE_BYTES)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -197,7 +238,6 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         encoder = Encoder(path, None)
         tokens = encoder.vocabulary.tokens
         encoder.render = lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
-        encoder.special = {i: encoder.render([i]) for i in encoder.special}
         sha = hashlib.sha256
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,4 +250,4 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string", ENCODE_ROWS, ENCODE_BYTES)

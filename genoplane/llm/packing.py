@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import ENCODE_BYTES, ENCODE_ROWS, Encoder
 from .workspace import over_texts, type_of, written
 
 CAPACITY = 4096
@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
         return work
 
-    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, piece int, start long, length long, ids_crc32 long")
+    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, piece int, start long, length long, ids_crc32 long", ENCODE_ROWS, ENCODE_BYTES)
 
 
 def best_fit(lengths, items, room: list[tuple[int, int]], bins: list[list[int]], capacity: int) -> None:
