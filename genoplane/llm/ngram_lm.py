@@ -38,7 +38,7 @@ from .words import crc_fold, mix, split_words, word_hashes
 from .workspace import BATCH_BYTES, BATCH_ROWS, type_of, written
 
 #: Tokens after which a block is closed, and mean entries of a bucket of keys.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_TOKENS = 4_000_000
 #: Texts whose crc32(id) modulo FOLDS is HELD_OUT are never learned from; of the others, those with DELETED give the weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
@@ -180,7 +180,7 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
             out.append((None, kind, None, None, None, None, int((sums[0][word] > 0).sum()), int(sums[0][word].sum()), int(sums[1][word].sum())))
         return pd.DataFrame(out, columns=_names(ANSWERS)).astype({c: "Int64" for c in ("block", "bucket", "distinct", "total", "total_deleted")})
 
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a block is large
     entries = blocks.mapInArrow(emit, COUNTS).repartition(buckets, "kind", "bucket")
     return written(entries.groupBy("kind", "bucket").applyInPandas(add, ANSWERS), "answers")
 
