@@ -35,8 +35,15 @@ ENCODE_ROWS, ENCODE_BYTES = 16_384, 24 << 20
 
 #: Fixed pattern of the vocabulary's pre-tokenizer, for text of ASCII and the letters of Latin-1, lower-cased.
 _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
-#: What the plain path does not take: controls, and all beyond ASCII but the letters of Latin-1 (and its two signs).
-_NOT_PLAIN = re.compile("[^\t-\r -~\xc0-\xff]")
+#: What the plain path takes: ASCII without controls, white space, and the letters of Latin-1 (with its two signs).
+_PLAIN = bytes([*range(9, 14), *range(0x20, 0x7F), *range(0xC0, 0x100)])
+
+
+def is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
 
 
 def byte_symbols() -> list[str]:
@@ -85,14 +92,12 @@ class Vocabulary:
         at[at == len(self.pair_keys)] = 0
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], NO_RANK)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word (bytes), all words at once through one pair occurrence index.
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all words (bytes), by one pair occurrence index, and where the walls between them are.
 
         symbols holds all words in a row, with WALL before, between and after
         them. occurs maps a rank to arrays of the positions where its pair was seen.
         """
-        if not words:
-            return []
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         last = np.cumsum(sizes[sizes > 0]) - 1
@@ -147,15 +152,13 @@ class Vocabulary:
             ahead = before[at]
             index(np.concatenate([ahead, at]), self._ranks(np.concatenate([symbols[ahead], symbols[at]]), np.concatenate([symbols[at], symbols[beyond]])))
         ids = symbols[symbols != GONE]
-        walls = np.flatnonzero(ids == WALL)
-        flat = ids.tolist()
-        return [flat[s + 1 : e] for s, e in pairwise(walls.tolist())]
+        return ids, np.flatnonzero(ids == WALL).tolist()
 
 
 class Encoder:
-    """Encodes texts; render turns the ids of a word into what the caller adds up."""
+    """Encodes texts; render turns the ids of a word into what the caller adds up (default: bytes of 32-bit ids)."""
 
-    def __init__(self, path: str, render: Callable[[list[int]], object]):
+    def __init__(self, path: str, render: Callable[[list[int]], object] | None = None):
         from tokenizers import Tokenizer
 
         self.vocabulary, self.render = Vocabulary(path), render
@@ -168,13 +171,13 @@ class Encoder:
 
     def _words(self, text: str) -> list:
         """Parts of a text: words free of white space, (words,) of byte symbols, or special ids."""
-        if "<|" not in text and not _NOT_PLAIN.search(text):
+        if "<|" not in text and is_plain(text):
             return text.lower().split()
         parts: list = []
         for part in self.splits.split(text):
             if part in self.vocabulary.special:
                 parts.append(self.vocabulary.special[part])
-            elif not _NOT_PLAIN.search(part):
+            elif is_plain(part):
                 parts += part.lower().split()
             else:
                 parts += [(piece,) for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
@@ -194,14 +197,23 @@ class Encoder:
                 split.append(_LATIN_PIECES.findall(w))
             else:
                 split.append([] if isinstance(w, int) else [w])
-        pieces = {p: k for k, p in enumerate({p for ps in split for p in ps})}
-        ids = self.vocabulary.encode_words([p.encode() if isinstance(p, str) else bytes(map(self.byte_of.__getitem__, p[0])) for p in pieces])
-        render = self.render
+        pieces = list({p for ps in split for p in ps})
+        ids, walls = self.vocabulary.encode_words([p.encode() if isinstance(p, str) else bytes(map(self.byte_of.__getitem__, p[0])) for p in pieces])
+        if render := self.render:
+            flat, unit = ids.tolist(), 1
+        else:
+            flat, unit, render = ids.astype("<u4").tobytes(), 4, lambda x: x
+        spans = dict(zip(pieces, ((unit * (s + 1), unit * e) for s, e in pairwise(walls))))
         for w, ps in zip(todo, split):
-            if len(ps) == 1:
-                known[w] = render(ids[pieces[ps[0]]])
+            if ps:
+                s, e = spans[ps[0]]
+                own = flat[s:e]
+                for p in ps[1:]:
+                    s, e = spans[p]
+                    own = own + flat[s:e]
+                known[w] = render(own)
             else:
-                known[w] = render([x for p in ps for x in ids[pieces[p]]] if ps else [w])
+                known[w] = render([w] if unit == 1 else w.to_bytes(4, "little"))
 
     def encode(self, texts: list[str | None]) -> Iterator[list]:
         """For each text the rendered ids of its words. Texts are split twice, so that no batch's words are held at once."""
@@ -235,7 +247,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids as text and of the decoded text, made where the ids are."""
 
     def make():
-        encoder = Encoder(path, None)
+        encoder = Encoder(path)
         tokens = encoder.vocabulary.tokens
         encoder.render = lambda ids: (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
         sha = hashlib.sha256

@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def make():
-        encoder = Encoder(path, lambda ids: np.array(ids, dtype="<u4").tobytes())
+        encoder = Encoder(path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, piece, start, length, crc = [], [], [], [], []
