@@ -38,8 +38,8 @@ from .words import crc_fold, mix, split_words, word_hashes
 from .workspace import BATCH_BYTES, BATCH_ROWS, type_of, written
 
 #: Tokens after which a block is closed, and mean entries of a bucket of keys.
-BLOCK_TOKENS = 2_000_000
-BUCKET_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_TOKENS = 2_000_000
 #: Texts whose crc32(id) modulo FOLDS is HELD_OUT are never learned from; of the others, those with DELETED give the weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 #: The weights are learned from a histogram: buckets of context frequency, and ratios of estimates in steps of a power of two.
@@ -69,7 +69,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     """One row for each block: its ids, words per text, hashes of its distinct words, and its token sequence."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES // 4)
 
     def run(batches):
         task, made, held, tokens = TaskContext.get().partitionId(), 0, [], 0
@@ -92,6 +92,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             if tokens >= BLOCK_TOKENS:
                 yield block()
                 made, held, tokens = made + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if held and sum(b.num_rows for b in held):
             yield block()
 
