@@ -1,8 +1,9 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-A text is cut into overlapping windows of a few words. A window that the toxic
-dictionary compresses to fewer bytes than the ordinary one is closer to toxic
-text. The largest differences of a text, and the sum of the positive ones, are
+A text is cut into overlapping windows of a few words. Each is compressed with the
+ordinary dictionary alone and with the toxic one before it: the bytes that the
+toxic dictionary saves are the window's closeness to toxic text, given what
+ordinary text already explains. The largest savings of a text, and their sums, are
 turned into a probability by logistic weights and a threshold calibrated on
 labelled texts that neither dictionary has seen.
 
@@ -43,8 +44,8 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Rows of the training sample in expectation; of these the last part calibrates.
 TRAIN_ROWS, CALIBRATION = 40_000, 0.3
 TOXIC_WORDS, ORDINARY_WINDOWS = 20_000, 20_000
-DICTIONARY_BYTES, LEVEL = 8192, 9
-WORDS, STEP = 3, 2
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8192, 16_384, 12
+WORDS, STEP = 8, 4
 #: Beginnings of words, in bytes, and what marks one as toxic.
 SHORTEST, LONGEST, LEAST_TEXTS, LEAST_Z = 4, 12, 4, 4.5
 TOP = 3
@@ -66,13 +67,13 @@ def windows(raw: bytes) -> list[bytes]:
 
 
 def compressor(dictionary: bytes):
-    kind = zstandard.ZstdCompressionDict(dictionary)
+    kind = zstandard.ZstdCompressionDict(dictionary or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=kind, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
 @dataclass
 class Model:
-    toxic: bytes
+    toxic: bytes  # with the ordinary dictionary behind it
     ordinary: bytes
     weights: np.ndarray  # for the distances, and the bias
     center: np.ndarray
@@ -84,7 +85,7 @@ class Model:
 
 
 def distances(texts: list[str | None], toxic, ordinary, known: dict[bytes, int]) -> np.ndarray:
-    """For each text the largest difference, the mean of the TOP largest, and positive sums in total and a window."""
+    """For each text the largest saving, the mean of the TOP largest, and the sums of savings and of those over two bytes."""
     out = np.zeros((len(texts), 4))
     for k, text in enumerate(texts):
         found = []
@@ -96,8 +97,7 @@ def distances(texts: list[str | None], toxic, ordinary, known: dict[bytes, int])
                     known[w] = d
             found.append(d)
         x = np.sort(np.array(found))[::-1]
-        above = np.maximum(x - 1, 0).sum()
-        out[k] = x[0], x[:TOP].mean(), np.log1p(above), np.log1p(100 * above / len(x))
+        out[k] = x[0], x[:TOP].mean(), np.log1p(100 * np.maximum(x, 0).sum() / len(x)), np.log1p(np.maximum(x - 2, 0).sum())
     return out
 
 
@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     seen = calibrate.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     ones = seen["ones"] or 0
     samples = [b" " + w + b" " for w, n in toxic for _ in range(min(n, 200))]
-    model = Model(_dictionary(samples), _dictionary(ordinary), np.zeros(5), np.zeros(4), np.ones(4))
+    plain_bytes = _dictionary(ordinary, ORDINARY_BYTES)
+    model = Model(_dictionary(samples, TOXIC_BYTES) + plain_bytes, plain_bytes, np.zeros(5), np.zeros(4), np.ones(4))
     if not toxic or not ordinary or ones in (0, seen["n"]):
         model.weights[-1] = np.log((ones + 1) / (seen["n"] - ones + 1))
         return model
@@ -186,12 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     return model
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
+def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; where the samples are too few for the trainer, their own bytes."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=6, steps=4).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=6, steps=4).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+        return b"".join(samples)[-size:]
 
 
 def measured(docs: DataFrame, model: Model) -> DataFrame:
