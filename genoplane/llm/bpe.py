@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -155,6 +156,18 @@ class Vocabulary:
         return ids, np.flatnonzero(ids == WALL).tolist()
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Encodes texts; render turns the ids of a word into what the caller adds up (default: bytes of 32-bit ids)."""
 
@@ -167,7 +180,7 @@ class Encoder:
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self.splits = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")")
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.known: dict = {}
+        self.numbers, self.rendered = _Numbers(), []
 
     def _words(self, text: str) -> list:
         """Parts of a text: words free of white space, (words,) of byte symbols, or special ids."""
@@ -183,20 +196,21 @@ class Encoder:
                 parts += [(piece,) for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return parts
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the words of texts that are not known yet, all together."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new: set = set()
-        for t in texts:
-            new.update(self._words(t))
-        todo, split = list(new - known.keys()), []
-        for w in todo:
-            if isinstance(w, str):
-                split.append(_LATIN_PIECES.findall(w))
-            else:
-                split.append([] if isinstance(w, int) else [w])
+    def encode(self, texts: list[str | None]) -> Iterator[list]:
+        """For each text the rendered ids of its words. New words are encoded together, after all texts are split."""
+        if len(self.numbers) > CACHE_WORDS:
+            self.numbers, self.rendered = _Numbers(), []
+        number = self.numbers.__getitem__
+        rows = [array("i", map(number, self._words(t))) if t else () for t in texts]
+        self._learn()
+        rendered = self.rendered.__getitem__
+        for row in rows:
+            yield [*map(rendered, row)]
+
+    def _learn(self) -> None:
+        """Encodes the words that were numbered last."""
+        todo, self.numbers.new = self.numbers.new, []
+        split = [_LATIN_PIECES.findall(w) if isinstance(w, str) else [] if isinstance(w, int) else [w] for w in todo]
         pieces = list({p for ps in split for p in ps})
         ids, walls = self.vocabulary.encode_words([p.encode() if isinstance(p, str) else bytes(map(self.byte_of.__getitem__, p[0])) for p in pieces])
         if render := self.render:
@@ -204,6 +218,7 @@ class Encoder:
         else:
             flat, unit, render = ids.astype("<u4").tobytes(), 4, lambda x: x
         spans = dict(zip(pieces, ((unit * (s + 1), unit * e) for s, e in pairwise(walls))))
+        add = self.rendered.append
         for w, ps in zip(todo, split):
             if ps:
                 s, e = spans[ps[0]]
@@ -211,15 +226,9 @@ class Encoder:
                 for p in ps[1:]:
                     s, e = spans[p]
                     own = own + flat[s:e]
-                known[w] = render(own)
+                add(render(own))
             else:
-                known[w] = render([w] if unit == 1 else w.to_bytes(4, "little"))
-
-    def encode(self, texts: list[str | None]) -> Iterator[list]:
-        """For each text the rendered ids of its words. Texts are split twice, so that no batch's words are held at once."""
-        self.learn([t for t in texts if t])
-        for t in texts:
-            yield [*map(self.known.__getitem__, self._words(t))] if t else []
+                add(render([w] if unit == 1 else w.to_bytes(4, "little")))
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:

@@ -180,12 +180,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int
     settled = [state.filter("n_bins <= bound")]
     still = state.filter("n_bins > bound").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     for k in range(rounds):
-        if still.isEmpty():
+        open_islands = still.count()
+        if not open_islands:
             break
         # Each island starts with its own elite and with that of the island before it.
         migrant = still.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("bins").alias("migrant"))
         start = still.join(migrant, ["shard", "island"]).withColumn("elites", F.array("bins", "migrant")).withColumn("round", F.lit(k))
-        ready = start.repartition(max(1, shards * islands // 4), "shard", "island")
+        ready = start.repartition(max(1, open_islands // 2), "shard", "island")
         after = written(ready.select("shard", "island", "lengths", "elites", "bound", "round").mapInPandas(island, STATE), "islands")
         least = after.groupBy("shard").agg(F.min("n_bins").alias("least"))
         after = after.join(least, "shard")
