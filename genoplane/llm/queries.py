@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_lm, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from . import bpe, exact_dedup, html_text, ngram_lm, packing, quality_classifier, quality_rules, simhash_dedup, toxicity, url_rules
 from .workspace import read
 
 
@@ -27,6 +27,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,9 +60,11 @@ QUERIES = {f.__name__: f for f in (
         op1_exact_dedup,
         op2_best_fit_packing,
         op3_lm_scoring,
+        op4_url_filter,
         op5_quality_classifier,
         op6_bpe_encoding,
         op7_quality_rules,
+        op8_html_extraction,
         op9_toxicity,
         op10_simhash_near_dedup,
     )}
