@@ -26,4 +26,4 @@ def query(sql: str | None):
 
 
 def load() -> None:
-    from . import browse, filters, grammar, groups, joins, scans  # noqa: F401
+    from . import annotate, browse, filters, grammar, groups, joins, resolve, scans  # noqa: F401
