@@ -51,9 +51,9 @@ COUNTS = "kind int, bucket int, block long, keys binary, train binary, deleted b
 ANSWERS = "block long, kind int, bucket int, lacks binary, train binary, deleted binary, distinct long, total long, total_deleted long"
 
 
-def _planes(values: np.ndarray) -> bytes:
+def _planes(values: np.ndarray, level: int = 1) -> bytes:
     """Numbers by byte planes, compressed: planes that are all but zero cost nothing."""
-    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), level)
 
 
 def _from_planes(blob: bytes, kind) -> np.ndarray:
@@ -79,10 +79,14 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             lengths, index, distinct = split_words(texts, lower=True)
             ids = pa.concat_arrays([b.column(0) for b in held])
             folds = crc_fold(ids.to_pylist(), FOLDS).astype(np.int8)
+            # Frequent words get small numbers, so that the higher bytes are mostly zero.
+            order = np.argsort(-np.bincount(index, minlength=len(distinct)), kind="stable")
+            number = np.empty(len(distinct), dtype=np.int32)
+            number[order] = np.arange(len(distinct), dtype=np.int32)
             row = [
                 pa.array([(task << 32) + made], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                *(pa.array([x], pa.binary()) for x in (lengths.astype(np.int32).tobytes(), folds.tobytes(), word_hashes(distinct).tobytes(), zstandard.compress(index.tobytes(), 1))),
+                *(pa.array([x], pa.binary()) for x in (lengths.astype(np.int32).tobytes(), folds.tobytes(), word_hashes(distinct)[order].tobytes(), _planes(number[index], 3))),
             ]
             return pa.RecordBatch.from_arrays(row, names=["block", "ids", "lengths", "folds", "vocabulary", "sequence"])
 
@@ -113,7 +117,7 @@ class Block:
         self.token = np.full(int(self.size.sum()), end, dtype=np.int32)
         inner = np.ones(len(self.token), dtype=bool)
         inner[ends] = False
-        self.token[inner] = np.frombuffer(zstandard.decompress(row["sequence"]), dtype=np.int32)
+        self.token[inner] = _from_planes(row["sequence"], np.int32)
         self.context = np.empty_like(self.token)
         self.context[1:] = self.token[:-1]
         self.starts = ends - self.size + 1
@@ -266,7 +270,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             use = block.deleted
             cut = word - word_deleted
             cells = histogram((pair - pair_deleted)[use], cut[block.context[use]], cut[block.token[use]], max(1, totals.tokens - totals.deleted), totals.distinct)
-            made.append((zstandard.compress(pair.astype(np.uint32).tobytes(), 1), word.tobytes(), cells.astype(np.int64).to_numpy().tobytes()))
+            made.append((_planes(pair.astype(np.uint32)), word.tobytes(), cells.astype(np.int64).to_numpy().tobytes()))
         for k, name in enumerate(("pairs", "words", "cells")):
             left = left.append_column(name, pa.array([m[k] for m in made], pa.binary()))
         return left
@@ -289,7 +293,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 block = Block(r)
-                pair = np.frombuffer(zstandard.decompress(r["pairs"]), dtype=np.uint32)
+                pair = _from_planes(r["pairs"], np.uint32)
                 word = np.frombuffer(r["words"], dtype=np.int64)
                 own, context = word[block.token], word[block.context]
                 mixed = weights[context_bucket(word)][block.context]
