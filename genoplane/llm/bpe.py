@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from .workspace import over_texts, type_of
 
 #: Words whose encoding one task remembers; when there are more, it begins anew with the next batch.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 #: Rows and bytes of text that are encoded together.
-ENCODE_ROWS, ENCODE_BYTES = 16_384, 24 << 20
+ENCODE_ROWS, ENCODE_BYTES = 16_384, 12 << 20
 
 #: Fixed pattern of the vocabulary's pre-tokenizer, for text of ASCII and the letters of Latin-1, lower-cased.
 _LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -108,7 +108,7 @@ class Vocabulary:
         symbols[np.arange(len(raw)) + np.repeat(np.arange(1, len(words) + 1), sizes)] = inner
         symbols = symbols[symbols != ABSENT]
         n = len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
 
         occurs: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -129,7 +129,7 @@ class Vocabulary:
                     heapq.heappush(heap, rank)
                 occurs[rank].append(positions[s:e])
 
-        index(np.arange(n - 1), self._ranks(symbols[:-1], symbols[1:]))
+        index(np.arange(n - 1, dtype=np.int32), self._ranks(symbols[:-1], symbols[1:]))
         while heap:
             rank = heapq.heappop(heap)
             lists = occurs.pop(rank)
