@@ -45,15 +45,15 @@ def bounded_count(rows: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
 
 def timed_count(rows: DataFrame, cap: int = COUNT_CAP, seconds: float = COUNT_SECONDS) -> int:
     """The count up to cap + 1, or UNKNOWN_COUNT if it takes longer; the jobs of a late count are cancelled."""
-    spark, tag = rows.sparkSession, f"count-{uuid.uuid4().hex}"
+    context, tag = rows.sparkSession.sparkContext, f"count-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         return rows.limit(cap + 1).count()
@@ -63,7 +63,7 @@ def timed_count(rows: DataFrame, cap: int = COUNT_CAP, seconds: float = COUNT_SE
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def count_distinct(columns: list[str]) -> Column:
