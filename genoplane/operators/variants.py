@@ -26,9 +26,14 @@ def _join(rows: DataFrame, table: DataFrame, keys: dict[str, str], values: list[
 
 
 def with_cadd(rows: DataFrame, cadd: DataFrame, how: str = "left") -> DataFrame:
-    """Adds cadd_score; duplicates of a variant in the source count once."""
+    """Adds cadd_score. cadd holds each variant once (see unique_cadd): a dedup here would shuffle the whole table for every query."""
     keys = {"chromosome": "chromosome", "genomic_position": "position", "allele": "reference_allele", "alt_allele": "alt_allele"}
-    return _join(rows, cadd.withColumnRenamed("score", "cadd_score").dropDuplicates([*keys.values()]), keys, ["cadd_score"], how)
+    return _join(rows, cadd.withColumnRenamed("score", "cadd_score"), keys, ["cadd_score"], how)
+
+
+def unique_cadd(cadd: DataFrame) -> DataFrame:
+    """Each variant once, with its highest score: for loading a release, whose source repeats rows."""
+    return cadd.groupBy("chromosome", "position", "reference_allele", "alt_allele").agg(F.max("score").alias("score"))
 
 
 def with_frequency(rows: DataFrame, frequency: DataFrame, how: str = "left") -> DataFrame:
@@ -54,9 +59,10 @@ def popeve_by_accession(popeve: DataFrame, refseq: DataFrame) -> DataFrame:
     return both.groupBy("accession", "position", "wt_aa", "mt_aa").agg(F.min("popeve").alias("popeve"))
 
 
-def with_popeve(rows: DataFrame, popeve: DataFrame, refseq: DataFrame, how: str = "left") -> DataFrame:
+def with_popeve(rows: DataFrame, by_accession: DataFrame, how: str = "left") -> DataFrame:
+    """Adds popeve from the table keyed by accession, written once with a release or derived by the catalog."""
     keys = {"accession": "accession", "protein_position": "position", "protein_seq": "wt_aa", "alt_aa": "mt_aa"}
-    return _join(rows, popeve_by_accession(popeve, refseq), keys, ["popeve"], how)
+    return _join(rows, by_accession, keys, ["popeve"], how)
 
 
 def with_stability(rows: DataFrame, foldx: DataFrame, keep: Column | None = None) -> DataFrame:

@@ -188,7 +188,7 @@ def apply_filters(t: Catalog, rows: DataFrame, r: Request, led: str) -> DataFram
         codes = [schemas.AM_CLASSES[schemas.parse_category(x, schemas.AM_CLASSES)] for x in r.am]
         rows = rows.filter(F.col("am_class").isin(codes)) if codes else rows
     if r.popeve or r.sort == "popeve":
-        rows = var.with_popeve(rows, t["popeve"], t["uniprot_refseq"], how(r.popeve))
+        rows = var.with_popeve(rows, t["popeve_by_accession"], how(r.popeve))
         rows = rows.filter(flt.in_bands(F.col("popeve"), r.popeve, schemas.POPEVE_BANDS)) if r.popeve else rows
     esm = any(x is not None for x in r.esm1b)
     if esm or r.sort == "esm1b":

@@ -37,7 +37,7 @@ def filter_af_bands(t):
 @query(f"""SELECT {_V}, p.popeve FROM {{variants}} v JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {{popeve}} e JOIN {{uniprot_refseq}} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p
  ON p.uniprot_acc = v.accession AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa WHERE p.popeve < -5.056 OR p.popeve >= -4.617""")
 def filter_popeve_bands(t):
-    rows = var.with_popeve(_all(t), t["popeve"], t["uniprot_refseq"], "inner")
+    rows = var.with_popeve(_all(t), t["popeve_by_accession"], "inner")
     return rows.filter(flt.in_bands(F.col("popeve"), ["SEVERE", "UNLIKELY_DELETERIOUS"], schemas.POPEVE_BANDS)).select(*KEY, "popeve")
 
 
@@ -155,5 +155,5 @@ def feature_residue_region(t):
 
 @query("SELECT v.chromosome, v.genomic_position, v.alt_allele, p.popeve, CASE WHEN p.popeve < -5.056 THEN 'SEVERE' WHEN p.popeve < -4.617 THEN 'MODERATELY_DELETERIOUS' WHEN p.popeve IS NOT NULL THEN 'UNLIKELY_DELETERIOUS' END AS class FROM {variants} v JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {popeve} e JOIN {uniprot_refseq} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p ON p.uniprot_acc = v.accession AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa")
 def popeve_class(t):
-    rows = var.with_popeve(_all(t), t["popeve"], t["uniprot_refseq"], "inner")
+    rows = var.with_popeve(_all(t), t["popeve_by_accession"], "inner")
     return rows.select("chromosome", "genomic_position", "alt_allele", "popeve", popeve_class_of(F.col("popeve")).alias("class"))

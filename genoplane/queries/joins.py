@@ -36,7 +36,7 @@ def join_am_left(t):
 
 @query(f"SELECT {_V}, min(p.popeve) AS popeve FROM {{variants}} v LEFT JOIN {{uniprot_refseq}} r ON r.uniprot_acc = v.accession LEFT JOIN {{popeve}} p ON p.refseq_protein = r.refseq_acc AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa GROUP BY ALL")
 def join_popeve_twohop(t):
-    return var.with_popeve(var.expand(t["mapping"]), t["popeve"], t["uniprot_refseq"]).select(*KEY, "popeve")
+    return var.with_popeve(var.expand(t["mapping"]), t["popeve_by_accession"]).select(*KEY, "popeve")
 
 
 @query(f"SELECT {_V}, e.score AS esm_score FROM {{variants}} v LEFT JOIN {{esm}} e ON e.accession = v.accession AND e.position = v.protein_position AND e.mt_aa = v.alt_aa")

@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import fixtures
 
 
+def _popeve_by_accession(t: Catalog) -> DataFrame:
+    from ..operators.variants import popeve_by_accession
+
+    return popeve_by_accession(t["popeve"], t["uniprot_refseq"])
+
+
+#: Tables made from others by operators, where a release has not written them.
+DERIVED = {"popeve_by_accession": _popeve_by_accession}
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, directory: str, tables: dict[str, DataFrame | str] | None = None):
         self.spark, self.directory = spark, directory
@@ -29,6 +39,8 @@ class Catalog:
             return given
         if given is not None:
             return self.spark.read.parquet(given)
+        if name in DERIVED:
+            return DERIVED[name](self)
         if name in fixtures.TABLES:
             text = fixtures.TABLES[name]
             return self.spark.sql(fixtures.spark_text(text), **{n: self[n] for n in fixtures.needs(text)})

@@ -95,6 +95,11 @@ def test_three_alternates_each(t):
     assert rows.filter("allele = alt_allele OR alt_aa IS NULL OR consequence IS NULL").count() == 0
 
 
+def test_repeated_scores_count_once(spark):
+    rows = spark.createDataFrame([("1", 5, "A", "T", 3.0), ("1", 5, "A", "T", 3.0), ("1", 5, "A", "C", 1.0)], "chromosome string, position int, reference_allele string, alt_allele string, score double")
+    assert sorted((r.alt_allele, r.score) for r in var.unique_cadd(rows).collect()) == [("C", 1.0), ("T", 3.0)]
+
+
 def test_strands(spark):
     df = spark.createDataFrame([("T", True), ("T", False), ("C", True)], "b string, r boolean")
     assert [r[0] for r in df.select(codon.rna_base(F.col("b"), F.col("r"))).collect()] == ["A", "U", "G"]
