@@ -202,7 +202,8 @@ def apply_filters(t: Catalog, rows: DataFrame, r: Request, led: str) -> DataFram
         low = F.col("foldx_ddg") < schemas.STABILITY_CUTOFF
         chosen = {x.upper() for x in r.stability}
         rows = var.with_stability(rows, t["foldx"], None if len(chosen) > 1 else ~low if chosen == {"LIKELY_DESTABILISING"} else low)
-    rows = flt.with_feature_groups(rows, t["function_feature"], r.features)
+    if r.features:
+        rows = flt.with_feature_groups(rows, t["function_feature"], r.features)
     if r.disease:
         rows = flt.at_positions(rows, flt.disease_positions(t["population"]))
     if led == "identifiers" or not r.any_feature:

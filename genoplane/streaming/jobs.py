@@ -41,3 +41,10 @@ def run_jobs(spark: SparkSession, inbox: str, ledger: str, checkpoint: str, work
 
     stream = spark.readStream.schema(REQUEST).json(inbox)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expire(ledger: DataFrame, days: int = 30) -> DataFrame:
+    """(job_id, state, changed, batch) rows to append: finished jobs older than so many days, not expired yet."""
+    gone = ledger.filter("state = 'EXPIRED'").select("job_id")
+    old = ledger.filter((F.col("state") == "READY") & (F.col("changed") < F.current_timestamp() - F.make_interval(days=F.lit(days))))
+    return old.join(gone, "job_id", "left_anti").select("job_id", F.lit("EXPIRED").alias("state"), F.current_timestamp().alias("changed"), "batch")
