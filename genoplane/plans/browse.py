@@ -7,6 +7,7 @@ leading set, the smallest that the request names, so that joins start from it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -128,10 +129,16 @@ def by_identifiers(t: Catalog, ids: list[tuple[IdentifierType, str]]) -> DataFra
     return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
 
 
-def feature_positions(t: Catalog, r: Request) -> list[DataFrame]:
-    out = [flt.pocket_positions(t["pocket"])] if r.pocket else []
-    out += [flt.interface_positions(t["interfaces"])] if r.interact else []
-    return out + ([flt.structure_positions(t["structure"])] if r.experimental_model else [])
+def feature_tests(t: Catalog, r: Request) -> list[Callable[[DataFrame], DataFrame]]:
+    """A filter for each structural feature asked for: lists of residues by equality, structures by range."""
+    out = []
+    if r.pocket:
+        out.append(lambda rows: flt.at_positions(rows, flt.pocket_positions(t["pocket"])))
+    if r.interact:
+        out.append(lambda rows: flt.at_positions(rows, flt.interface_positions(t["interfaces"])))
+    if r.experimental_model:
+        out.append(lambda rows: flt.in_structures(rows, t["structure"]))
+    return out
 
 
 def leading(t: Catalog, r: Request) -> tuple[DataFrame, str]:
@@ -144,9 +151,9 @@ def leading(t: Catalog, r: Request) -> tuple[DataFrame, str]:
         if not r.warnings() and any(r.positions):
             rows = rows.filter(F.col("protein_position").between(min(r.positions), max(r.positions)))
         return var.expand(rows), "identifiers"
-    positions = feature_positions(t, r)
-    if positions:
-        return var.expand(flt.at_positions(mapping, reduce(DataFrame.union, positions))), "features"
+    found = [test(mapping) for test in feature_tests(t, r)]
+    if found:
+        return var.expand(found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()), "features"
     if r.known:
         return known_first(t), "known"
     if r.allele_frequency:
@@ -207,8 +214,8 @@ def apply_filters(t: Catalog, rows: DataFrame, r: Request, led: str) -> DataFram
     if r.disease:
         rows = flt.at_positions(rows, flt.disease_positions(t["population"]))
     if led == "identifiers" or not r.any_feature:
-        for positions in feature_positions(t, r):
-            rows = flt.at_positions(rows, positions)
+        for test in feature_tests(t, r):
+            rows = test(rows)
     if r.known and led != "known":
         rows = flt.known_variants(rows, t["mapping_dbsnp_lookup"])
     return rows
