@@ -28,7 +28,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(read(spark, sf_dir, "pages"))
+    return url_rules.judge(read(spark, sf_dir, "pages")).withColumn("mined", F.array_join("mined", " "))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumn("failed_rules", F.array_join("failed_rules", " "))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
