@@ -13,9 +13,9 @@ SAMPLE, DECIDES, RULES_OUT = 100, 75, 25
 
 #: Fixed texts of messages.
 REF_MISMATCH = "User input reference allele (%s) does not match the UniProt sequence (%s) at the genomic location."
-SAME_ALLELES = "Reference and alternate are the same. ProtVar will show all possible alternatives of the reference."
+SAME_ALLELES = "Reference and alternate are the same. The service will show all possible alternatives of the reference."
 ALT_EMPTY = "User input variant allele empty."
-REF_EMPTY = "User input reference and variant allele empty. ProtVar will use the reference allele at the genomic location."
+REF_EMPTY = "User input reference and variant allele empty. The service will use the reference allele at the genomic location."
 
 
 def resolve_alt_bases(inputs: DataFrame) -> DataFrame:
@@ -104,8 +104,8 @@ def protein_messages(position: Column, seq: Column, ref: Column, alt: Column, un
     none_given = ref.isNull() & alt.isNull() & ~unknown
     return F.array_compact(
         F.array(
-            F.when(ref != seq, say("100", "User input reference amino acid (%s) does not match the UniProt sequence (%s) at position %d. ProtVar will use the reference amino acid (%s).", three_letter(ref), three_letter(seq), position, three_letter(seq))),
-            F.when(none_given, say("101", "User input reference amino acid empty. ProtVar will use the reference amino acid at position %d (%s).", position, three_letter(seq))),
+            F.when(ref != seq, say("100", "User input reference amino acid (%s) does not match the UniProt sequence (%s) at position %d. The service will use the reference amino acid (%s).", three_letter(ref), three_letter(seq), position, three_letter(seq))),
+            F.when(none_given, say("101", "User input reference amino acid empty. The service will use the reference amino acid at position %d (%s).", position, three_letter(seq))),
             F.when(~is_snv_pair(seq, alt), say("102", "User input variant amino acid (%s) cannot be caused by an SNV from the reference amino acid (%s), therefore the returned results are position but not variant specific.", three_letter(alt), three_letter(seq))),
             F.when(unknown, say("104", "User input variant amino acid unknown (?), therefore the returned results are position but not variant specific."))
             .when(alt.isNull(), say("103", "User input variant amino acid empty, therefore the returned results are position but not variant specific.")),
