@@ -9,8 +9,8 @@ labelled texts that neither dictionary has seen.
 
 Most of a toxic text is ordinary, and a dictionary of whole toxic texts would say
 little. So the toxic dictionary is trained on the words of toxic texts whose
-beginnings are found in more toxic texts than chance explains (a z-score of log
-odds over document frequencies, counted by Spark); the ordinary dictionary on
+beginnings are found in many more toxic texts than chance explains (log odds of
+document frequencies and their z-score, counted by Spark); the ordinary dictionary on
 windows of ordinary texts.
 
 Training reads a bounded sample of labelled rows, TRAIN_ROWS in expectation, and
@@ -44,10 +44,10 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Rows of the training sample in expectation; of these the last part calibrates.
 TRAIN_ROWS, CALIBRATION = 40_000, 0.3
 TOXIC_WORDS, ORDINARY_WINDOWS = 20_000, 20_000
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 8192, 16_384, 12
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 2048, 16_384, 12
 WORDS, STEP = 8, 4
 #: Beginnings of words, in bytes, and what marks one as toxic.
-SHORTEST, LONGEST, LEAST_TEXTS, LEAST_Z = 4, 12, 4, 4.5
+SHORTEST, LONGEST, LEAST_TEXTS, LEAST_Z, LEAST_ODDS = 4, 12, 4, 4.5, 2.5
 TOP = 3
 
 
@@ -102,15 +102,18 @@ def distances(texts: list[str | None], toxic, ordinary, known: dict[bytes, int])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50):
-    """(weights, center, spread) of a ridge logistic regression by Newton's method."""
+    """(weights, center, spread) of a ridge logistic regression by Newton's method with halved steps."""
     center, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - center) / spread, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + 0.5 * w @ penalty @ w
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (p - y) + penalty @ w)
-        w -= step
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return w, center, spread
@@ -141,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     size = {k: totals.get(k, 0) for k in (0, 1)}
 
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-    z = (odds("toxic", size[1]) - odds("ordinary", size[0])) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
-    marked = _beginnings(learn).filter(F.col("toxic") >= LEAST_TEXTS).withColumn("z", z).filter(F.col("z") > LEAST_Z)
+    more = odds("toxic", size[1]) - odds("ordinary", size[0])
+    z = more / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
+    marked = _beginnings(learn).filter(F.col("toxic") >= LEAST_TEXTS).withColumn("z", z).filter((F.col("z") > LEAST_Z) & (more > LEAST_ODDS))
     starts = {bytes(r["start"]) for r in marked.orderBy(F.desc("z"), "start").limit(TOXIC_WORDS).collect()}
 
     def make():
@@ -177,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     ones = seen["ones"] or 0
     samples = [b" " + w + b" " for w, n in toxic for _ in range(min(n, 200))]
     plain_bytes = _dictionary(ordinary, ORDINARY_BYTES)
-    model = Model(_dictionary(samples, TOXIC_BYTES) + plain_bytes, plain_bytes, np.zeros(5), np.zeros(4), np.ones(4))
+    # Samples as alike as these can leave the trainer without content, so the most frequent words stand behind what it makes.
+    frequent = b"".join(b" " + w + b" " for w, _ in reversed(toxic))[-(TOXIC_BYTES // 2) :]
+    model = Model(_dictionary(samples, TOXIC_BYTES // 2) + frequent + plain_bytes, plain_bytes, np.zeros(5), np.zeros(4), np.ones(4))
     if not toxic or not ordinary or ones in (0, seen["n"]):
         model.weights[-1] = np.log((ones + 1) / (seen["n"] - ones + 1))
         return model
