@@ -8,14 +8,15 @@ turned into a probability by logistic weights and a threshold calibrated on
 labelled texts that neither dictionary has seen.
 
 Most of a toxic text is ordinary, and a dictionary of whole toxic texts would say
-little. So the toxic dictionary is trained on the words of toxic texts whose
+little. So the toxic dictionary is the list of all words of toxic texts whose
 beginnings are found in many more toxic texts than chance explains (log odds of
-document frequencies and their z-score, counted by Spark); the ordinary dictionary on
-windows of ordinary texts.
+document frequencies and their z-score, counted by Spark; texts where the word has
+the same neighbours count once, as near copies do). It is as long as these words,
+and not trained; the ordinary dictionary is trained on windows of ordinary texts.
 
 Training reads a bounded sample of labelled rows, TRAIN_ROWS in expectation, and
 brings at most TOXIC_WORDS distinct words and about ORDINARY_WINDOWS windows
-to the driver; the dictionaries have a fixed size. Scoring reads every whole text,
+to the driver; the ordinary dictionary has a fixed size. Scoring reads every whole text,
 a batch at a time, without a shuffle.
 
 Defined cases. A null or empty text is one empty window. Rows without label or id,
@@ -44,7 +45,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Rows of the training sample in expectation; of these the last part calibrates.
 TRAIN_ROWS, CALIBRATION = 40_000, 0.3
 TOXIC_WORDS, ORDINARY_WINDOWS = 20_000, 20_000
-TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 2048, 16_384, 12
+ORDINARY_BYTES, LEVEL = 16_384, 12
 WORDS, STEP = 8, 4
 #: Beginnings of words, in bytes, and what marks one as toxic.
 SHORTEST, LONGEST, LEAST_TEXTS, LEAST_Z, LEAST_ODDS = 4, 12, 4, 4.5, 2.5
@@ -144,21 +145,32 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     size = {k: totals.get(k, 0) for k in (0, 1)}
 
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-    more = odds("toxic", size[1]) - odds("ordinary", size[0])
-    z = more / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
-    marked = _beginnings(learn).filter(F.col("toxic") >= LEAST_TEXTS).withColumn("z", z).filter((F.col("z") > LEAST_Z) & (more > LEAST_ODDS))
-    starts = {bytes(r["start"]) for r in marked.orderBy(F.desc("z"), "start").limit(TOXIC_WORDS).collect()}
+
+    def beyond_chance(counts: DataFrame) -> DataFrame:
+        more = odds("toxic", size[1]) - odds("ordinary", size[0])
+        z = more / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("ordinary") + 0.5))
+        return counts.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("z", z).filter((F.col("z") > LEAST_Z) & (more > LEAST_ODDS))
+
+    candidates = written(beyond_chance(_beginnings(learn)), "toxic-starts")
+    starts = {bytes(r["start"]) for r in candidates.orderBy(F.desc("z"), "start").limit(TOXIC_WORDS).collect()}
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = Counter()
             for text in batch.column(0).to_pylist():
-                found.update(w for w in padded(text).split() if any(w[:k] in starts for k in range(SHORTEST, min(len(w), LONGEST) + 1)))
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                w = [b"", b"", *padded(text).split(), b"", b""]
+                for k in range(2, len(w) - 2):
+                    found.update((w[k][:n], w[k], b" ".join((*w[k - 2 : k], *w[k + 1 : k + 3]))) for n in range(SHORTEST, min(len(w[k]), LONGEST) + 1) if w[k][:n] in starts)
+            columns = list(zip(*found)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array(list(found.values()), pa.int64())], names=["start", "word", "around", "n"])
 
         return work
 
-    words = over_texts(learn.filter("label = 1"), ["text"], make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Near copies of a text repeat a word among the same two neighbours on each side: these are one piece of evidence.
+    met = written(over_texts(learn.filter("label = 1"), ["text"], make, "start binary, word binary, around binary, n long"), "toxic-words")
+    places = met.groupBy("start").agg(F.count_distinct("around").alias("places"))
+    sure = beyond_chance(candidates.drop("z").join(places, "start").withColumn("toxic", F.least("toxic", "places")))
+    words = met.join(sure.select("start"), "start", "left_semi").groupBy("start", "word").agg(F.sum("n").alias("n")).groupBy("word").agg(F.max("n").alias("n"))
     toxic = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(TOXIC_WORDS).collect()]
     per_text = max(1, -(-ORDINARY_WINDOWS // max(1, size[0])))
 
@@ -179,11 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
 
     seen = calibrate.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     ones = seen["ones"] or 0
-    samples = [b" " + w + b" " for w, n in toxic for _ in range(min(n, 200))]
     plain_bytes = _dictionary(ordinary, ORDINARY_BYTES)
-    # Samples as alike as these can leave the trainer without content, so the most frequent words stand behind what it makes.
-    frequent = b"".join(b" " + w + b" " for w, _ in reversed(toxic))[-(TOXIC_BYTES // 2) :]
-    model = Model(_dictionary(samples, TOXIC_BYTES // 2) + frequent + plain_bytes, plain_bytes, np.zeros(5), np.zeros(4), np.ones(4))
+    # Every marked word, the most frequent at the end, where the distances are short. The trainer would keep a few of them only.
+    marked_words = b" ".join([b"", *(w for w, _ in reversed(toxic)), b""]) if toxic else b""
+    model = Model(marked_words + plain_bytes, plain_bytes, np.zeros(5), np.zeros(4), np.ones(4))
     if not toxic or not ordinary or ones in (0, seen["n"]):
         model.weights[-1] = np.log((ones + 1) / (seen["n"] - ones + 1))
         return model

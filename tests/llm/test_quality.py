@@ -146,3 +146,19 @@ def test_windows_cover_every_word():
         seen = b" ".join(toxicity.windows(toxicity.padded(" ".join(words)))).split()
         assert set(seen) == {w.encode() for w in words}
     assert np.allclose(toxicity.distances([None], bytes, bytes, {}), 0)
+
+
+def test_toxic_dictionary_holds_every_marked_word(spark):
+    rng = random.Random(8)
+    plain = lambda n: " ".join(rng.choice(["talo", "rene", "miku", "sopa", "tavi", "relo"]) for _ in range(n))
+    rare = lambda: "zqxv" + "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    texts = [(f"{plain(9)} {rare()} {plain(6)} {rare()} {plain(9)}", 1) for _ in range(400)]
+    texts += [(f"{plain(3)} miku talo quibblefrotz rene sopa {plain(3)}", 1) for _ in range(250)]  # near copies: one place
+    texts += [(plain(rng.randrange(12, 30)), 0) for _ in range(2000)]
+    rows = [(k, t, "en") for k, (t, _) in enumerate(texts)]
+    model = toxicity.train(docs_of(spark, rows), labels_of(spark, [(k, 1, y) for k, (_, y) in enumerate(texts)]))
+    held = set(model.toxic[: -len(model.ordinary)].split())
+    assert sum(w.startswith(b"zqxv") for w in held) > 300 and b"quibblefrotz" not in held
+    toxic, ordinary = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    saved = toxicity.distances([f"talo {w.decode()} rene miku" for w in sorted(held)], toxic, ordinary, {})[:, 0]
+    assert (saved >= 3).all()
