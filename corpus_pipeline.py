@@ -19,22 +19,26 @@ from genoplane.llm.workspace import read, written
 BROADCAST_IDS = 500_000
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __key, a digest of all that a verdict rests on: text and language."""
+    return docs.withColumn("__key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("lang").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary"), 256)))
+
+
 def without(docs: DataFrame, judged: DataFrame, keeps: F.Column) -> DataFrame:
-    """The rows of docs that the judgement keeps. Rows are judged by their own text: equal ids with several verdicts are kept if one keeps them."""
-    verdicts = judged.groupBy("doc_id").agg(F.max(keeps).alias("keep")).filter(~F.col("keep"))
-    lost = written(verdicts.select(F.col("doc_id").alias("__id")), "lost")
+    """The rows of docs that the judgement keeps. Rows are judged by their own text: verdicts are known by id and __key, so rows with null or equal ids have verdicts of their own."""
+    lost = written(judged.filter(~keeps).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__lost")).distinct(), "lost")
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    return keyed(docs).join(lost, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__lost")), "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_classifier.classify(docs, read(spark, sf_dir, "labels"))
+    judged = quality_classifier.classify(keyed(docs), read(spark, sf_dir, "labels"), carried=["__key"])
     return without(docs, judged, F.col("predicted") == 1)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.apply_rules(docs, read(spark, sf_dir, "labels"))
+    judged = quality_rules.apply_rules(keyed(docs), read(spark, sf_dir, "labels"), carried=["__key"])
     return without(docs, judged, F.col("kept"))
 
 

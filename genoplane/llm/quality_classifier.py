@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     return weights_of(z, n)
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted for each row of docs."""
+def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted and the carried columns for each row of docs."""
+    carried = carried or []
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**BITS numbers
 
     def make():
@@ -153,14 +154,14 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
             counts, grams = features(batch.column(1))
             sums = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=w[grams], minlength=len(counts))
             p = 1.0 / (1.0 + np.exp(-np.clip(bias + SCALE * sums / np.maximum(counts, 1), -35, 35)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *batch.columns[2:]], names=["doc_id", "score", "predicted", *carried])
 
         return work
 
-    return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, score double, predicted int")
+    return over_texts(docs, ["doc_id", "text", *carried], make, f"doc_id {type_of(docs, 'doc_id')}, score double, predicted int" + "".join(f", {c} {type_of(docs, c)}" for c in carried))
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
-    scored = score(docs, train(docs, labels, rows=rows), threshold)
-    return scored.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT).select("doc_id", "held_out", "score", "predicted")
+def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted and the carried columns for each row of docs."""
+    scored = score(docs, train(docs, labels, rows=rows), threshold, carried)
+    return scored.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT).select("doc_id", "held_out", "score", "predicted", *(carried or []))

@@ -93,18 +93,19 @@ def measures_of(texts: pa.Array) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_wordless"]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum and the counts for each row of docs."""
+def measure(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """doc_id, stratum, the counts and the carried columns for each row of docs."""
+    carried = carried or []
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = measures_of(batch.column(2))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[c]) for c in COUNTS)], names=["doc_id", "stratum", *COUNTS])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[c]) for c in COUNTS), *batch.columns[3:]], names=["doc_id", "stratum", *COUNTS, *carried])
 
         return work
 
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")
-    return over_texts(rows, ["doc_id", "stratum", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text", *carried)
+    return over_texts(rows, ["doc_id", "stratum", "text", *carried], make, f"doc_id {type_of(docs, 'doc_id')}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {c} {type_of(docs, c)}" for c in carried))
 
 
 def base_failed() -> F.Column:
@@ -183,11 +184,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, limit:
     return counts.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in GRIDS))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, kept for each row of docs."""
-    measured = written(measure(docs), "measures")
+def apply_rules(docs: DataFrame, labels: DataFrame, carried: list[str] | None = None, **options) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, kept and the carried columns for each row of docs."""
+    measured = written(measure(docs, carried), "measures")
     chosen = written(cutoffs(measured, labels, **options), "cutoffs").select(F.col("stratum"), *[F.col(r).alias(f"max_{r}") for r in GRIDS])
     rows = measured.join(chosen, "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(v > F.col(f"max_{r}"), F.lit(r)) for r, v in rule_values().items()]))
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
-    return rows.select("doc_id", *COUNTS[:5], "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+    return rows.select("doc_id", *COUNTS[:5], "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), *(carried or []))

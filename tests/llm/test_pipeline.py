@@ -82,3 +82,15 @@ def test_strange_rows(spark, keep):
     for _, stage in corpus_pipeline.STAGES:
         now = spark.createDataFrame((made := stage(spark, now, SF)).collect(), made.schema)
     assert now.count() <= keep * 100
+
+
+def test_null_and_equal_ids_are_judged_by_their_own_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    good = "The river runs past the old mill and on to the harbour where several boats wait for the evening tide to turn. "
+    rows = [(i, t, "en", "s", 1) for i in (None, 999_999_001) for t in (good, "x", "a b c d e f g " * 40)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    left = corpus_pipeline.rules_stage(spark, docs, SF)
+    alone = {t: quality_rules.apply_rules(spark.createDataFrame([(1, t, "en", "s", 1)], docs.schema), labels.limit(0)).first().kept for t in (good, "x", "a b c d e f g " * 40)}
+    assert set(alone.values()) == {True, False}
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if alone[r.text])
