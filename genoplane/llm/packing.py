@@ -20,7 +20,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from math import ceil
 
 import numpy as np
@@ -37,6 +37,8 @@ END_ID = 1
 #: Mean number of pieces of a shard.
 SHARD_PIECES = 8192
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3, 3, 12, 6
+#: Least filled bins that a mutation dissolves at most.
+DISSOLVED = 40
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -83,16 +85,85 @@ def first_packing(lengths, capacity: int) -> list[list[int]]:
     return bins
 
 
+def first_fit(lengths, order, capacity: int) -> list[list[int]]:
+    """Items in the given order, each into the tightest bin that it fits among those open: another seed than the decreasing order."""
+    bins: list[list[int]] = []
+    room: list[tuple[int, int]] = []
+    for i in order:
+        k = bisect_left(room, (lengths[i],))
+        free, b = room.pop(k) if k < len(room) else (capacity, len(bins))
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(i)
+        if free > lengths[i]:
+            insort(room, (free - lengths[i], b))
+    return bins
+
+
 def fitness(bins, lengths, capacity: int) -> float:
     """Mean squared fill: higher for fewer bins and for fuller ones among as many."""
     return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def dominate(bins, displaced, lengths, capacity: int, rng) -> list[int]:
+    """Fills bins up: one or two items of a bin for one or two displaced ones that are longer together. Returns what is displaced then.
+
+    Each exchange lowers what is displaced, so the bins that are left to be filled get fewer.
+    """
+    pool = sorted((lengths[i], i) for i in displaced)
+    sizes, ids = [n for n, _ in pool], [i for _, i in pool]
+    frees = [capacity - sum(lengths[i] for i in b) for b in bins]
+    order = [k for k in range(len(bins)) if frees[k] > 0]
+    rng.shuffle(order)
+    for k in order:
+        if not sizes:
+            break
+        bin_, free = bins[k], frees[k]
+        # What fits as it is goes in first.
+        while free and sizes and sizes[0] <= free:
+            at = bisect_right(sizes, free) - 1
+            free -= sizes.pop(at)
+            bin_.append(ids.pop(at))
+        if not free or not sizes:
+            continue
+        held = [lengths[i] for i in bin_]
+        outs = [(held[x], (x,)) for x in range(len(held))]
+        outs += [(held[x] + held[y], (x, y)) for x in range(len(held)) for y in range(x)][:45]
+        gain, swap = 0, None
+        for out, where in outs:
+            at = bisect_right(sizes, out + free) - 1
+            if at >= 0 and sizes[at] - out > gain:
+                gain, swap = sizes[at] - out, (where, (at,))
+                if gain == free:
+                    break
+        if gain < free and len(sizes) > 1:
+            array = np.array(sizes)
+            for out, where in outs:
+                other = np.searchsorted(array, out + free - array, side="right") - 1
+                sums = np.where((other >= 0) & (other < np.arange(len(array))), array + array[other], 0)
+                at = int(sums.argmax())
+                if sums[at] - out > gain:
+                    gain, swap = int(sums[at]) - out, (where, (at, int(other[at])))
+                    if gain == free:
+                        break
+        if swap:
+            where, taken = swap
+            coming = [ids[at] for at in taken]
+            for at in sorted(taken, reverse=True):
+                sizes.pop(at), ids.pop(at)
+            for x in sorted(where, reverse=True):
+                i = bin_.pop(x)
+                at = bisect_left(sizes, lengths[i])
+                sizes.insert(at, lengths[i]), ids.insert(at, i)
+            bin_ += coming
+    return ids
+
+
 def crossover(into, giver, lengths, capacity: int, rng) -> list[list[int]]:
     """Injects whole well-filled bins of giver; bins of into that share a document with them are dissolved."""
     fills = np.array([sum(lengths[i] for i in b) for b in giver])
     best = np.argsort(-fills, kind="stable")[: max(1, len(giver) // 2)]
-    chosen = [giver[k] for k in rng.choice(best, size=max(1, len(best) // 2), replace=False)]
+    chosen = [giver[k] for k in rng.choice(best, size=max(1, int(len(best) * rng.uniform(0.1, 0.9))), replace=False)]
     taken = {i for b in chosen for i in b}
     child = [list(b) for b in chosen]
     displaced = []
@@ -101,29 +172,55 @@ def crossover(into, giver, lengths, capacity: int, rng) -> list[list[int]]:
             child.append(list(b))
         else:
             displaced += [i for i in b if i not in taken]
-    return repack(child, displaced, lengths, capacity)
+    return repack(child, displaced, lengths, capacity, rng)
 
 
 def mutate(bins, lengths, capacity: int, rng) -> list[list[int]]:
-    """Dissolves a few of the least filled bins, and as many others, and puts their documents back."""
+    """Dissolves some of the least filled bins and some of all, and puts their documents back."""
     fills = np.array([sum(lengths[i] for i in b) for b in bins])
-    least = np.argsort(fills, kind="stable")[: max(1, len(bins) // 20)]
-    gone = {*map(int, least), *map(int, rng.integers(0, len(bins), size=len(least)))}
-    return repack([list(b) for k, b in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]], lengths, capacity)
+    most = max(2, min(len(bins) // 4, DISSOLVED))
+    least = np.argsort(fills, kind="stable")[: int(rng.integers(1, most))]
+    gone = {*map(int, least), *map(int, rng.integers(0, len(bins), size=int(rng.integers(1, most))))}
+    return repack([list(b) for k, b in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]], lengths, capacity, rng)
 
 
-def repack(bins, displaced, lengths, capacity: int) -> list[list[int]]:
+def repack(bins, displaced, lengths, capacity: int, rng) -> list[list[int]]:
+    """Puts displaced documents back: exchanges that fill bins up, then best fit."""
+    displaced = dominate(bins, displaced, lengths, capacity, rng)
     room = sorted((free, k) for k, b in enumerate(bins) if (free := capacity - sum(lengths[i] for i in b)) > 0)
     best_fit(lengths, displaced, room, bins, capacity)
     return bins
 
 
+def least_bins(lengths, capacity: int) -> int:
+    """A number of bins that no packing goes below: by the sum, and with the items over a half, which share no bin, kept apart.
+
+    For each k up to a half: items over capacity - k stand alone, the other items over a half take one bin each, and items
+    from k on that do not fit beside these take the rest.
+    """
+    sizes = np.sort(np.asarray(lengths, dtype=np.int64))
+    if not len(sizes):
+        return 0
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    cut = lambda x, side: np.searchsorted(sizes, x, side=side)
+    ks = np.unique(np.concatenate([[1], sizes[sizes <= capacity // 2]]))
+    over, alone, small = cut(capacity // 2, "right"), cut(capacity - ks, "right"), cut(ks, "left")
+    beside = len(sizes) - np.minimum(alone, len(sizes)), np.maximum(alone - over, 0)
+    more = before[over] - before[np.minimum(small, over)] - (beside[1] * capacity - (before[np.maximum(alone, over)] - before[over]))
+    return int((beside[0] + beside[1] + np.maximum(0, -(-more // capacity))).max())
+
+
 def evolve(lengths, elites, capacity: int, bound: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """The best packing of an island after so many generations; stops at the bound."""
+    """The best packing of an island after so many generations; stops at the bound.
+
+    Beside the elites an island starts with packings of its own: items in random order, and mutants.
+    """
     rng = np.random.default_rng(seed)
     score = lambda b: (-len(b), fitness(b, lengths, capacity))
     alive = [*elites]
-    while len(alive) < population:
+    if len(alive) < population:
+        alive.append(first_fit(lengths, rng.permutation(len(lengths)).tolist(), capacity))
+    while len(alive) < population and min(map(len, alive)) > bound:
         alive.append(mutate(alive[int(rng.integers(0, len(alive)))], lengths, capacity, rng))
     for _ in range(generations):
         alive.sort(key=score, reverse=True)
