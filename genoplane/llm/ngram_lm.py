@@ -1,9 +1,12 @@
 """Deleted interpolation: bigram, unigram and uniform estimates, mixed by buckets of context frequency.
 
-Training texts give counts. One fold of them is deleted in turn: its tokens,
-held against the counts without it, give the mixture weights of each bucket by
-expectation-maximisation. A bucket holds contexts seen about as often (powers of
-two; none for a context never seen).
+Training texts give counts. One fold of them is deleted: its tokens, held against the
+counts without it, give the mixture weights of each bucket by expectation-maximisation.
+A bucket holds contexts seen about as often (powers of two; none for a context never
+seen). Other folds are not deleted in turn: each would need counts of its own, and the
+weights of one fold, a seventh of the corpus, are those of a few dozen numbers. The
+ratios of estimates that the weights are learned from are rounded to half powers of
+two, so that all of the fold counts and the driver sees a table of fixed size.
 
 The work is dealt out in blocks of texts. A block keeps its token sequence as
 numbers of its own vocabulary, and adds its counts up before they travel: one
@@ -17,8 +20,9 @@ Keys are 64-bit hashes (XXH64 of the word, and a mix of two for a pair); at ten
 million distinct words the chance that any two collide is about 3 in a million.
 
 Defined cases. A null or empty text is the end token alone. A null id counts as
-empty text in the choice of folds. Repeated rows count as often as they come. An
-empty table gives an empty result. Other columns are not read.
+empty text in the choice of folds. Repeated rows count as often as they come, and
+all counts have 64 bits. A very long text is one part of a block. Words of one count
+are numbered in any order, which changes no result. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import crc_fold, mix, split_words, word_hashes
-from .workspace import BATCH_BYTES, BATCH_ROWS, type_of, written
+from .workspace import BATCH_BYTES, BATCH_ROWS, arrow_batches, slices, tidy, type_of, written
 
 #: Tokens after which a block is closed, and mean entries of a bucket of keys.
 BLOCK_TOKENS = 1_000_000
@@ -67,10 +71,6 @@ def _gaps(keys: np.ndarray) -> np.ndarray:
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """One row for each block: its ids, words per text, hashes of its distinct words, and its token sequence."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES // 4)
-
     def run(batches):
         task, made, held, tokens = TaskContext.get().partitionId(), 0, [], 0
 
@@ -90,7 +90,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(row, names=["block", "ids", "lengths", "folds", "vocabulary", "sequence"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, BATCH_ROWS, BATCH_BYTES // 4)):
             held.append(batch)
             tokens += batch.column(1).nbytes // 6
             if tokens >= BLOCK_TOKENS:
@@ -162,14 +162,14 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
                 for kind in (0, 1):
                     keys, train, deleted, _ = block.counts(kind)
                     cuts = _bucket_cuts(keys, buckets)
-                    parts = [np.split(x, cuts) for x in (keys, train.astype(np.uint32), deleted.astype(np.uint32))]
+                    parts = [np.split(x, cuts) for x in (keys, train.astype(np.uint64), deleted.astype(np.uint64))]
                     rows = [(kind, b, r["block"], _planes(_gaps(k)), _planes(t), _planes(d)) for b, (k, t, d) in enumerate(zip(*parts)) if len(k)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])], names=["kind", "bucket", "block", "keys", "train", "deleted"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         kind = int(frame["kind"].iloc[0])
         keys = [np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64) for x in frame["keys"]]
-        train, deleted = ([_from_planes(x, np.uint32) for x in frame[c]] for c in ("train", "deleted"))
+        train, deleted = ([_from_planes(x, np.uint64) for x in frame[c]] for c in ("train", "deleted"))
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(every)).astype(np.int64) for x in (train, deleted)]
         out, pos = [], 0
@@ -178,16 +178,15 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
             pos += len(k)
             more = (sums[0][mine] != t) | (sums[1][mine] != d)
             if more.any():
-                sent = (sums[k][mine[more]].astype(np.uint32) for k in (0, 1))
+                sent = (sums[k][mine[more]].astype(np.uint64) for k in (0, 1))
                 out.append((block, kind, frame["bucket"].iloc[0], zstandard.compress(np.packbits(more).tobytes(), 1), *map(_planes, sent), None, None, None))
         if not kind:
             word = every != _START
             out.append((None, kind, None, None, None, None, int((sums[0][word] > 0).sum()), int(sums[0][word].sum()), int(sums[1][word].sum())))
         return pd.DataFrame(out, columns=_names(ANSWERS)).astype({c: "Int64" for c in ("block", "bucket", "distinct", "total", "total_deleted")})
 
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a block is large
     entries = blocks.mapInArrow(emit, COUNTS).repartition(buckets, "kind", "bucket")
-    return written(entries.groupBy("kind", "bucket").applyInPandas(add, ANSWERS), "answers")
+    return written(entries.groupBy("kind", "bucket").applyInPandas(add, ANSWERS), "answers", 1)  # a block is large
 
 
 @dataclass
@@ -206,7 +205,7 @@ def _full_counts(block: Block, frame: pd.DataFrame, kind: int, buckets: int):
         start, end = cuts[int(r.bucket)], cuts[int(r.bucket) + 1]
         lacks = np.unpackbits(np.frombuffer(zstandard.decompress(r.lacks), dtype=np.uint8), count=end - start)
         where = start + np.flatnonzero(lacks)
-        train[where], deleted[where] = _from_planes(r.train, np.uint32), _from_planes(r.deleted, np.uint32)
+        train[where], deleted[where] = _from_planes(r.train, np.uint64), _from_planes(r.deleted, np.uint64)
     if kind:
         return train[at], deleted[at]
     own = np.empty((2, len(at)), dtype=np.int64)
@@ -251,6 +250,7 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
     return weights
 
 
+@tidy
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     kind = type_of(docs, "doc_id")
@@ -270,14 +270,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
             use = block.deleted
             cut = word - word_deleted
             cells = histogram((pair - pair_deleted)[use], cut[block.context[use]], cut[block.token[use]], max(1, totals.tokens - totals.deleted), totals.distinct)
-            made.append((_planes(pair.astype(np.uint32)), word.tobytes(), cells.astype(np.int64).to_numpy().tobytes()))
+            made.append((_planes(pair.astype(np.uint64)), word.tobytes(), cells.astype(np.int64).to_numpy().tobytes()))
         for k, name in enumerate(("pairs", "words", "cells")):
             left = left.append_column(name, pa.array([m[k] for m in made], pa.binary()))
         return left
 
     schema = f"block long, ids array<{kind}>, lengths binary, folds binary, vocabulary binary, sequence binary, pairs binary, words binary, cells binary"
     joined = blocks.groupBy("block").cogroup(answers.filter("block IS NOT NULL").groupBy("block"))
-    extended = written(joined.applyInArrow(extend, schema), "extended")
+    extended = written(joined.applyInArrow(extend, schema), "extended", 1)
 
     def unfold(frames):
         for frame in frames:
@@ -286,14 +286,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"cell": cells[:, 0], "n": cells[:, 1]})
 
     # At most CONTEXT_BUCKETS x (RATIOS + 1) squared cells, however large the corpus.
-    cells = extended.select("cells").mapInPandas(unfold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    with arrow_batches(docs.sparkSession, 16):
+        cells = extended.select("cells").mapInPandas(unfold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=np.float64))
 
     def score(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 block = Block(r)
-                pair = _from_planes(r["pairs"], np.uint32)
+                pair = _from_planes(r["pairs"], np.uint64).astype(np.int64)
                 word = np.frombuffer(r["words"], dtype=np.int64)
                 own, context = word[block.token], word[block.context]
                 mixed = weights[context_bucket(word)][block.context]
@@ -308,4 +309,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 )
 
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return extended.select("ids", "lengths", "folds", "vocabulary", "sequence", "pairs", "words").mapInArrow(score, out)
+    return written(extended.select("ids", "lengths", "folds", "vocabulary", "sequence", "pairs", "words").mapInArrow(score, out), "scores", 1)

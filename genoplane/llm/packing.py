@@ -3,18 +3,21 @@
 Texts become pieces of at most ``capacity`` tokens; full pieces are sequences of
 their own. The others are dealt over shards of a fixed mean size, so the number
 of shards grows with the pieces and no task holds more than a shard. In a shard
-best-fit decreasing gives a first packing and the bound ceil(sum / capacity) says
-whether it can be improved. Where it can, several islands evolve packings: the
+best-fit decreasing gives a first packing, and a lower bound (by the sum of lengths,
+and by the pieces over half a sequence) says whether it can be improved. Where it can, several islands evolve packings: the
 crossover injects whole well-filled bins of one parent into the other, bins that
-lose a document to them are dissolved, and the displaced documents are put back
-best fit. After each round the elite of an island migrates to the next one. The
+lose a document to them are dissolved, and the displaced documents first change
+places with shorter ones that leave a bin fuller, then are put back best fit. Islands
+start from different packings and have seeds of their own. After each round the elite of an island migrates to the next one. The
 state of an island is one row; Spark runs the islands side by side.
 
-Shards cost at most one sequence each over packing all pieces together.
+A shard that meets its bound costs at most one sequence over packing all pieces
+together; what is above the bounds is in ``n_bins`` and ``bound`` of its state.
 
 Defined cases. A null or empty text is one piece: the end id. A null id, repeated
-rows and repeated ids are packed as any row (a row number tells them apart). An
-empty table gives an empty result; other columns are not read.
+rows and repeated ids are packed as any row (a row number tells them apart). A very
+long text is cut into as many pieces as it needs. Pieces of one length keep the order
+of their rows. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ENCODE_BYTES, ENCODE_ROWS, Encoder
-from .workspace import over_texts, type_of, written
+from .workspace import over_texts, tidy, type_of, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Mean number of pieces of a shard.
 SHARD_PIECES = 8192
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 3, 3, 12, 6
+#: Islands that one Arrow batch holds at most.
+ISLANDS_AT_ONCE = 16
 #: Least filled bins that a mutation dissolves at most.
 DISSOLVED = 40
 
@@ -247,6 +252,7 @@ def _unpack(blob: bytes) -> list[list[int]]:
 STATE = "shard long, island int, lengths binary, bins binary, n_bins long, bound long"
 
 
+@tidy
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
     cut = pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id())
@@ -259,7 +265,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int
         frame = frame.sort_values(["length", "row"], kind="stable")
         lengths = frame["length"].astype(np.int32).to_numpy()
         bins = first_packing(lengths.tolist(), capacity)
-        return pd.DataFrame([(frame["shard"].iloc[0], 0, lengths.tobytes(), _pack(bins, len(lengths)), len(bins), ceil(lengths.sum() / capacity))], columns=_names(STATE))
+        return pd.DataFrame([(frame["shard"].iloc[0], 0, lengths.tobytes(), _pack(bins, len(lengths)), len(bins), least_bins(lengths, capacity))], columns=_names(STATE))
 
     state = written(rest.select("shard", "length", "row").groupBy("shard").applyInPandas(seed, STATE), "islands")
 
@@ -272,8 +278,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int
                 out.append((r.shard, r.island, r.lengths, _pack(best, len(lengths)), len(best), r.bound))
             yield pd.DataFrame(out, columns=_names(STATE))
 
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
     settled = [state.filter("n_bins <= bound")]
     still = state.filter("n_bins > bound").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     for k in range(rounds):
@@ -284,7 +288,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int
         migrant = still.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("bins").alias("migrant"))
         start = still.join(migrant, ["shard", "island"]).withColumn("elites", F.array("bins", "migrant")).withColumn("round", F.lit(k))
         ready = start.repartition(max(1, open_islands // 2), "shard", "island")
-        after = written(ready.select("shard", "island", "lengths", "elites", "bound", "round").mapInPandas(island, STATE), "islands")
+        after = written(ready.select("shard", "island", "lengths", "elites", "bound", "round").mapInPandas(island, STATE), "islands", ISLANDS_AT_ONCE)
         least = after.groupBy("shard").agg(F.min("n_bins").alias("least"))
         after = after.join(least, "shard")
         last = F.lit(k == rounds - 1)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import mix, split_words, word_hashes
-from .workspace import fold, over_texts, type_of, written
+from .workspace import fold, over_texts, tidy, type_of, written
 
 BITS = 18
 #: Rows of the training sample, in expectation.
@@ -161,6 +161,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, ca
     return over_texts(docs, ["doc_id", "text", *carried], make, f"doc_id {type_of(docs, 'doc_id')}, score double, predicted int" + "".join(f", {c} {type_of(docs, c)}" for c in carried))
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, carried: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted and the carried columns for each row of docs."""
     scored = score(docs, train(docs, labels, rows=rows), threshold, carried)

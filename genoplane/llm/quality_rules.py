@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import mix, split_words, word_hashes
-from .workspace import over_texts, type_of, written
+from .workspace import over_texts, tidy, type_of, written
 
 ALPHA, MAX_FALSE_REJECTION = 0.05, 0.02
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -184,6 +184,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, limit:
     return counts.mapInPandas(pick, "stratum string, " + ", ".join(f"{r} double" for r in GRIDS))
 
 
+@tidy
 def apply_rules(docs: DataFrame, labels: DataFrame, carried: list[str] | None = None, **options) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, kept and the carried columns for each row of docs."""
     measured = written(measure(docs, carried), "measures")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .workspace import over_texts, type_of, written
+from .workspace import fresh, over_texts, tidy, type_of, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -116,6 +116,7 @@ def links(prints: DataFrame, hot: int = HOT_POSTING) -> DataFrame:
     return found.union(ties).distinct()
 
 
+@tidy
 def find_near_copies(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT_POSTING) -> DataFrame:
     """doc_id, fp, component_id for each row of docs; component_id is the smallest doc_id reachable."""
     made = written(fingerprints(docs, shingle), "fingerprints")
@@ -135,7 +136,8 @@ def drop_near_copies(docs: DataFrame, broadcast_lost: int = BROADCAST_LOST, **op
     Rows with a null id stay, and so do all rows with the id of a component.
     """
     found = find_near_copies(docs, **options)
-    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "near-lost")
+    (id_,) = fresh(docs, "lost_id")
+    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct(), "near-lost")
     if lost.count() <= broadcast_lost:
         lost = F.broadcast(lost)
-    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.join(lost, docs["doc_id"] == F.col(id_), "left_anti")

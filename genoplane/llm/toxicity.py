@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_classifier import labelled
-from .workspace import fold, over_texts, type_of, written
+from .workspace import fold, over_texts, tidy, type_of, written
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Rows of the training sample in expectation; of these the last part calibrates.
@@ -227,6 +227,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
     return over_texts(docs, ["doc_id", "text"], make, f"doc_id {type_of(docs, 'doc_id')}, d0 double, d1 double, d2 double, d3 double")
 
 
+@tidy
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     model = train(docs, labels, rows=rows)

@@ -5,10 +5,15 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,28 +34,118 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, as in tests, a temporary one in local mode, and an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="genoplane-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: it is computed once, and outlives executors."""
+_open = threading.local()
+
+
+def _tables() -> list[list[str]]:
+    if not hasattr(_open, "tables"):
+        _open.tables = []
+    return _open.tables
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows at most, for the jobs inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, rows)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, **options: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: it is computed once, and outlives executors.
+
+    batch_rows bounds the Arrow batches on the way. Inside a ``tidy`` function the table is deleted at its end.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    if tables := _tables():
+        tables[-1].append(path)
+    with arrow_batches(df.sparkSession, batch_rows):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Writes the function's result and deletes the tables that it wrote on the way.
+
+    The result is one table, so neither settings nor intermediates matter to whoever reads it later.
+    """
+
+    @wraps(function)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        tables = _tables()
+        tables.append([])
+        try:
+            result = function(docs, *args, **options)
+            made, tables[-1] = tables[-1], []
+            result = written(result, function.__name__)
+            kept = tables[-1]
+            tables[-1] = made
+        except BaseException:
+            for path in tables.pop():
+                delete(docs.sparkSession, path)
+            raise
+        for path in tables.pop():
+            delete(docs.sparkSession, path)
+        if tables:
+            tables[-1] += kept
+        return result
+
+    return run
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows and bytes of text at most; a longer row is a part of its own."""
+    lengths = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        start = int(ends[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, start + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def over_texts(
     df: DataFrame,
     columns: list[str],
@@ -59,18 +154,16 @@ def over_texts(
     rows: int = BATCH_ROWS,
     size: int = BATCH_BYTES,
 ) -> DataFrame:
-    """Runs make()'s function over Arrow batches of the columns; make runs once in each task."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Runs make()'s function over Arrow batches of the columns, of so many rows and bytes at most; make runs once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # many small objects and no cycles: looking for these takes half the time
         try:
             work = make()
-            for batch in batches:
-                if batch.num_rows and (out := work(batch)) is not None:
-                    yield out
+            for whole in batches:
+                for batch in slices(whole, rows, size):
+                    if (out := work(batch)) is not None:
+                        yield out
         finally:
             gc.enable()
             pa.default_memory_pool().release_unused()

@@ -43,6 +43,81 @@ def test_copies_match_brute_force(spark, broadcast_hits, key):
     assert sorted((tuple(r) for r in got), key=repr) == brute_copies(ROWS)
 
 
+@pytest.mark.parametrize("broadcast_hits,filter_bytes", [(2, 1 << 20), (3, 0), (1000, 0)])
+def test_ways_of_a_large_index_match_brute_force(spark, broadcast_hits, filter_bytes):
+    rng = random.Random(2)
+    rows = [(k, f"text {rng.choice([1, 1, 1, rng.randrange(40)])}") for k in range(300)] + [(1000 + k, f"own {k}") for k in range(50)]
+    got = exact_dedup.find_copies(docs_of(spark, rows), broadcast_hits=broadcast_hits, filter_bytes=filter_bytes, memtable_rows=20).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_copies(rows)
+
+
+def rows_read(df):
+    """Rows that the scans of a plan gave out."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if "Scan parquet" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_index_grows_by_levels_and_filters_skip_runs(spark):
+    first = [(k, f"text {k}") for k in range(0, 400, 2)]
+    second = [(k + 1, f"text {k}") for k in range(0, 100, 2)] + [(5000 + k, f"new {k}") for k in range(100)]
+    index = exact_dedup.extend(None, docs_of(spark, first))
+    assert index.count() == 200
+    grown = exact_dedup.extend(index, docs_of(spark, second))
+    held = {r.key: (r.least_id, r.entries) for r in grown.collect()}
+    assert held == {r.key: (r.least_id, r.entries) for r in exact_dedup.extend(None, docs_of(spark, first + second)).collect()}
+    assert sorted(held.values()) == sorted([(k, 2 if k < 100 else 1) for k in range(0, 400, 2)] + [(5000 + k, 1) for k in range(100)])
+    # Runs of level 0 overlap in range; the filter of a run, not its range, excludes a key.
+    runs = exact_dedup.flush_runs(docs_of(spark, first))
+    files = {r.f: r.n for r in runs.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    wanted = sorted(r.key for r in runs.select("key").collect())[100]
+    assert len(files) == 3 and exact_dedup.lookup(runs, [wanted]).count() == 1
+    assert rows_read(exact_dedup.lookup(runs, [wanted])) in files.values()  # two of three runs are skipped
+
+
+def test_filter_of_hits_excludes_most_unique_texts(spark):
+    rows = [(k, f"text {k}") for k in range(2000)] + [(5000 + k, f"text {k}") for k in range(50)]
+    docs = docs_of(spark, rows)
+    hits = exact_dedup.extend(None, docs).filter("entries > 1").select("key")
+    keys = docs.select(exact_dedup.normalised().alias("norm"), F.xxhash64(exact_dedup.normalised()).alias("key"), F.lit("x").alias("bits"))
+    left = exact_dedup.probe(keys, *exact_dedup.hit_filter(hits, 50), "key")
+    assert left.columns == ["norm", "key", "bits"]
+    texts = [r.norm for r in left.collect()]
+    assert {f"text {k}" for k in range(50)} <= set(texts) and len(texts) < 150
+
+
+def test_helper_columns_do_not_clash(spark):
+    names = ["text_digest", "marked_id", "marked_digest", "marked_one", "__id", "__text", "__one", "norm", "bucket", "bits", "entries"]
+    docs = docs_of(spark, ROWS).select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and {r.text_digest for r in left.collect()} == {"text_digest"}
+    docs = docs.withColumn("lost_id", F.lit("lost_id"))
+    near = simhash_dedup.drop_near_copies(docs)
+    assert near.columns == docs.columns and {r.lost_id for r in near.collect()} == {"lost_id"}
+
+
+def test_settings_and_tables_are_left_as_they_were(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    found = simhash_dedup.find_near_copies(docs_of(spark, ROWS))
+    assert spark.conf.get(name) == before
+    from genoplane.llm.workspace import shared_dir
+    from pathlib import Path
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    held = {p.name for p in folder.iterdir()}
+    again = simhash_dedup.find_near_copies(docs_of(spark, ROWS))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, found.collect()))
+    assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in held} == {"find_near_copies"}
+
+
 def test_drop_copies_keeps_one_row_of_each_text(spark):
     left = exact_dedup.drop_copies(docs_of(spark, ROWS + [(3, "a b")]))
     assert left.columns == ["doc_id", "text", "lang", "key", "norm", "kept"]
