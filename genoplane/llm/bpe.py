@@ -7,7 +7,8 @@ the lists of the pairs that this makes or breaks are updated. One pass so encode
 all words of the batch. Spark deals out the texts; a word that a task has met
 before is not encoded again (a bounded cache, dropped when full).
 
-Defined cases. A null text is empty and has no ids. Strings of special tokens in
+Defined cases. A null text is empty and has no ids. A very long text is encoded whole;
+of equal pairs the leftmost merges first, as ranks alone order the others. Strings of special tokens in
 a text become the special ids, as the vocabulary's file says. A null id is
 returned as it is; repeated rows give repeated results; an empty table gives an
 empty result; other columns are not read.

@@ -15,7 +15,8 @@ whole text and needs no shuffle.
 Defined cases. A null or empty text scores the bias alone. Rows without a label or
 id, and those of the held-out fold, are never learned from; labels given more than
 once count once, as the highest. With one class or no labels in the sample, the
-score is the smoothed share of label 1. Repeated rows give repeated results; an
+score is the smoothed share of label 1. A very long text is read whole, and a score at
+the threshold is label 1. Repeated rows give repeated results; an
 empty table gives an empty result; other columns are never read.
 """
 
@@ -38,6 +39,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 SHARDS, ROUNDS = 6, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+#: States are summed in whole numbers of this, so that no order of rows changes a score.
+FIXED = 2.0**36
 #: Relative frequencies are multiplied by this.
 SCALE = 16.0
 
@@ -90,6 +93,10 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * FIXED).astype(np.int64)
+
+
 def _shard_pass(z: np.ndarray, n: np.ndarray, seed: int):
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         own_z, own_n, bias = z.copy(), n.copy(), len(z) - 1
@@ -100,7 +107,7 @@ def _shard_pass(z: np.ndarray, n: np.ndarray, seed: int):
             own_n,
         )
         moved = np.flatnonzero((own_z != z) | (own_n != n))
-        return pd.DataFrame({"feature": moved, "dz": own_z[moved] - z[moved], "dn": own_n[moved] - n[moved]})
+        return pd.DataFrame({"feature": moved, "dz": _fixed(own_z[moved] - z[moved]), "dn": _fixed(own_n[moved] - n[moved])})
 
     return shard
 
@@ -133,11 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
         return w
     for k in range(ROUNDS):
         # At most one row for each feature.
-        step = vectors.groupBy("shard").applyInPandas(_shard_pass(z, n, k), "feature long, dz double, dn double").groupBy("feature").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas()
+        step = vectors.groupBy("shard").applyInPandas(_shard_pass(z, n, k), "feature long, dz long, dn long").groupBy("feature").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas()
         at = step["feature"].to_numpy(dtype=np.int64)
         z, n = z.copy(), n.copy()
-        z[at] += step["dz"].to_numpy() / SHARDS
-        n[at] += step["dn"].to_numpy() / SHARDS
+        z[at] += step["dz"].to_numpy() / (FIXED * SHARDS)
+        n[at] += step["dn"].to_numpy() / (FIXED * SHARDS)
     return weights_of(z, n)
 
 

@@ -9,15 +9,16 @@ MAX_FALSE_REJECTION; the first that fails ends the sequence, so a sequence is on
 test. Rules and strata share ALPHA by Bonferroni's correction. With probability
 1 - ALPHA, in every stratum at once, no more than MAX_FALSE_REJECTION of the good
 texts are rejected. A stratum with few labels gets few cutoffs or none, and its
-texts are then judged by the base rules alone.
+texts are then judged by the base rules alone. Copies of a text, but for white space,
+are one trial; near copies still count each, so a holdout full of them promises less.
 
 Counts come from all labelled texts, summed in each task before the shuffle; the
 cutoffs are a table with one row for each stratum and are joined, not collected.
 
 Defined cases. A null or empty text has no words and fails the base rule. A null
 language is a stratum of its own. Labels given more than once count once, as the
-highest; null labels and ids are not used. Repeated rows give repeated results; an
-empty table gives an empty result; other columns are not read.
+highest; null labels and ids are not used. A very long text is counted whole, and a text
+at a cutoff is kept. Repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exact_dedup import normalised
 from .words import mix, split_words, word_hashes
 from .workspace import over_texts, tidy, type_of, written
 
@@ -94,18 +96,18 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def measure(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """doc_id, stratum, the counts and the carried columns for each row of docs."""
+    """doc_id, stratum, a digest of the text, the counts and the carried columns for each row of docs."""
     carried = carried or []
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = measures_of(batch.column(2))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[c]) for c in COUNTS), *batch.columns[3:]], names=["doc_id", "stratum", *COUNTS, *carried])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(got[c]) for c in COUNTS), *batch.columns[4:]], names=["doc_id", "stratum", "digest", *COUNTS, *carried])
 
         return work
 
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text", *carried)
-    return over_texts(rows, ["doc_id", "stratum", "text", *carried], make, f"doc_id {type_of(docs, 'doc_id')}, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {c} {type_of(docs, c)}" for c in carried))
+    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text", F.xxhash64(normalised()).alias("digest"), *carried)
+    return over_texts(rows, ["doc_id", "stratum", "text", "digest", *carried], make, f"doc_id {type_of(docs, 'doc_id')}, stratum string, digest long, " + ", ".join(f"{c} long" for c in COUNTS) + "".join(f", {c} {type_of(docs, c)}" for c in carried))
 
 
 def base_failed() -> F.Column:
@@ -169,6 +171,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, limit:
     """(stratum, one column for each rule): the chosen cutoffs, null where none is."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good = measured.join(known.filter("quality = 1").select("doc_id"), "doc_id", "left_semi").filter(~base_failed())
+    # The bound is on independent trials: copies of a text are one.
+    good = good.dropDuplicates(["stratum", "digest"])
     values = rule_values()
     above = [F.sum((values[r] > c).cast("long")).alias(f"{r}_{k}") for r, grid in GRIDS.items() for k, c in enumerate(grid)]
     counts = written(good.groupBy("stratum").agg(F.count("*").alias("total"), *above), "cutoff-counts")

@@ -15,7 +15,9 @@ value, and no value holds more than 33 of them. They are tied to the least of
 them. So the work stays in proportion to the fingerprints, and no link is lost.
 
 Defined cases. A null or empty text has fingerprint zero, linked like any other.
-A null id is returned with its fingerprint; it is never a component's id unless
+A very long text gives all its
+shingles; a bit set in just half of them is 0; of equal fingerprints the least id names
+the class. A null id is returned with its fingerprint; it is never a component's id unless
 the component has no other. Equal fingerprints are handled once, so thousands of
 copies cost one index entry. An empty table gives an empty result.
 """

@@ -8,7 +8,10 @@ turned into a probability by logistic weights and a threshold calibrated on
 labelled texts that neither dictionary has seen.
 
 Most of a toxic text is ordinary, and a dictionary of whole toxic texts would say
-little. So the toxic dictionary is the list of all words of toxic texts whose
+little. A toxic dictionary trained on windows of toxic texts is no better:
+its held-out recall at 0.7 is 2 to 14 % at sf0.1 and 16 to 51 % on a larger table, by its
+size and windows, where the list below has 63 % and 90 %, with as few false alarms.
+So the toxic dictionary is the list of all words of toxic texts whose
 beginnings are found in many more toxic texts than chance explains (log odds of
 document frequencies and their z-score, counted by Spark; texts where the word has
 the same neighbours count once, as near copies do). It is as long as these words,
@@ -19,7 +22,9 @@ brings at most TOXIC_WORDS distinct words and about ORDINARY_WINDOWS windows
 to the driver; the ordinary dictionary has a fixed size. Scoring reads every whole text,
 a batch at a time, without a shuffle.
 
-Defined cases. A null or empty text is one empty window. Rows without label or id,
+Defined cases. A null or empty text is one empty window; a very long one has all its
+windows; a score at the threshold is label 1; words of one frequency are ordered by
+their bytes. Rows without label or id,
 and those of the held-out fold, are never learned from; copies of a text count
 once; labels given more than once count once, as the highest. Without labels of
 both classes the score is the smoothed share of label 1. Repeated rows give

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from genoplane.llm import quality_classifier, quality_rules, toxicity
 
@@ -162,3 +163,116 @@ def test_toxic_dictionary_holds_every_marked_word(spark):
     toxic, ordinary = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
     saved = toxicity.distances([f"talo {w.decode()} rene miku" for w in sorted(held)], toxic, ordinary, {})[:, 0]
     assert (saved >= 3).all()
+
+
+def plain_bound_holds(rejected, total, limit, alpha):
+    return total > 0 and math.fsum(math.comb(total, j) * limit**j * (1 - limit) ** (total - j) for j in range(rejected + 1)) <= alpha
+
+
+def plain_values(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n_words, chars, symbols, dup, repeated = plain_counts(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = max(1, n_words)
+    upper = sum(len(w) > 1 and w.isupper() for w in words)
+    wordless = sum(not any(c.isalnum() for c in w) for w in words)
+    return {"symbols_per_word": symbols / n, "duplicate_lines": dup / max(1, len(lines)), "repeated_words": repeated / n, "chars_per_word": chars / n, "upper_words": upper / n, "wordless": wordless / n}
+
+
+def test_verdicts_match_brute_force(spark):
+    """Copies of a text are one trial, so the forty copies of a good one don't buy a cutoff."""
+    rng = random.Random(5)
+    made = lambda p: " ".join(rng.choice(["ala", "Bor", "cid", "DEV", "eno"]) + str(rng.randrange(9)) + ("#" if rng.random() < p else "") for _ in range(rng.randrange(12, 40)))
+    rows = [(k, made(rng.choice([0, 0, 0.1, 0.5])), rng.choice(["en", "en", "de"])) for k in range(700)]
+    rows += [(1000 + k, "one two three four five six seven eight nine ten eleven", "fr") for k in range(400)] + STRANGE
+    labels = [(i, int("#" not in (t or "") or rng.random() < 0.1), 0) for i, t, _ in rows if i is not None]
+    got = quality_rules.apply_rules(docs_of(spark, rows), labels_of(spark, labels), alpha=0.2, limit=0.3).collect()
+    quality = {}
+    for i, q, _ in labels:
+        quality[i] = max(q, quality.get(i, 0))
+    failed = lambda t: (c := plain_counts(t))[0] < 10 or 100 * c[4] > 20 * c[0]
+    good = {}
+    for i, t, lang in rows:
+        if quality.get(i) == 1 and not failed(t):
+            good.setdefault(lang or "", {})[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")] = plain_values(t)
+    level = 0.2 / (len(good) * len(quality_rules.GRIDS))
+    cut = {}
+    for lang, texts in good.items():
+        for rule, grid in quality_rules.GRIDS.items():
+            for c in grid:
+                if not plain_bound_holds(sum(v[rule] > c for v in texts.values()), len(texts), 0.3 / len(quality_rules.GRIDS), level):
+                    break
+                cut[lang, rule] = c
+    want = [(i, not failed(t) and not any(v > cut.get((lang or "", r), math.inf) for r, v in plain_values(t).items())) for i, t, lang in rows]
+    assert sorted(map(repr, ((r.doc_id, r.kept) for r in got))) == sorted(map(repr, want))
+    assert cut and not any(lang == "fr" for lang, _ in cut)
+    assert any(not k and not failed(t) for (_, k), (_, t, _) in zip(want, rows))
+
+
+def plain_features(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"([^\w\s]|_)+", lambda m: f" {m[0]} ", text or ""))
+    mask = 2**64 - 1
+
+    def mixed(a, b):
+        x = (a * 0x9E3779B97F4A7C15 + (b ^ b >> 29) * 0xBF58476D1CE4E5B9) & mask
+        x = (x ^ x >> 32) * 0x94D049BB133111EB & mask
+        return x ^ x >> 29
+
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    grams = h + [0x51A7E0FFEE if a == b else mixed(a, b) for a, b in zip(h, h[1:])]
+    counts = Counter(g >> 64 - quality_classifier.BITS for g in grams)
+    return {at: np.float64(np.float32(n * (quality_classifier.SCALE / max(1, len(grams))))) for at, n in counts.items()}
+
+
+def test_training_matches_sequential_ftrl(spark):
+    """The same passes in plain loops: each shard from the common state, then the mean of what the shards changed."""
+    c = quality_classifier
+    rows, labels = made_rows(300, seed=9)
+    rows += [(10_000, "stop, stop stop!", "en")]
+    docs, labels = docs_of(spark, rows), labels_of(spark, [*labels, (10_000, 0, 0)])
+    got = c.train(docs, labels)
+    sample = c.labelled(docs, labels, "quality", c.FOLDS, c.HELD_OUT, c.TRAIN_ROWS)
+    sample = sample.selectExpr("text", "label", "deal", f"pmod(xxhash64(deal), {c.SHARDS}) AS shard").toPandas()
+    sample["x"] = sample["text"].map(plain_features)
+    sample["at"] = sample["x"].map(lambda x: np.array(sorted(x), dtype=np.int32).tobytes())
+    bias, z, n = 2**c.BITS, Counter(), Counter()
+    weight = lambda z, n: 0.0 if abs(z) <= c.L1 else -(z - math.copysign(c.L1, z)) / ((c.BETA + math.sqrt(n)) / c.ALPHA + c.L2)
+    for k in range(c.ROUNDS):
+        dz, dn = Counter(), Counter()
+        for _, frame in sample.groupby("shard"):
+            own_z, own_n = Counter(z), Counter(n)
+            for r in frame.sort_values(["deal", "at"], kind="stable").sample(frac=1.0, random_state=k).itertuples():
+                x = {**r.x, bias: 1.0}
+                w = {at: weight(own_z[at], own_n[at]) for at in x}
+                p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[at] * v for at, v in x.items())))))
+                for at, v in x.items():
+                    g = (p - r.label) * v
+                    own_z[at] += g - (math.sqrt(own_n[at] + g * g) - math.sqrt(own_n[at])) / c.ALPHA * w[at]
+                    own_n[at] += g * g
+            for at in own_z:
+                dz[at] += (own_z[at] - z[at]) / c.SHARDS
+                dn[at] += (own_n[at] - n[at]) / c.SHARDS
+        for at in dz:
+            z[at] += dz[at]
+            n[at] += dn[at]
+    want = np.array([weight(z[at], n[at]) if at in z else 0.0 for at in range(2**c.BITS + 1)])
+    assert np.count_nonzero(want) > 100 and np.allclose(got, want, atol=1e-6)
+    assert (c.train(docs.repartition(7), labels) == got).all()
+
+
+def test_toxicity_scores_match_a_plain_scorer(spark):
+    rows, labels = made_rows(300, seed=3)
+    docs, labels = docs_of(spark, rows + STRANGE), labels_of(spark, labels)
+    model = toxicity.train(docs, labels)
+    toxic, ordinary = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+
+    def plain(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        parts = [words[:8]] if len(words) <= 8 else [words[k : k + 8] for k in range(0, len(words) - 4, 4)]
+        saved = sorted((len(ordinary(w)) - len(toxic(w)) for p in parts if (w := b" " + b"".join(x + b" " for x in p))), reverse=True)
+        four = [saved[0], sum(saved[:3]) / len(saved[:3]), math.log1p(100 * sum(max(0, s) for s in saved) / len(saved)), math.log1p(sum(max(0, s - 2) for s in saved))]
+        return 1 / (1 + math.exp(-sum(w * (v - c) / s for w, v, c, s in zip(model.weights, four, model.center, model.spread)) - model.weights[-1]))
+
+    got = sorted(((repr(r.doc_id), r.score) for r in toxicity.score(docs, labels).collect()))
+    want = sorted((repr(i), plain(t)) for i, t, _ in rows + STRANGE)
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
