@@ -95,3 +95,35 @@ def test_split_words():
     lengths, index, distinct = split_words(pa.array([" a b\n", None, "", "\xa0 b"]), lower=False)
     assert lengths.tolist() == [2, 0, 0, 2]
     assert [distinct[i].decode() for i in index] == ["a", "b", "\xa0", "b"]
+
+
+def test_weights_match_expectation_maximisation_token_by_token():
+    """The same expectation-maximisation over single tokens, with estimates as they are: rounding the ratios changes little."""
+    rng = np.random.default_rng(1)
+    n, total, distinct = 4000, 50_000, 3000
+    context = rng.choice([0, 1, 3, 20, 500], n)
+    pair = np.where(rng.random(n) < 0.6, np.minimum(context, rng.integers(0, 40, n)), 0)
+    word = np.where(rng.random(n) < 0.9, np.maximum(pair, rng.integers(1, 900, n)), 0)
+    pair = np.where(word > 0, pair, 0)
+    weights = {}
+    for _ in range(ngram_lm.EM_ROUNDS):
+        sums = {}
+        for c, p, w in zip(context.tolist(), pair.tolist(), word.tolist()):
+            bucket = 0 if not c else 1 + int(math.log2(c))
+            first = [0.1, 0.9, 0.0] if not bucket else [0.1, 0.8, 0.1]
+            now = weights.get(bucket, first)
+            parts = [now[0] / (distinct + 1), now[1] * w / total, now[2] * p / c if c else 0.0]
+            seen = sums.setdefault(bucket, list(first))
+            for k in range(3):
+                seen[k] += parts[k] / sum(parts)
+        weights = {b: [x / sum(s) for x in s] for b, s in sums.items()}
+    cells = ngram_lm.histogram(pair, context, word, total, distinct)
+    got = ngram_lm.learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy(dtype=float))
+    assert len(weights) == 5
+    for bucket, want in weights.items():
+        assert np.allclose(got[bucket], want, atol=0.02)
+
+
+def test_counts_have_more_than_32_bits():
+    big = np.array([2**32 + 5, 0, 2**40], dtype=np.uint64)
+    assert (ngram_lm._from_planes(ngram_lm._planes(big), np.uint64) == big).all()

@@ -104,6 +104,57 @@ def test_genetic_search_beats_best_fit(spark):
     best = packing.evolve(lengths, [first], 100, 30, seed=1, generations=60)
     assert sorted(i for b in best for i in b) == list(range(len(lengths)))
     assert all(sum(lengths[i] for i in b) <= 100 for b in best)
-    assert len(best) <= len(first)
+    assert len(best) < len(first)
+    longer = packing.evolve(lengths, [first], 100, 30, seed=1, generations=400, population=10)
+    assert len(longer) == 30 and all(sum(lengths[i] for i in b) <= 100 for b in longer)
     child = packing.crossover(first, best, lengths, 100, np.random.default_rng(0))
     assert sorted(i for b in child for i in b) == list(range(len(lengths)))
+
+
+@pytest.mark.parametrize("mu,spread", [(7.0, 0.5), (7.2, 0.7)])
+def test_genetic_search_saves_sequences_at_production_settings(mu, spread):
+    lengths = np.clip(np.random.default_rng(0).lognormal(mu, spread, 4096).astype(int), 1, 4095).tolist()
+    first, bound = packing.first_packing(lengths, 4096), packing.least_bins(lengths, 4096)
+    best = packing.evolve(lengths, [first], 4096, bound, seed=1)
+    assert sorted(i for b in best for i in b) == list(range(4096)) and all(sum(lengths[i] for i in b) <= 4096 for b in best)
+    assert bound <= len(best) < len(first)
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every placement."""
+    best = [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for x in range(len(rooms)):
+            if rooms[x] >= lengths[k] and rooms[x] not in rooms[:x]:
+                place(k + 1, [*rooms[:x], rooms[x] - lengths[k], *rooms[x + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bound_is_never_above_the_fewest_bins():
+    rng = random.Random(1)
+    for _ in range(300):
+        lengths = [rng.randrange(1, 20) for _ in range(rng.randrange(9))]
+        assert -(-sum(lengths) // 20) <= packing.least_bins(lengths, 20) <= fewest_bins(lengths, 20)
+
+
+def test_islands_settle_open_shards(spark):
+    """Triples in texts of one letter a token: best fit misses the bound, the islands reach it or come closer."""
+    rng = random.Random(4)
+    sizes = []
+    for _ in range(30):
+        a, b = rng.randrange(26, 40), rng.randrange(26, 40)
+        sizes += [a, b, 100 - a - b]
+    rows = [(k, " ".join(["a"] * (n - 1))) for k, n in enumerate(sizes)]
+    packed = packing.pack(docs_of(spark, rows), PATH, capacity=100)
+    lengths = {r.doc_id: r.length for r in packed.collect()}
+    bins = {r.sequence_id for r in packed.collect()}
+    assert len(bins) < len(packing.first_packing([lengths[k] for k in range(len(sizes))], 100))
