@@ -256,7 +256,7 @@ STATE = "shard long, island int, lengths binary, bins binary, n_bins long, bound
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
     cut = pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id())
-    cut = written(cut, "pieces")
+    cut = written(cut, "pieces", ENCODE_ROWS)
     full, rest = cut.filter(F.col("length") == capacity), cut.filter(F.col("length") < capacity)
     shards = max(1, ceil(rest.count() / shard_pieces))
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
