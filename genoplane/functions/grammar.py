@@ -2,12 +2,15 @@
 
 ``parse_variant(line)`` tries the formats in a fixed order, the first whose outline
 fits decides; a full pattern then takes the parts out or adds messages. Everything
-is built-in regular expressions inside code generation: parsing a line is a
-projection, so it runs in the scan's stage and never shuffles.
+is built-in regular expressions: parsing a line is a projection, so it runs in the
+scan's stage and never shuffles. A line's struct is computed once, whatever number of
+its fields is read, and the parts of a layout come from one match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,21 +25,63 @@ AA1 = r"[ACDEFGHIKLMNPQRSTVWY\*BZUXOJ]"
 AA3 = "(?:Ala|Cys|Asp|Glu|Phe|Gly|His|Ile|Lys|Leu|Met|Asn|Pro|Gln|Arg|Ser|Thr|Val|Trp|Tyr|Ter|Asx|Glx|Sec|Unk|Pyl|Xle)"
 ACCESSION = UNIPROT.removeprefix("(?i)^").removesuffix("$").replace("(", "(?:")
 
-#: The chromosome of each reference sequence, by its number and the versions in the two assemblies.
-REFSEQ_VERSIONS_38 = {
-    "1": 11, "2": 12, "3": 12, "4": 12, "5": 10, "6": 12, "7": 14, "8": 11, "9": 12, "10": 11, "11": 10, "12": 12, "13": 11, "14": 9, "15": 10, "16": 10,
-    "17": 11, "18": 10, "19": 10, "20": 11, "21": 9, "22": 11, "X": 11, "Y": 10,
-}
-MITOCHONDRIAL_REFSEQ = "NC_012920.1"
+#: The chromosome of each reference sequence, and whether it is of GRCh37.
+REFSEQ_CHROMOSOMES = {
+    "NC_000001.11": ("1", False),
+    "NC_000002.12": ("2", False),
+    "NC_000003.12": ("3", False),
+    "NC_000004.12": ("4", False),
+    "NC_000005.10": ("5", False),
+    "NC_000006.12": ("6", False),
+    "NC_000007.14": ("7", False),
+    "NC_000008.11": ("8", False),
+    "NC_000009.12": ("9", False),
+    "NC_000010.11": ("10", False),
+    "NC_000011.10": ("11", False),
+    "NC_000012.12": ("12", False),
+    "NC_000013.11": ("13", False),
+    "NC_000014.9": ("14", False),
+    "NC_000015.10": ("15", False),
+    "NC_000016.10": ("16", False),
+    "NC_000017.11": ("17", False),
+    "NC_000018.10": ("18", False),
+    "NC_000019.10": ("19", False),
+    "NC_000020.11": ("20", False),
+    "NC_000021.9": ("21", False),
+    "NC_000022.11": ("22", False),
+    "NC_000023.11": ("X", False),
+    "NC_000024.10": ("Y", False),
+    "NC_000001.10": ("1", True),
+    "NC_000002.11": ("2", True),
+    "NC_000003.11": ("3", True),
+    "NC_000004.11": ("4", True),
+    "NC_000005.9": ("5", True),
+    "NC_000006.11": ("6", True),
+    "NC_000007.13": ("7", True),
+    "NC_000008.10": ("8", True),
+    "NC_000009.11": ("9", True),
+    "NC_000010.10": ("10", True),
+    "NC_000011.9": ("11", True),
+    "NC_000012.11": ("12", True),
+    "NC_000013.10": ("13", True),
+    "NC_000014.8": ("14", True),
+    "NC_000015.9": ("15", True),
+    "NC_000016.9": ("16", True),
+    "NC_000017.10": ("17", True),
+    "NC_000018.9": ("18", True),
+    "NC_000019.9": ("19", True),
+    "NC_000020.10": ("20", True),
+    "NC_000021.8": ("21", True),
+    "NC_000022.10": ("22", True),
+    "NC_000023.10": ("X", True),
+    "NC_000024.9": ("Y", True),
+    "NC_012920.1": ("MT", False),
+}
 
 
 def refseq_chromosomes() -> dict[str, tuple[str, bool]]:
-    """Reference sequence to (chromosome, whether of GRCh37). GRCh37 has the version before that of GRCh38."""
-    out = {MITOCHONDRIAL_REFSEQ: ("MT", False)}
-    for k, (chromosome, version) in enumerate(REFSEQ_VERSIONS_38.items(), 1):
-        out[f"NC_{k:06d}.{version}"] = (chromosome, False)
-        out[f"NC_{k:06d}.{version - 1}"] = (chromosome, True)
-    return out
+    """Reference sequence to (chromosome, whether of GRCh37)."""
+    return dict(REFSEQ_CHROMOSOMES)
 
 
 #: Fixed texts of messages.
@@ -74,6 +119,7 @@ TYPES = {
     "HGVS_PROTEIN": "PROTEIN", "INTERNAL_PROTEIN": "PROTEIN", "DBSNP": "VARIANT_ID", "CLINVAR": "VARIANT_ID", "COSMIC": "VARIANT_ID", "INVALID": "INVALID",
 }
 
+#: Fixed patterns: outlines, schemes and layouts of the formats.
 HGVS_OUTLINE = r"(?i)^([^:]+):(\s*[a-z]\.)[^:]+$"
 SCHEMES = {s: rf"(?i)^([^:]+):\s*{s}\.(.+)$" for s in "gcp"}
 G_REFSEQ = r"(?i)^NC_\d+(\.\d+)?$"
@@ -101,12 +147,30 @@ VCF = rf"(?i)^({CHROMOSOME})\s+({POSITION})\s+(\S+)\s+({BASE})\s+({BASE})(?:\s+.
 SPACED = rf"(?i)^({CHROMOSOME})\s+({POSITION})(?:\s+({BASE})(?:(?:\s+|/|>)({BASE}))?)?$"
 COLONS = rf"(?i)^({CHROMOSOME}):({POSITION})(?::({BASE})(?::({BASE}))?)?$"
 
+#: Between groups; no character of a line that a layout accepts.
+_MARK = "\x01"
+
 FIELDS = {
     "format": "string", "type": "string", "chr": "string", "pos": "int", "ref": "string", "alt": "string", "vcf_id": "string", "acc": "string", "aa_pos": "int",
     "ref_aa": "string", "alt_aa": "string", "alt_unknown": "boolean", "refseq_id": "string", "refseq37": "boolean", "gene_symbol": "string", "messages": "array<string>",
 }
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, and the result not taken apart into a CASE for each of its fields."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All groups of a pattern of whole texts by one match, as an array; without a match the text alone."""
+    return F.split(F.regexp_replace(text, pattern, _MARK.join(f"${k}" for k in range(1, n + 1))), _MARK, -1)
+
+
+def _part(groups: Column, k: int) -> Column:
+    """A group of _groups, null where it is empty."""
+    return F.when(groups[k - 1] != "", groups[k - 1])
+
+
 def _group(text: Column, pattern: str, k: int) -> Column:
     """A group of a match, null where it is empty or the pattern does not fit."""
     found = F.regexp_extract(text, pattern, k)
@@ -178,17 +242,27 @@ def _hgvs_other(line: Column) -> Column:
     return _row("INVALID", [of_scheme, of_prefix])
 
 
+def _protein_layout(line: Column, pattern: str, ref: int, pos: int, alt: int) -> Column:
+    def row(g: Column) -> Column:
+        return _row("INTERNAL_PROTEIN", acc=F.upper(_part(g, 1)), aa_pos=_number(_part(g, pos)), **_aa(_part(g, ref), _part(g, alt)))
+
+    return _once(_groups(line, pattern, 4), row)
+
+
 def _protein(line: Column) -> Column:
-    tried = None
-    for pattern, (ref, pos, alt) in PROTEIN:
-        made = _row("INTERNAL_PROTEIN", acc=F.upper(_group(line, pattern, 1)), aa_pos=_number(_group(line, pattern, pos)), **_aa(_group(line, pattern, ref), _group(line, pattern, alt)))
-        tried = F.when(line.rlike(pattern), made) if tried is None else tried.when(line.rlike(pattern), made)
-    return tried.otherwise(_row("INTERNAL_PROTEIN", [F.lit(MESSAGES["PROTEIN"])]))
+    made = _row("INTERNAL_PROTEIN", [F.lit(MESSAGES["PROTEIN"])])
+    for pattern, groups in reversed(PROTEIN):
+        made = F.when(line.rlike(pattern), _protein_layout(line, pattern, *groups)).otherwise(made)
+    return made
+
 
+def _genomic(form: str, line: Column, pattern: str, groups: tuple[int, int, int, int], vcf_id: int | None = None) -> Column:
+    def row(g: Column) -> Column:
+        chromosome, pos, ref, alt = (_part(g, k) for k in groups)
+        more = {"vcf_id": _part(g, vcf_id)} if vcf_id else {}
+        return _row(form, chr=normalize_chromosome(chromosome), pos=_number(pos), ref=F.upper(ref), alt=F.upper(alt), **more)
 
-def _genomic(form: str, line: Column, pattern: str, groups: tuple[int, int, int, int], **more: Column) -> Column:
-    chromosome, pos, ref, alt = (_group(line, pattern, k) for k in groups)
-    return _row(form, chr=normalize_chromosome(chromosome), pos=_number(pos), ref=F.upper(ref), alt=F.upper(alt), **more)
+    return _once(_groups(line, pattern, max(groups)), row)
 
 
 def parse_variant(line: Column, versioned_ids: bool = False) -> Column:
@@ -196,6 +270,10 @@ def parse_variant(line: Column, versioned_ids: bool = False) -> Column:
 
     versioned_ids also reads database ids with a version (``RCV000000001.2``), which are not single words.
     """
+    return _once(line, lambda x: _parse(x, versioned_ids))
+
+
+def _parse(line: Column, versioned_ids: bool) -> Column:
     word = line.rlike(r"^\w+$") | (F.lit(versioned_ids) & line.rlike(r"(?i)^(RCV|VCV)[\d.]+$"))
     identifier = lambda form, full, key: _row(form, [_say(line.rlike(full), key)])
     hgvs = line.rlike(HGVS_OUTLINE)
@@ -210,7 +288,7 @@ def parse_variant(line: Column, versioned_ids: bool = False) -> Column:
         .when(hgvs, _hgvs_other(line))
         .when(line.rlike(PROTEIN_OUTLINE), _protein(line))
         .when(line.rlike(GNOMAD), _genomic("GNOMAD", line, GNOMAD, (1, 2, 3, 4)))
-        .when(line.rlike(VCF), _genomic("VCF", line, VCF, (1, 2, 4, 5), vcf_id=_group(line, VCF, 3)))
+        .when(line.rlike(VCF), _genomic("VCF", line, VCF, (1, 2, 4, 5), vcf_id=3))
         .when(line.rlike(SPACED), _genomic("INTERNAL_GENOMIC", line, SPACED, (1, 2, 3, 4)))
         .when(line.rlike(COLONS), _genomic("INTERNAL_GENOMIC", line, COLONS, (1, 2, 3, 4)))
         .otherwise(_row("INVALID", [F.lit(MESSAGES["UNSUPPORTED"])]))

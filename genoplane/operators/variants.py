@@ -12,7 +12,11 @@ VARIANT_KEY = ["chromosome", "genomic_position", "allele", "alt_allele"]
 
 def expand(mapping: DataFrame) -> DataFrame:
     """Three rows for each mapping row, one for each other base, with codon, amino acid and consequence: no join."""
-    rows = mapping.withColumn("alt_allele", F.explode(alternates(F.col("allele"))))
+    return with_change(mapping.withColumn("alt_allele", F.explode(alternates(F.col("allele")))))
+
+
+def with_change(rows: DataFrame) -> DataFrame:
+    """Adds codon, amino acid and consequence of alt_allele to mapping rows."""
     rows = rows.withColumn("alt_codon", alt_codon(F.col("codon"), F.col("codon_position"), rna_base(F.col("alt_allele"), F.col("reverse_strand"))))
     rows = rows.withColumn("alt_aa", translate_codon(F.col("alt_codon")))
     return rows.withColumn("consequence", consequence(F.col("protein_seq"), F.col("alt_aa")))

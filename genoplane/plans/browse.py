@@ -11,16 +11,19 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ENSEMBL
+from ..functions.grammar import parse_variant
+from ..functions.scalars import ENSEMBL, identifier_type
 from ..operators import filters as flt
 from ..operators import variants as var
 from ..operators.paging import SORT_COLUMNS, ordering, page
 from ..sources import schemas
 from ..sources.catalog import Catalog
 from ..sources.schemas import IdentifierType
+from ..sources.text_input import split_text
+from .lines import resolve_lines
 
 
 @dataclass
@@ -30,6 +33,7 @@ class Request:
     ids: list[tuple[IdentifierType, str]] = field(default_factory=list)
     q: str | None = None
     result_id: str | None = None
+    assembly: str | None = None
     cadd: list[str] = field(default_factory=list)
     am: list[str | int] = field(default_factory=list)
     popeve: list[str] = field(default_factory=list)
@@ -86,25 +90,38 @@ def by_uniprot(mapping: DataFrame, accessions: list[str]) -> DataFrame:
     return mapping.filter(F.col("accession").isin([a.upper() for a in accessions]))
 
 
+def of_genes(mapping: DataFrame, genes: list[str]) -> Column:
+    """Symbols in any case, as C9orf72: by gene_key, the symbol in upper case, where a release has written it, which reaches the scan."""
+    return (F.col("gene_key") if "gene_key" in mapping.columns else F.upper("gene_name")).isin([g.upper() for g in genes])
+
+
 def by_gene(mapping: DataFrame, genes: list[str]) -> DataFrame:
-    return mapping.filter(F.col("gene_name").isin([g.upper() for g in genes]))
+    return mapping.filter(of_genes(mapping, genes))
 
 
-def by_ensembl(mapping: DataFrame, identifiers: list[str]) -> DataFrame:
+def of_ensembl(mapping: DataFrame, identifiers: list[str]) -> Column:
     """Ids of genes, transcripts and proteins, with or without version; none that fits gives no rows."""
     tests = [F.lit(False)]
     for column, base, version in filter(None, map(split_ensembl, identifiers)):
         test = F.col(column) == base
         tests.append(test & (F.col(column + "v") == version) if version and column + "v" in mapping.columns else test)
-    return mapping.filter(reduce(lambda a, b: a | b, tests))
+    return reduce(lambda a, b: a | b, tests)
 
 
-def by_refseq(mapping: DataFrame, refseq: DataFrame, identifiers: list[str]) -> DataFrame:
-    """A versioned id is matched whole; one without version by the part before the dot."""
+def by_ensembl(mapping: DataFrame, identifiers: list[str]) -> DataFrame:
+    return mapping.filter(of_ensembl(mapping, identifiers))
+
+
+def refseq_accessions(refseq: DataFrame, identifiers: list[str]) -> DataFrame:
+    """(accession) of RefSeq ids. A versioned id is matched whole; one without version by the part before the dot."""
     whole = [i.upper() for i in identifiers if "." in i]
     bare = [i.upper() for i in identifiers if "." not in i]
     found = refseq.filter(F.col("refseq_acc").isin(whole) | F.split_part("refseq_acc", F.lit("."), F.lit(1)).isin(bare))
-    return mapping.join(found.select(F.col("uniprot_acc").alias("accession")).distinct(), "accession", "left_semi")
+    return found.select(F.col("uniprot_acc").alias("accession")).distinct()
+
+
+def by_refseq(mapping: DataFrame, refseq: DataFrame, identifiers: list[str]) -> DataFrame:
+    return mapping.join(refseq_accessions(refseq, identifiers), "accession", "left_semi")
 
 
 def by_pdb(mapping: DataFrame, regions: DataFrame, identifiers: list[str]) -> DataFrame:
@@ -114,19 +131,61 @@ def by_pdb(mapping: DataFrame, regions: DataFrame, identifiers: list[str]) -> Da
 
 
 def by_identifiers(t: Catalog, ids: list[tuple[IdentifierType, str]]) -> DataFrame:
-    """The union of what each type of identifier finds, each mapping row once."""
+    """The union of what each type of identifier finds, each mapping row once.
+
+    One type is a filter or a semi join of its own. Several are one pass: tests of the row, and flags from small
+    tables joined by accession, with OR; wide mapping rows are never made distinct.
+    """
     mapping, of = t["mapping"], {}
     for kind, value in ids:
         of.setdefault(IdentifierType(kind), []).append(value)
-    find = {
-        IdentifierType.UNIPROT: lambda v: by_uniprot(mapping, v),
-        IdentifierType.GENE: lambda v: by_gene(mapping, v),
-        IdentifierType.ENSEMBL: lambda v: by_ensembl(mapping, v),
-        IdentifierType.REFSEQ: lambda v: by_refseq(mapping, t["uniprot_refseq"], v),
-        IdentifierType.PDB: lambda v: by_pdb(mapping, t["structure_regions"], v),
-    }
-    found = [find[kind](values) for kind, values in of.items()]
-    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()
+    if len(of) == 1:
+        kind, values = next(iter(of.items()))
+        return {
+            IdentifierType.UNIPROT: lambda v: by_uniprot(mapping, v),
+            IdentifierType.GENE: lambda v: by_gene(mapping, v),
+            IdentifierType.ENSEMBL: lambda v: by_ensembl(mapping, v),
+            IdentifierType.REFSEQ: lambda v: by_refseq(mapping, t["uniprot_refseq"], v),
+            IdentifierType.PDB: lambda v: by_pdb(mapping, t["structure_regions"], v),
+        }[kind](values)
+    rows, tests = mapping, []
+    if accessions := of.get(IdentifierType.UNIPROT):
+        tests.append(F.col("accession").isin([a.upper() for a in accessions]))
+    if genes := of.get(IdentifierType.GENE):
+        tests.append(of_genes(mapping, genes))
+    if ensembl := of.get(IdentifierType.ENSEMBL):
+        tests.append(of_ensembl(mapping, ensembl))
+    if refseq := of.get(IdentifierType.REFSEQ):
+        rows = rows.join(refseq_accessions(t["uniprot_refseq"], refseq).withColumn("__refseq", F.lit(True)), "accession", "left")
+        tests.append(F.coalesce("__refseq", F.lit(False)))
+    if pdb := of.get(IdentifierType.PDB):
+        held = t["structure_regions"].filter(F.col("pdb_id").isin([i.lower() for i in pdb]))
+        held = held.groupBy("accession").agg(F.flatten(F.collect_list("observed_regions")).alias("__regions"))
+        rows = rows.join(held, "accession", "left")
+        tests.append(F.coalesce(flt.in_regions(F.col("protein_position"), F.col("__regions")), F.lit(False)))
+    return rows.filter(reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in tests])).select(*mapping.columns)
+
+
+def input_lines(t: Catalog, r: Request) -> DataFrame:
+    """(line_no, line) of q, or of the stored upload named by result_id (table uploads: upload_id, line_no, line)."""
+    if r.result_id:
+        return t["uploads"].filter(F.col("upload_id") == r.result_id).select("line_no", "line")
+    return split_text(t.spark.createDataFrame([(r.q,)], "value string")).select("line_no", "line")
+
+
+def by_input(t: Catalog, r: Request) -> DataFrame:
+    """The variants that the lines of an input stand for. Lines of q that name a gene, protein or structure count as identifiers."""
+    lines = input_lines(t, r)
+    found = None
+    if r.q:
+        variant = parse_variant(F.trim("line"))["format"] != "INVALID"
+        kinds = lines.select("line_no", "line", identifier_type(F.col("line"), variant).alias("kind")).filter("kind IS NOT NULL").collect()  # lines of one query text
+        if kinds:
+            found = var.expand(by_identifiers(t, [(IdentifierType(k.kind), k.line.strip()) for k in kinds]))
+            lines = lines.filter(~F.col("line_no").isin([k.line_no for k in kinds]))
+    wanted = resolve_lines(lines, t, r.assembly).select(*var.VARIANT_KEY).distinct()
+    rows = var.with_change(t["mapping"].join(wanted, var.VARIANT_KEY[:3]))
+    return rows if found is None else found.unionByName(rows.select(*found.columns)).distinct()
 
 
 def feature_tests(t: Catalog, r: Request) -> list[Callable[[DataFrame], DataFrame]]:
@@ -144,6 +203,9 @@ def feature_tests(t: Catalog, r: Request) -> list[Callable[[DataFrame], DataFram
 def leading(t: Catalog, r: Request) -> tuple[DataFrame, str]:
     """(variants, the strategy that leads)."""
     mapping = t["mapping"].filter("is_canonical")
+    if r.q or r.result_id:
+        rows = by_input(t, r)
+        return (rows.filter("is_canonical") if r.canonical_only else rows), "input"
     if r.ids:
         rows = by_identifiers(t, r.ids)
         if r.canonical_only:
@@ -167,15 +229,14 @@ def known_first(t: Catalog) -> DataFrame:
     """Strategy 3: known variants exploded, then the canonical mapping of their base."""
     known = flt.exploded_known(t["mapping_dbsnp_lookup"])
     rows = t["mapping"].filter("is_canonical").join(known, ["chromosome", "genomic_position", "allele"])
-    expanded = rows.withColumn("alt_codon", var.alt_codon(F.col("codon"), F.col("codon_position"), var.rna_base(F.col("alt_allele"), F.col("reverse_strand"))))
-    return expanded.withColumn("alt_aa", var.translate_codon(F.col("alt_codon")))
+    return var.with_change(rows)
 
 
 def frequency_first(t: Catalog, bands: list[str]) -> DataFrame:
     """Strategy 4a: frequencies in the bands, then the canonical mapping."""
     chosen = t["gnomad_allele_freq"].filter(flt.in_bands(F.col("af"), bands, schemas.FREQUENCY_BANDS))
     renamed = chosen.select(F.col("chr").alias("chromosome"), F.col("pos").alias("genomic_position"), F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"), "af")
-    return t["mapping"].filter("is_canonical").join(renamed, ["chromosome", "genomic_position", "allele"])
+    return var.with_change(t["mapping"].filter("is_canonical").join(renamed, ["chromosome", "genomic_position", "allele"]))
 
 
 def conservation_first(t: Catalog, low: float | None, high: float | None) -> DataFrame:
@@ -213,7 +274,7 @@ def apply_filters(t: Catalog, rows: DataFrame, r: Request, led: str) -> DataFram
         rows = flt.with_feature_groups(rows, t["function_feature"], r.features)
     if r.disease:
         rows = flt.at_positions(rows, flt.disease_positions(t["population"]))
-    if led == "identifiers" or not r.any_feature:
+    if led in ("identifiers", "input") or not r.any_feature:
         for test in feature_tests(t, r):
             rows = test(rows)
     if r.known and led != "known":

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codon import alt_codon, alternates, coding_to_protein, complement, is_snv_pair, rna_base, three_letter, translate_codon
-from ..operators.groupwise import first_by
 
 #: Sample for the detection of an assembly, and the shares (percent) that decide.
 SAMPLE, DECIDES, RULES_OUT = 100, 75, 25
 
-#: Fixed texts of messages.
+#: Fixed texts of messages; those of protein inputs by their codes.
+PROTEIN_MESSAGES = {
+    "100": "User input reference amino acid (%s) does not match the UniProt sequence (%s) at position %d. The service will use the reference amino acid (%s).",
+    "101": "User input reference amino acid empty. The service will use the reference amino acid at position %d (%s).",
+    "102": "User input variant amino acid (%s) cannot be caused by an SNV from the reference amino acid (%s), therefore the returned results are position but not variant specific.",
+    "103": "User input variant amino acid empty, therefore the returned results are position but not variant specific.",
+    "104": "User input variant amino acid unknown (?), therefore the returned results are position but not variant specific.",
+}
+OTHER_VERSION = "RefSeq id %s has no UniProt accession; %s was used."
+SEVERAL_PROTEINS = "RefSeq id %s maps to %d UniProt accessions; %s was used."
 REF_MISMATCH = "User input reference allele (%s) does not match the UniProt sequence (%s) at the genomic location."
 SAME_ALLELES = "Reference and alternate are the same. The service will show all possible alternatives of the reference."
 ALT_EMPTY = "User input variant allele empty."
@@ -36,13 +46,16 @@ def resolve_alt_bases(inputs: DataFrame) -> DataFrame:
 def ids_to_variants(ids: DataFrame, dbsnp: DataFrame, clinvar: DataFrame, cosmic: DataFrame) -> DataFrame:
     """ids: (id). Genomic variants of dbSNP, ClinVar (RCV, VCV) and COSMIC ids in any case, versions stripped; each once."""
     wanted = ids.select(F.col("id").alias("input"), F.split_part(F.upper(F.trim("id")), F.lit("."), F.lit(1)).alias("key")).distinct()
-    snp = dbsnp.select(F.upper("id").alias("key"), "chr", "pos", "ref", F.explode(F.split("alt", ",")).alias("alt"))
-    rcv = clinvar.select(F.explode("rcvs").alias("key"), "chr", "pos", "ref", "alt")
-    vcv = clinvar.select(F.col("vcv").alias("key"), "chr", "pos", "ref", "alt")
-    by_id = cosmic.select(F.col("id").alias("key"), "chr", "pos", "ref", "alt")
-    by_legacy = cosmic.select(F.col("legacy_id").alias("key"), "chr", "pos", "ref", "alt")
-    known = snp.unionByName(rcv).unionByName(vcv).unionByName(by_id).unionByName(by_legacy)
-    return wanted.join(known, "key").select("input", "chr", "pos", "ref", "alt").distinct()
+    of = lambda prefix: wanted.filter(F.col("key").startswith(prefix))
+    place = ["chr", "pos", "ref", "alt"]
+    # A release writes rs ids in lower case, all others in upper case: ids are joined as they stand, and alternates are exploded after it.
+    snp = of("RS").withColumn("id", F.lower("key")).join(dbsnp.select("id", *place), "id").withColumn("alt", F.explode(F.split("alt", ",")))
+    rcv = of("RCV").join(clinvar.select(F.explode("rcvs").alias("key"), *place), "key")
+    vcv = of("VCV").join(clinvar.select(F.col("vcv").alias("key"), *place), "key")
+    by_id = of("COS").join(cosmic.select(F.col("id").alias("key"), *place), "key")
+    by_legacy = of("COS").join(cosmic.select(F.col("legacy_id").alias("key"), *place), "key")
+    found = [x.select("input", *place) for x in (snp, rcv, vcv, by_id, by_legacy)]
+    return reduce(DataFrame.union, found).distinct()
 
 
 def refseq_to_accession(inputs: DataFrame, refseq: DataFrame) -> DataFrame:
@@ -72,8 +85,11 @@ def coding_to_genomic(inputs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Coding inputs with acc, protein_position, codon_position, ref and alt: the genomic variants whose base agrees."""
     places = mapping.select(
         F.col("accession").alias("acc"), "protein_position", "codon_position", "reverse_strand", "chromosome", "genomic_position", "allele"
-    ).dropDuplicates(["acc", "protein_position", "codon_position", "chromosome", "genomic_position", "allele"])
-    rows = inputs.join(places, ["acc", "protein_position", "codon_position"])
+    )
+    # Only what the inputs name is deduplicated, not the mapping.
+    keys = ["acc", "protein_position", "codon_position"]
+    places = places.join(inputs.select(*keys).distinct(), keys, "left_semi").dropDuplicates([*keys, "chromosome", "genomic_position", "allele"])
+    rows = inputs.join(places, keys)
     strand = lambda base: F.when(F.col("reverse_strand"), complement(base)).otherwise(base)
     return rows.filter(F.col("allele") == strand(F.col("ref"))).withColumn("alt_allele", strand(F.col("alt")))
 
@@ -87,7 +103,10 @@ def protein_to_genomic(inputs: DataFrame, mapping: DataFrame) -> DataFrame:
     places = mapping.filter("allele IS NOT NULL AND protein_seq IS NOT NULL AND codon IS NOT NULL").select(
         F.col("accession").alias("acc"), F.col("protein_position").alias("aa_pos"), "protein_seq", "codon", "codon_position", "reverse_strand", "chromosome", "genomic_position", "allele"
     )
-    places = first_by(places, ["acc", "aa_pos", "chromosome", "genomic_position", "allele"], [F.col("codon_position"), F.col("codon")])
+    # Only what the inputs name is grouped, not the mapping; the first row of each place is an aggregate.
+    places = places.join(inputs.select("acc", "aa_pos").distinct(), ["acc", "aa_pos"], "left_semi")
+    first = F.min_by(F.struct("protein_seq", "codon", "codon_position", "reverse_strand"), F.struct("codon_position", "codon")).alias("first")
+    places = places.groupBy("acc", "aa_pos", "chromosome", "genomic_position", "allele").agg(first).select("acc", "aa_pos", "chromosome", "genomic_position", "allele", "first.*")
     rows = inputs.join(places, ["acc", "aa_pos"]).withColumn("alt_allele", F.explode(alternates(F.col("allele"))))
     made = translate_codon(alt_codon(F.upper("codon"), F.col("codon_position"), rna_base(F.col("alt_allele"), F.col("reverse_strand"))))
     rows = rows.withColumn("fits", F.col("alt_aa").isNull() | (made == F.col("alt_aa")))
@@ -100,25 +119,35 @@ def protein_to_genomic(inputs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def protein_messages(position: Column, seq: Column, ref: Column, alt: Column, unknown: Column) -> Column:
     """The messages of a protein input, as (code, text), in a fixed order."""
-    say = lambda code, text, *parts: F.struct(F.lit(code).alias("code"), F.format_string(text, *parts).alias("text"))
+    say = lambda code, *parts: F.struct(F.lit(code).alias("code"), F.format_string(PROTEIN_MESSAGES[code], *parts).alias("text"))
     none_given = ref.isNull() & alt.isNull() & ~unknown
     return F.array_compact(
         F.array(
-            F.when(ref != seq, say("100", "User input reference amino acid (%s) does not match the UniProt sequence (%s) at position %d. The service will use the reference amino acid (%s).", three_letter(ref), three_letter(seq), position, three_letter(seq))),
-            F.when(none_given, say("101", "User input reference amino acid empty. The service will use the reference amino acid at position %d (%s).", position, three_letter(seq))),
-            F.when(~is_snv_pair(seq, alt), say("102", "User input variant amino acid (%s) cannot be caused by an SNV from the reference amino acid (%s), therefore the returned results are position but not variant specific.", three_letter(alt), three_letter(seq))),
-            F.when(unknown, say("104", "User input variant amino acid unknown (?), therefore the returned results are position but not variant specific."))
-            .when(alt.isNull(), say("103", "User input variant amino acid empty, therefore the returned results are position but not variant specific.")),
+            F.when(ref != seq, say("100", three_letter(ref), three_letter(seq), position, three_letter(seq))),
+            F.when(none_given, say("101", position, three_letter(seq))),
+            F.when(~is_snv_pair(seq, alt), say("102", three_letter(alt), three_letter(seq))),
+            F.when(unknown, say("104"))
+            .when(alt.isNull(), say("103")),
         )
     )
 
 
+def refseq_messages() -> Column:
+    """The messages of an input with refseq_id, acc, n_proteins and other_version."""
+    return F.array_compact(
+        F.array(
+            F.when(F.col("other_version").isNotNull(), F.format_string(OTHER_VERSION, "refseq_id", "other_version")),
+            F.when(F.col("n_proteins") > 1, F.format_string(SEVERAL_PROTEINS, "refseq_id", "n_proteins", "acc")),
+        )
+    )
+
+
 def build_match(inputs: DataFrame, crossmap: DataFrame, build: int) -> DataFrame:
     """(match): whole percent of the inputs (chr, pos, ref) whose base the assembly has; a null base never matches."""
     total = inputs.agg(F.count("*").alias("n"))
     place = crossmap.select("chr", F.col(f"grch{build}_pos").alias("pos"), F.col(f"grch{build}_base").alias("ref"))
     found = inputs.join(place, ["chr", "pos", "ref"]).agg(F.countDistinct(F.struct("chr", "pos", "ref")).alias("found"))
-    return found.crossJoin(total).select(F.coalesce(F.expr("100 * found div n"), F.lit(0)).cast("long").alias("match"))
+    return found.crossJoin(total).select(F.expr("CASE WHEN n > 0 THEN 100 * found div n ELSE 0 END").cast("long").alias("match"))
 
 
 def detect_build(inputs: DataFrame, crossmap: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.codon import AMINO_ACIDS
 from ..operators import variants as var
 from ..plans import annotate as ann
-from ..plans.export import csv_rows
+from ..plans.export import csv_rows, function_cells, population_cells
 from . import query
 
 _CONSEQUENCE = "CASE WHEN v.alt_aa = v.protein_seq THEN 'synonymous' WHEN v.alt_aa = '*' THEN 'stop gained' ELSE 'missense' END"
@@ -96,3 +96,65 @@ def transcripts_by_isoform(t):
 def csv_export_rows(t):
     rows = csv_rows(_core(t))
     return rows.select("User_input", "Gene", "Strand", "CADD_phred_like_score", "MANE_transcript", "Amino_acid_change", "Consequences", "Cytogenetic_band", F.lit(len(rows.columns)).alias("n_cells"))
+
+
+_NA = "coalesce(nullif(CAST({} AS VARCHAR), ''), 'N/A')"
+_VC = f"SELECT DISTINCT v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession, v.protein_position, v.protein_seq, v.alt_aa FROM {{variants}} v SEMI JOIN {{gnomad_allele_freq}} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele WHERE v.genomic_position % 5 = 0"
+_KEYS = "v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession"
+
+
+def _chosen(t):
+    rows = var.expand(t["mapping"].filter("genomic_position % 5 = 0"))
+    known = t["gnomad_allele_freq"].select(F.col("chr").alias("chromosome"), F.col("pos").alias("genomic_position"), F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"))
+    return rows.join(known, var.VARIANT_KEY, "left_semi")
+
+
+@query(f"""WITH v AS MATERIALIZED ({_VC}), r AS MATERIALIZED (SELECT DISTINCT accession, protein_position AS p FROM v),
+ f AS (SELECT r.accession, r.p, string_agg(type, '|' ORDER BY feature_index) FILTER (begin_pos = end_pos) AS one, string_agg(type || ';' || begin_pos || '-' || end_pos, '|' ORDER BY feature_index) FILTER (begin_pos <> end_pos) AS span FROM r JOIN {{function_feature}} x ON x.accession = r.accession AND r.p BETWEEN begin_pos AND end_pos AND (type <> 'DISULFID' OR r.p = begin_pos OR r.p = end_pos) GROUP BY 1, 2),
+ k AS (SELECT r.accession, r.p, string_agg(pocket_score_combined_scaled || ';' || array_to_string(pocket_resid, ','), '|' ORDER BY pocket_score_combined_scaled DESC, pocket_id) AS pockets FROM r JOIN {{pocket}} x ON x.struct_id = r.accession AND list_contains(x.pocket_resid, r.p) GROUP BY 1, 2),
+ b AS (SELECT r.accession, r.p, x.a, x.b, x.a_residues, x.b_residues, x.pdockq FROM r JOIN {{interfaces}} x ON x.a = r.accession AND list_contains(x.a_residues, r.p) UNION SELECT r.accession, r.p, x.a, x.b, x.a_residues, x.b_residues, x.pdockq FROM r JOIN {{interfaces}} x ON x.b = r.accession AND list_contains(x.b_residues, r.p)),
+ i AS (SELECT accession, p, string_agg(a || '-' || b || ';' || array_to_string(a_residues, ',') || ';' || array_to_string(b_residues, ',') || ';' || pdockq, '|' ORDER BY pdockq DESC, a, b) AS interactions, string_agg(DISTINCT CASE WHEN a = accession THEN b ELSE a END, '|' ORDER BY CASE WHEN a = accession THEN b ELSE a END) AS partners FROM b GROUP BY 1, 2),
+ x AS (SELECT protein_acc, position, mutated_type, foldx_ddg || ';' || plddt AS foldx FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY protein_acc, position, mutated_type) AS m FROM {{foldx}} WINDOW w AS (PARTITION BY protein_acc, position, mutated_type ORDER BY af_id)) WHERE n = m // 2 + 1)
+ SELECT {_KEYS}, {_NA.format("f.one")} AS residue_function, {_NA.format("f.span")} AS region_function, {_NA.format("k.pockets")} AS pockets, {_NA.format("i.interactions")} AS interactions, {_NA.format("i.partners")} AS partners, {_NA.format("x.foldx")} AS foldx,
+ {_NA.format("c.score")} AS conservation, {_NA.format("e.score")} AS esm, {_NA.format("n.protein_name")} AS protein_name, {_NA.format("n.existence")} AS existence, {_NA.format("n.sequence_length")} AS length, {_NA.format("n.entry_updated")} AS entry_updated, {_NA.format("n.sequence_updated")} AS sequence_updated,
+ {_NA.format("split_part(n.activity, '.', 1)")} AS activity, {_NA.format("split_part(n.complex, '.', 1)")} AS complex, {_NA.format("split_part(n.location, '.', 1)")} AS location, {_NA.format("split_part(n.family, '.', 1)")} AS family
+ FROM v LEFT JOIN f ON f.accession = v.accession AND f.p = v.protein_position LEFT JOIN k ON k.accession = v.accession AND k.p = v.protein_position LEFT JOIN i ON i.accession = v.accession AND i.p = v.protein_position
+ LEFT JOIN x ON x.protein_acc = v.accession AND x.position = v.protein_position AND x.mutated_type = v.alt_aa LEFT JOIN {{conserv_score}} c ON c.accession = v.accession AND c.position = v.protein_position AND c.aa = v.protein_seq
+ LEFT JOIN {{esm}} e ON e.accession = v.accession AND e.position = v.protein_position AND e.mt_aa = v.alt_aa LEFT JOIN {{protein_info}} n ON n.accession = v.accession""")
+def csv_function_columns(t):
+    rows = csv_rows(function_cells(_chosen(t), t).withColumn("input", F.concat_ws(" ", *KEY)))
+    names = {
+        "Residue_function_(evidence)": "residue_function", "Region_function_(evidence)": "region_function", "Predicted_pockets(energy;per_vol;score;resids)": "pockets",
+        "Predicted_interactions(chainA-chainB;a_resids;b_resids;pDockQ)": "interactions", "Protein_interactions_PROTEIN(gene)": "partners", "Foldx_prediction(foldxDdg;plddt)": "foldx",
+        "Conservation_score": "conservation", "ESM1b_score": "esm", "Protein_name": "protein_name", "Protein_existence_evidence": "existence", "Protein_length": "length", "Entry_last_updated": "entry_updated",
+        "Sequence_last_updated": "sequence_updated", "Protein_catalytic_activity": "activity", "Protein_complex": "complex", "Protein_sub_cellular_location": "location", "Protein_family": "family",
+    }
+    return rows.select(*_keys(), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+
+KEY = ["chromosome", "genomic_position", "allele", "alt_allele", "accession"]
+
+
+def _keys():
+    """The key of a row, back from its input cell."""
+    return [F.split("User_input", " ")[k].cast("int" if c == "genomic_position" else "string").alias(c) for k, c in enumerate(KEY)]
+
+
+@query(f"""WITH v AS MATERIALIZED ({_VC}), r AS MATERIALIZED (SELECT DISTINCT accession, protein_position AS p FROM v),
+ s AS (SELECT chr, pos, ref, alt, string_agg(DISTINCT id, '|' ORDER BY id) AS id FROM (SELECT id, chr, pos, ref, unnest(string_split(alt, ',')) AS alt FROM {{dbsnp}}) GROUP BY 1, 2, 3, 4),
+ o AS (SELECT chr, pos, ref, alt, string_agg(DISTINCT other, '|' ORDER BY other) AS other FROM (SELECT chr, pos, ref, alt, unnest(list_append(rcvs, vcv)) AS other FROM {{clinvar_extended}} UNION ALL SELECT chr, pos, ref, alt, unnest([id, legacy_id]) FROM {{cosmic}}) GROUP BY 1, 2, 3, 4),
+ d AS (SELECT accession, position, string_agg(DISTINCT clin_sig, '|' ORDER BY clin_sig) AS diseases FROM {{population}} WHERE disease GROUP BY 1, 2),
+ w AS MATERIALIZED (SELECT DISTINCT m.accession, m.protein_position AS p, m.chromosome || '-' || m.genomic_position || '-' || m.allele || '-' || g.alt AS name FROM {{mapping}} m SEMI JOIN r ON r.accession = m.accession AND r.p = m.protein_position JOIN {{gnomad_allele_freq}} g ON g.chr = m.chromosome AND g.pos = m.genomic_position AND g.ref = m.allele),
+ c AS (SELECT v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession, string_agg(w.name, '|' ORDER BY w.name) AS colocated FROM v JOIN w ON w.accession = v.accession AND w.p = v.protein_position AND w.name <> v.chromosome || '-' || v.genomic_position || '-' || v.allele || '-' || v.alt_allele GROUP BY ALL),
+ t AS (SELECT accession, p, string_agg(pdb_id || ';' || chains || ';' || spot, '|' ORDER BY pdb_id) AS structures FROM (SELECT r.accession, r.p, x.pdb_id, string_agg(DISTINCT chain_id, ',' ORDER BY chain_id) AS chains, min(r.p + x.pdb_start - x.unp_start) AS spot FROM r JOIN {{structure_regions}} x ON x.accession = r.accession AND len(list_filter(x.observed_regions, lambda q: r.p BETWEEN q[1] AND q[2])) > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+ SELECT {_KEYS}, {_NA.format("s.id")} AS id, g.ac || ';' || g.an || ';' || CAST(g.af AS DECIMAL(18,8)) AS frequency, v.chromosome || ':' || v.genomic_position AS place, {_NA.format("v.chromosome || y.band")} AS band, {_NA.format("o.other")} AS other_ids, {_NA.format("d.diseases")} AS diseases, {_NA.format("c.colocated")} AS colocated, {_NA.format("t.structures")} AS structures
+ FROM v JOIN {{gnomad_allele_freq}} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele LEFT JOIN s ON s.chr = v.chromosome AND s.pos = v.genomic_position AND s.ref = v.allele AND s.alt = v.alt_allele
+ LEFT JOIN o ON o.chr = v.chromosome AND o.pos = v.genomic_position AND o.ref = v.allele AND o.alt = v.alt_allele LEFT JOIN {{cytoband}} y ON y.chr = v.chromosome AND v.genomic_position BETWEEN y.begin_pos AND y.end_pos LEFT JOIN d ON d.accession = v.accession AND d.position = v.protein_position
+ LEFT JOIN c ON c.chromosome = v.chromosome AND c.genomic_position = v.genomic_position AND c.allele = v.allele AND c.alt_allele = v.alt_allele AND c.accession = v.accession LEFT JOIN t ON t.accession = v.accession AND t.p = v.protein_position""")
+def csv_population_columns(t):
+    rows = csv_rows(population_cells(_chosen(t), t).withColumn("input", F.concat_ws(" ", *KEY)))
+    names = {
+        "ID": "id", "Gnomad_allele_freq(ac;an;af)": "frequency", "Genomic_location": "place", "Cytogenetic_band": "band", "Other_identifiers_for_the_variant": "other_ids",
+        "Diseases_associated_with_variant": "diseases", "Variants_colocated_at_residue_position": "colocated", "Position_in_structures": "structures",
+    }
+    return rows.select(*_keys(), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])

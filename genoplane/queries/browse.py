@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..plans import browse as plan
 from ..plans.browse import Request
+from ..plans.lines import resolve_lines
+from ..sources.catalog import Catalog
 from ..sources.schemas import IdentifierType as I
 from . import query
 
@@ -111,3 +113,34 @@ def strategy4_conservation(t):
     return plan.conservation_first(t, 0.9, None).select(*KEY).distinct()
 
 
+
+@query(f"""SELECT DISTINCT {_V}, m.am_class, e.score AS esm_score FROM {{variants}} v JOIN {{gnomad_allele_freq}} a ON a.chr = v.chromosome AND a.pos = v.genomic_position AND a.ref = v.allele AND a.alt = v.alt_allele
+ JOIN {{alphamissense}} m ON m.accession = v.accession AND m.position = v.protein_position AND m.wt_aa = v.protein_seq AND m.mt_aa = v.alt_aa JOIN {{esm}} e ON e.accession = v.accession AND e.position = v.protein_position AND e.mt_aa = v.alt_aa
+ WHERE v.is_canonical AND a.af >= 0.05 AND a.af < 1 AND m.am_class = 1 AND e.score >= -20""")
+def strategy4_af_with_scores(t):
+    """Frequencies lead, scores of the protein filter: the alternate amino acid is made on the way."""
+    request = Request(allele_frequency=["COMMON"], am=["PATHOGENIC"], esm1b=(-20, None))
+    return plan.browse(t, request).select(*KEY, "am_class", "esm_score").distinct()
+
+
+@query(_of("v.accession = 'P00010' OR v.gene_name = 'GENE7'"))
+def browse_query_text(t):
+    """A query text of identifiers, the gene in another case than the release writes."""
+    return plan.browse(t, Request(q="gene7, p00010\n# no line").validate()).select(*KEY).distinct()
+
+
+@query(f"""SELECT DISTINCT {_V} FROM {{variants}} v SEMI JOIN (SELECT chromosome, genomic_position, allele, alt_allele FROM {{variants}} WHERE is_canonical AND genomic_position % 12 = 0 AND alt_allele = CASE WHEN allele = 'A' THEN 'T' ELSE 'A' END) u
+ ON u.chromosome = v.chromosome AND u.genomic_position = v.genomic_position AND u.allele = v.allele AND u.alt_allele = v.alt_allele""")
+def browse_stored_upload(t):
+    """The variants of a stored upload, here the lines of one notation; another upload beside it stays out."""
+    lines = t["input_lines"].select(F.when(F.col("line_no") % 12 == 0, "5f2b").otherwise("77aa").alias("upload_id"), "line_no", "line")
+    stored = Catalog(t.spark, t.directory, {**t.given, "uploads": lines})
+    return plan.browse(stored, Request(result_id="5f2b").validate()).select(*KEY).distinct()
+
+
+@query("SELECT DISTINCT v.chromosome, v.genomic_position, v.allele, v.alt_allele FROM {variants} v JOIN {crossmap} c ON c.chr = v.chromosome AND c.grch38_pos = v.genomic_position AND c.grch38_base = v.allele WHERE c.grch37_pos % 50 = 0")
+def resolve_assembly_auto(t):
+    """Lines on GRCh37 with no assembly named: it is found from a sample, and the lines are lifted."""
+    old = t["crossmap"].filter("grch37_pos % 50 = 0")
+    lines = old.select(F.monotonically_increasing_id().alias("line_no"), F.concat_ws(" ", "chr", F.col("grch37_pos").cast("string"), "grch37_base").alias("line"))
+    return resolve_lines(lines, t, None).select("chromosome", "genomic_position", "allele", "alt_allele").distinct()

@@ -1,8 +1,7 @@
 """What a user asks for, as functions that return DataFrames.
 
-Lines of variants in any notation are parsed in one projection; each type of input
-is resolved by its own joins, and the results meet in one union of genomic
-variants, which is annotated once. Nothing is collected.
+Lines of variants in any notation are resolved to genomic variants, which are annotated
+once. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -10,66 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.grammar import parse_variant
 from .operators import groupwise, vector
 from .plans import annotate, browse, export, resolve
+from .plans.lines import invalid_lines, parse_lines, resolve_lines, unmapped_lines
 from .sources.catalog import Catalog
+from .sources.lineage import cut
 
-GENOMIC = ["line_no", "chromosome", "genomic_position", "ref", "alt"]
-
-
-def parse_lines(lines: DataFrame, versioned_ids: bool = True) -> DataFrame:
-    """lines: (line_no, line). One column for each field of a parsed variant."""
-    return lines.select("line_no", "line", parse_variant(F.trim("line"), versioned_ids).alias("v")).select("line_no", "line", "v.*")
-
-
-def _genomic(parsed: DataFrame, t: Catalog, assembly: str) -> DataFrame:
-    """Genomic inputs on GRCh38: sequences of GRCh37 always are lifted, other formats if the assembly says so. HGVS is never taken for 37 otherwise."""
-    rows = parsed.filter("type = 'GENOMIC' AND size(messages) = 0").select("line_no", "format", "refseq37", "chr", "pos", "ref", "alt")
-    old = F.coalesce("refseq37", F.lit(False)) | ((F.lit(assembly) == "GRCH37") & (F.col("format") != "HGVS_GENOMIC"))
-    lifted = resolve.liftover(rows.filter(old), t["crossmap"]).filter("lifted").drop("lifted")
-    return rows.filter(~old).unionByName(lifted).select("line_no", F.col("chr").alias("chromosome"), F.col("pos").alias("genomic_position"), "ref", "alt")
-
-
-def _identifiers(parsed: DataFrame, t: Catalog) -> DataFrame:
-    rows = parsed.filter("type = 'VARIANT_ID' AND size(messages) = 0").select("line_no", F.trim("line").alias("id"))
-    found = resolve.ids_to_variants(rows, t["dbsnp"], t["clinvar_extended"], t["cosmic"]).withColumnRenamed("input", "id")
-    return rows.join(found, "id").select("line_no", F.col("chr").alias("chromosome"), F.col("pos").alias("genomic_position"), "ref", "alt")
-
-
-def _coding(parsed: DataFrame, t: Catalog) -> DataFrame:
-    rows = parsed.filter("type = 'CODING_DNA' AND size(messages) = 0").select("line_no", "refseq_id", "pos", "ref", "alt")
-    found = resolve.coding_to_genomic(resolve.coding_to_proteins(rows, t["uniprot_refseq"]), t["mapping"])
-    return found.select("line_no", "chromosome", "genomic_position", F.col("allele").alias("ref"), F.col("alt_allele").alias("alt"))
-
-
-def _protein(parsed: DataFrame, t: Catalog) -> DataFrame:
-    rows = parsed.filter("type = 'PROTEIN' AND size(messages) = 0").select("line_no", "acc", "refseq_id", "aa_pos", "ref_aa", "alt_aa")
-    named = rows.filter("refseq_id IS NULL").drop("refseq_id")
-    by_refseq = resolve.refseq_to_accession(rows.filter("refseq_id IS NOT NULL").drop("acc"), t["uniprot_refseq"]).select(*named.columns)
-    found = resolve.protein_to_genomic(named.unionByName(by_refseq), t["mapping"])
-    return found.select("line_no", "chromosome", "genomic_position", F.col("allele").alias("ref"), F.col("alt_allele").alias("alt"))
-
-
-def resolve_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
-    """(line_no, chromosome, genomic_position, allele, alt_allele, warnings): the variants that each line stands for, references from the mapping."""
-    parsed = parse_lines(lines).persist()  # every type of input reads it: lines are parsed once
-    every = _genomic(parsed, t, assembly).unionByName(_identifiers(parsed, t)).unionByName(_coding(parsed, t)).unionByName(_protein(parsed, t)).distinct()
-    bases = t["mapping"].select("chromosome", "genomic_position", F.col("allele").alias("mapping_ref")).distinct()
-    rows = resolve.resolve_alt_bases(every.join(bases, ["chromosome", "genomic_position"]))
-    return rows.select("line_no", "chromosome", "genomic_position", F.col("resolved_ref").alias("allele"), F.explode("alts").alias("alt_allele"), "warnings").distinct()
-
-
-def invalid_lines(lines: DataFrame) -> DataFrame:
-    """(line_no, line, messages) of lines that no format accepts or whose parts are wrong."""
-    return parse_lines(lines).filter("type = 'INVALID' OR size(messages) > 0").select("line_no", "line", "messages")
-
-
-def unmapped_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
-    """Valid lines without a genomic variant."""
-    valid = parse_lines(lines).filter("type <> 'INVALID' AND size(messages) = 0").select("line_no", "line", "type")
-    return valid.join(resolve_lines(lines, t, assembly).select("line_no").distinct(), "line_no", "left_anti")
-
+__all__ = ["Service", "annotate_lines", "download_lines", "invalid_lines", "parse_lines", "resolve_lines", "unmapped_lines"]
 
 def annotate_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
     """Resolved lines with gene, consequence and scores, one row for each line, variant and mapping."""
@@ -78,7 +24,8 @@ def annotate_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> Da
 
 def download_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
     """The 44 CSV cells for each annotated line, and one row with its messages for each invalid one."""
-    done = annotate_lines(lines, t, assembly).join(lines.select("line_no", F.col("line").alias("input")), "line_no").withColumnRenamed("warnings", "notes")
+    core = cut(annotate_lines(lines, t, assembly).withColumnRenamed("warnings", "notes"))  # read once for each kind of cell
+    done = export.full_rows(core, t, ["line_no"]).join(lines.select("line_no", F.col("line").alias("input")), "line_no")
     wrong = invalid_lines(lines).select(F.col("line").alias("input"), F.col("messages").alias("notes"))
     return export.csv_rows(done).unionByName(export.csv_rows(wrong))
 
@@ -92,7 +39,7 @@ class Service:
     def browse(self, request: browse.Request) -> DataFrame:
         return browse.browse_page(self.t, request)
 
-    def mapping(self, line: str, assembly: str = "GRCH38") -> DataFrame:
+    def mapping(self, line: str, assembly: str | None = None) -> DataFrame:
         return annotate_lines(self.t.spark.createDataFrame([(1, line)], "line_no long, line string"), self.t, assembly)
 
     def function(self, accession: str, position: int) -> DataFrame:

@@ -9,14 +9,10 @@ from __future__ import annotations
 
 import re
 
+from ..functions.codon import CODONS
+
 TABLES: dict[str, str] = {
-    "codon_table": """
-SELECT a.b || b.b || c.b AS codon,
- substr('KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF', CAST(a.i*16+b.i*4+c.i+1 AS INT), 1) AS amino_acid
-FROM (VALUES ('A',0),('C',1),('G',2),('U',3)) a(b,i)
-CROSS JOIN (VALUES ('A',0),('C',1),('G',2),('U',3)) b(b,i)
-CROSS JOIN (VALUES ('A',0),('C',1),('G',2),('U',3)) c(b,i)
-""",
+    "codon_table": "SELECT codon, amino_acid FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in CODONS.items()) + ") c(codon, amino_acid)",
     "mapping": """
 SELECT s.chromosome, s.genomic_position,
  CASE WHEN s.reverse_strand THEN translate(substr(s.cod, s.codon_position, 1),'ACGU','TGCA')
@@ -171,6 +167,19 @@ FROM {mapping} m JOIN {dbsnp} d ON d.chr = m.chromosome AND d.pos = m.genomic_po
 """,
     "uniprot_entry": """
 SELECT DISTINCT 'P' || lpad(CAST(c_custkey AS VARCHAR(12)), 5, '0') AS accession FROM {customer} WHERE c_custkey % 8 <> 5
+""",
+    "protein_info": """
+SELECT 'P' || lpad(CAST(c_custkey AS VARCHAR(12)), 5, '0') AS accession, 'protein ' || CAST(c_custkey AS VARCHAR(12)) AS protein_name,
+ CASE WHEN c_custkey % 2 = 0 THEN 'evidence at protein level' ELSE 'predicted' END AS existence, CAST(100 + c_custkey % 900 AS INT) AS sequence_length,
+ '2024-0' || CAST(1 + c_custkey % 9 AS VARCHAR(4)) || '-01' AS entry_updated, '2020-0' || CAST(1 + c_custkey % 7 AS VARCHAR(4)) || '-02' AS sequence_updated,
+ 'Catalyses step ' || CAST(c_custkey % 5 AS VARCHAR(4)) || '. Needs zinc.' AS activity, CASE WHEN c_custkey % 3 = 0 THEN 'Homodimer. Rarely a tetramer.' END AS complex,
+ 'Nucleus. Cytoplasm.' AS location, 'Belongs to family ' || CAST(c_custkey % 11 AS VARCHAR(4)) || '. Subfamily A.' AS family
+FROM {customer}
+""",
+    "cytoband": """
+SELECT CAST(1 + c.chr AS VARCHAR(8)) AS chr, CAST(1 + b.k * 3000 AS INT) AS begin_pos, CAST((b.k + 1) * 3000 AS INT) AS end_pos,
+ CASE WHEN b.k % 2 = 0 THEN 'p' ELSE 'q' END || CAST(11 + b.k AS VARCHAR(8)) AS band
+FROM (SELECT DISTINCT c_custkey % 22 AS chr FROM {customer}) c CROSS JOIN (SELECT DISTINCT c_custkey % 70 AS k FROM {customer}) b
 """,
     "stats": """
 SELECT event_type AS type, CAST(user_id % 50 AS VARCHAR(12)) AS key, CAST(user_id % 3 AS VARCHAR(4)) AS release, value, ts AS created FROM {events}
@@ -210,7 +219,7 @@ def duckdb_query(text: str) -> str:
 
     for name in needs(text):
         add(name)
-    entries = [f"{name} AS ({duckdb_text(TABLES[name]).strip()})" for name in ordered]
+    entries = [f"{name} AS MATERIALIZED ({duckdb_text(TABLES[name]).strip()})" for name in ordered]
     body = duckdb_text(text).strip()
     if not entries:
         return body

@@ -6,12 +6,15 @@ job id, makes the work idempotent.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+log = logging.getLogger(__name__)
+
 REQUEST = "job_id string, lines array<string>, submitted timestamp"
 STATES = ("QUEUED", "PROCESSING", "READY", "FAILED", "EXPIRED")
 MOST_ATTEMPTS, MOST_ROWS = 3, 100_000
@@ -22,22 +25,44 @@ def job_counts(status: DataFrame) -> DataFrame:
     return status.groupBy("state", F.to_date("changed").alias("day")).agg(F.count("*").alias("jobs"))
 
 
-def run_jobs(spark: SparkSession, inbox: str, ledger: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], output: str) -> StreamingQuery:
-    """Starts the stream: new requests of inbox are deduplicated against the ledger, worked on and written by job id."""
+def run_jobs(spark: SparkSession, inbox: str, ledger: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], output: str, most_rows: int = MOST_ROWS, attempts: int = MOST_ATTEMPTS) -> StreamingQuery:
+    """Starts the stream: new requests of inbox are deduplicated against the ledger, worked on and written by job id.
+
+    A job of more than most_rows lines is FAILED. Where work fails, each job of the batch is tried alone, up to
+    attempts times in all, so that one bad job fails alone.
+    """
+
+    def known() -> DataFrame | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+        return spark.read.parquet(ledger) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+    def done(jobs: DataFrame, state: str | Column, number: int) -> None:
+        state = F.lit(state) if isinstance(state, str) else state
+        jobs.select("job_id", state.alias("state"), F.current_timestamp().alias("changed"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(ledger)
+
+    def attempt(jobs: DataFrame) -> bool:
+        lines = jobs.select("job_id", F.posexplode("lines").alias("line_no", "line"))
+        try:
+            work(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(output)
+            return True
+        except Exception:  # noqa: BLE001  whatever work raises counts as a failed attempt
+            log.exception("a download failed")
+            return False
 
     def batch(requests: DataFrame, number: int) -> None:
         fresh = requests.dropDuplicates(["job_id"])
-        try:
-            done = spark.read.parquet(ledger)
-            fresh = fresh.join(done.filter("state = 'READY'").select("job_id"), "job_id", "left_anti")
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        fresh = fresh.withColumn("too_many", F.size("lines") > MOST_ROWS)
-        lines = fresh.filter(~F.col("too_many")).select("job_id", F.posexplode("lines").alias("line_no", "line"))
-        work(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(output)
-        state = F.when(F.col("too_many"), "FAILED").otherwise("READY")
-        fresh.select("job_id", state.alias("state"), F.current_timestamp().alias("changed"), F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(ledger)
+        if (ledger_rows := known()) is not None:
+            fresh = fresh.join(ledger_rows.filter("state IN ('READY', 'FAILED')").select("job_id"), "job_id", "left_anti")
+        too_many = F.size("lines") > most_rows
+        small = fresh.filter(~too_many)
+        done(fresh.filter(too_many), "FAILED", number)
+        if attempt(small):
+            done(small, "READY", number)
+            return
+        for row in small.select("job_id").toLocalIterator():  # jobs of one micro-batch, one at a time
+            alone = small.filter(F.col("job_id") == row.job_id)
+            good = any(attempt(alone) for _ in range(attempts - 1))
+            done(alone, "READY" if good else "FAILED", number)
 
     stream = spark.readStream.schema(REQUEST).json(inbox)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -113,3 +113,34 @@ def test_old_jobs_expire(spark):
     rows = [("a", "READY", now - datetime.timedelta(days=40), 1), ("b", "READY", now, 1), ("c", "READY", now - datetime.timedelta(days=40), 1), ("c", "EXPIRED", now, 2)]
     ledger = spark.createDataFrame(rows, "job_id string, state string, changed timestamp, batch long")
     assert [r.job_id for r in expire(ledger).select("job_id", F.lit(1)).collect()] == ["a"]
+
+
+def test_messages_of_protein_lines_reach_the_warnings(spark, t):
+    lines = [(1, "P00001 3 V W"), (2, "P00001 3"), (3, "P00001 M3?"), (4, "NP_000002.9:p.Met3Val")]
+    got = {}
+    for r in service.resolve_lines(spark.createDataFrame(lines, "line_no long, line string"), t).collect():
+        got.setdefault(r.line_no, set()).update(r.warnings)
+    says = lambda k, part: any(part in w for w in got[k])
+    assert says(1, "(Val) does not match the UniProt sequence (Met) at position 3") and says(1, "(Trp) cannot be caused by an SNV")
+    assert says(2, "reference amino acid empty") and says(2, "variant amino acid empty")
+    assert says(3, "variant amino acid unknown (?)")
+    assert says(4, "NP_000002.9") and says(4, "NP_000002.3")
+
+
+def test_a_bad_job_fails_alone(spark, tmp_path):
+    from genoplane.streaming.jobs import run_jobs
+
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.json").write_text('{"job_id": "good", "lines": ["x"]}\n{"job_id": "bad", "lines": ["boom"]}\n{"job_id": "long", "lines": ["a", "b", "c"]}\n')
+    tried = []
+
+    def work(lines):
+        jobs = [r.line for r in lines.collect()]
+        tried.append(jobs)
+        if "boom" in jobs:
+            raise ValueError("boom")
+        return lines
+
+    run_jobs(spark, str(tmp_path / "inbox"), str(tmp_path / "ledger"), str(tmp_path / "cp"), work, str(tmp_path / "out"), most_rows=2, attempts=3).awaitTermination()
+    assert {r.job_id: r.state for r in spark.read.parquet(str(tmp_path / "ledger")).collect()} == {"good": "READY", "bad": "FAILED", "long": "FAILED"}
+    assert tried.count(["boom"]) == 2 and [r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["x"]
