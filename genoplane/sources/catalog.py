@@ -33,6 +33,28 @@ class Catalog:
             self._made[name] = self._make(name)
         return self._made[name]
 
+    def __contains__(self, name: str) -> bool:
+        """Whether a table is given, written, or derived from such."""
+        if name in self.given:
+            return True
+        if name in fixtures.TABLES:
+            return all(other in self for other in fixtures.needs(fixtures.TABLES[name]))
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}.parquet")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def or_empty(self, schemas: dict[str, str]) -> Catalog:
+        """This catalog with an empty table for each of schemas that it lacks."""
+        lacking = {name: self.spark.createDataFrame([], schema) for name, schema in schemas.items() if name not in self}
+        return Catalog(self.spark, self.directory, {**self.given, **lacking}) if lacking else self
+
+    def write_derived(self, directory: str) -> Catalog:
+        """Writes the tables derived by operators, as a load of a release does, and reads them from there on."""
+        made = {}
+        for name in DERIVED:
+            made[name] = f"{directory}/{name}.parquet"
+            self[name].sortWithinPartitions("accession", "position").write.mode("overwrite").parquet(made[name])
+        return Catalog(self.spark, self.directory, {**self.given, **made})
+
     def _make(self, name: str) -> DataFrame:
         given = self.given.get(name)
         if isinstance(given, DataFrame):
