@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ENCODE_BYTES, ENCODE_ROWS, Encoder
-from .workspace import over_texts, tidy, type_of, written
+from .workspace import over_texts, per_worker, tidy, type_of, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def make():
-        encoder = Encoder(path)
+        encoder = per_worker(("pieces", path), lambda: Encoder(path))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, piece, start, length, crc = [], [], [], [], []

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def per_worker(key: tuple, build: Callable[[], object]) -> object:
+    """build()'s result, once in each Python worker process, which Spark reuses for its tasks.
+
+    Functions of this package come to a worker by value with each task, so a module of theirs can't hold it.
+    """
+    held = sys.modules.setdefault("_genoplane_worker", ModuleType("_genoplane_worker")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
