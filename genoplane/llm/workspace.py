@@ -28,6 +28,8 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes that one Arrow batch hands to Python at most.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+#: Bytes of the Arrow batches that the JVM sends.
+ARROW_BYTES = 12 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,14 +61,16 @@ def _tables() -> list[list[str]]:
 
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows at most, for the jobs inside; the session's own setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+    """Arrow batches of so many rows and ARROW_BYTES at most, for the jobs inside; the session's own settings come back."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {name: spark.conf.get(name) for name in limits}
     try:
-        spark.conf.set(name, rows)
+        for name, limit in limits.items():
+            spark.conf.set(name, limit)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, limit in before.items():
+            spark.conf.set(name, limit)
 
 
 def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, **options: str) -> DataFrame:
