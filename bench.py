@@ -37,7 +37,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from pyspark.sql import functions as F
+
     from genoplane import queries
+    from genoplane.operators import filters as flt
+    from genoplane.operators import variants as var
+    from genoplane.plans.browse import by_gene
     from genoplane.sources import fixtures
     from genoplane.sources.catalog import Catalog
 
@@ -48,8 +53,13 @@ def main() -> None:
     for name in fixtures.TABLES:
         tables[name] = str(folder / name)
         derived[name].write.parquet(tables[name])
-    stored = Catalog(spark, SF_DIR, tables)
+    # As a load of a release writes it.
+    stored = Catalog(spark, SF_DIR, tables).write_derived(str(folder / "loaded"))
     runs = {name: (lambda f=queries.FUNCTIONS[name]: f(stored)) for name in ENGINE}
+    # The published pair: known variants of one gene, by the comma list and by the exploded lookup.
+    one_gene = lambda: var.expand(by_gene(stored["mapping"], ["GENE7"]))
+    runs["one_gene_known_delimited"] = lambda: flt.known_variants(one_gene(), stored["dbsnp"], F.split("alt", ",")).agg(F.count("*").alias("n"))
+    runs["one_gene_known_lookup"] = lambda: flt.known_variants(one_gene(), stored["mapping_dbsnp_lookup"]).agg(F.count("*").alias("n"))
     try:
         from genoplane.llm import queries as llm
 
