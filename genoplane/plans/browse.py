@@ -183,6 +183,8 @@ def by_input(t: Catalog, r: Request) -> DataFrame:
         if kinds:
             found = var.expand(by_identifiers(t, [(IdentifierType(k.kind), k.line.strip()) for k in kinds]))
             lines = lines.filter(~F.col("line_no").isin([k.line_no for k in kinds]))
+            if lines.isEmpty():
+                return found
     wanted = resolve_lines(lines, t, r.assembly).select(*var.VARIANT_KEY).distinct()
     rows = var.with_change(t["mapping"].join(wanted, var.VARIANT_KEY[:3]))
     return rows if found is None else found.unionByName(rows.select(*found.columns)).distinct()
