@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codon import alt_codon, alternates, coding_to_protein, complement, is_snv_pair, rna_base, three_letter, translate_codon
@@ -110,9 +110,9 @@ def protein_to_genomic(inputs: DataFrame, mapping: DataFrame) -> DataFrame:
     rows = inputs.join(places, ["acc", "aa_pos"]).withColumn("alt_allele", F.explode(alternates(F.col("allele"))))
     made = translate_codon(alt_codon(F.upper("codon"), F.col("codon_position"), rna_base(F.col("alt_allele"), F.col("reverse_strand"))))
     rows = rows.withColumn("fits", F.col("alt_aa").isNull() | (made == F.col("alt_aa")))
-    # Whether any candidate of an input fits: one small aggregate by input, joined back.
-    any_fit = rows.groupBy("line_no").agg(F.max("fits").alias("any_fit"))
-    rows = rows.join(any_fit, "line_no").filter(F.col("fits") | ~F.col("any_fit"))
+    # Whether any of the few candidates of an input fits. The keys of the join lead, so its partitioning serves again.
+    of_input = Window.partitionBy("acc", "aa_pos", "line_no")
+    rows = rows.withColumn("any_fit", F.max("fits").over(of_input)).filter(F.col("fits") | ~F.col("any_fit"))
     rows = rows.withColumn("ref_mismatch", F.coalesce(F.col("ref_aa") != F.col("protein_seq"), F.lit(False)))
     return rows.withColumn("non_snv", F.coalesce(~is_snv_pair(F.col("protein_seq"), F.col("alt_aa")), F.lit(False)))
 
