@@ -95,12 +95,12 @@ FROM d JOIN g USING (norm)""",
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({'d': sha256(length(role) || ':' || role || text), 'cp': length(text)} ORDER BY turn NULLS FIRST) AS ts FROM t GROUP BY conv_id),
 c AS (
- SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-   (s, b) -> list_reduce(list_prepend(xor(s, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), (x, z) -> xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+ SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+   lambda s, b: list_reduce(list_prepend(xor(s, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
  FROM own),
 r AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
 p AS (SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS depth, ts FROM r),
-q AS (SELECT conv_id, depth, n = depth AS ends, array_to_string(list_transform(ts[1:depth], x -> x.d), '') AS path, CASE WHEN depth = 0 THEN 0 ELSE ts[depth].cp END AS cp FROM p),
+q AS (SELECT conv_id, depth, n = depth AS ends, array_to_string(list_transform(ts[1:depth], lambda x: x.d), '') AS path, CASE WHEN depth = 0 THEN 0 ELSE ts[depth].cp END AS cp FROM p),
 nodes AS (
  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(cp) AS cp,
   sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
