@@ -216,7 +216,9 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY, share:
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], schema)
-    block_rows = max(256, min(block_rows, block_rows * 512 // (dims + 1)))
+    # Small tables in smaller blocks, so that each core has two.
+    block_rows = min(block_rows, max(1024, ceil(rows / (2 * spark.sparkContext.defaultParallelism))))
+    block_rows = max(1, min(block_rows, BLOCK_ROWS * 512 // (dims + 1)))
     first, blocks = regions_of(sizes, block_rows)
     parts = ceil(asked / query_rows)
     probes = ceil(share * len(centroids))
