@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codon import alt_codon, alternates, coding_to_protein, complement, is_snv_pair, rna_base, three_letter, translate_codon
+from ..operators.narrow import Keys
 
 #: Sample for the detection of an assembly, and the shares (percent) that decide.
 SAMPLE, DECIDES, RULES_OUT = 100, 75, 25
@@ -132,14 +133,12 @@ def protein_messages(position: Column, seq: Column, ref: Column, alt: Column, un
     )
 
 
-def refseq_messages() -> Column:
-    """The messages of an input with refseq_id, acc, n_proteins and other_version."""
-    return F.array_compact(
-        F.array(
-            F.when(F.col("other_version").isNotNull(), F.format_string(OTHER_VERSION, "refseq_id", "other_version")),
-            F.when(F.col("n_proteins") > 1, F.format_string(SEVERAL_PROTEINS, "refseq_id", "n_proteins", "acc")),
-        )
-    )
+def refseq_texts() -> list[Column]:
+    """That another version was used, and that there are several proteins, of an input with refseq_id, acc, n_proteins and other_version; null where not so."""
+    return [
+        F.when(F.col("other_version").isNotNull(), F.format_string(OTHER_VERSION, "refseq_id", "other_version")),
+        F.when(F.col("n_proteins") > 1, F.format_string(SEVERAL_PROTEINS, "refseq_id", "n_proteins", "acc")),
+    ]
 
 
 def build_match(inputs: DataFrame, crossmap: DataFrame, build: int) -> DataFrame:
@@ -161,7 +160,9 @@ def detect_build(inputs: DataFrame, crossmap: DataFrame, sample: int = SAMPLE) -
 
 def liftover(inputs: DataFrame, crossmap: DataFrame) -> DataFrame:
     """Inputs on GRCh37 (chr, pos) with pos replaced by that on GRCh38; lifted says whether there was one. Only the position changes."""
-    least = crossmap.groupBy(F.col("chr").alias("__chr"), F.col("grch37_pos").alias("__pos37")).agg(F.min("grch38_pos").alias("__pos38"))
+    # Only the places asked for are grouped, not the crossmap.
+    asked = Keys(inputs, "chr", "pos").bounded(crossmap, "chr", "grch37_pos")
+    least = asked.groupBy(F.col("chr").alias("__chr"), F.col("grch37_pos").alias("__pos37")).agg(F.min("grch38_pos").alias("__pos38"))
     rows = inputs.join(least, (F.col("chr") == F.col("__chr")) & (F.col("pos") == F.col("__pos37")), "left")
     return rows.withColumn("lifted", F.col("__pos38").isNotNull()).withColumn("pos", F.coalesce("__pos38", "pos")).drop("__chr", "__pos37", "__pos38")
 
@@ -169,7 +170,8 @@ def liftover(inputs: DataFrame, crossmap: DataFrame) -> DataFrame:
 def assembly_mapping(positions: DataFrame, crossmap: DataFrame, source: int = 37) -> DataFrame:
     """(chr, pos, to_pos, message) for each position on the source assembly: none found and several found are said."""
     target = 38 if source == 37 else 37
-    found = crossmap.groupBy("chr", F.col(f"grch{source}_pos").alias("pos")).agg(F.countDistinct(f"grch{target}_pos").alias("n"), F.min(f"grch{target}_pos").alias("first"))
+    asked = Keys(positions, "chr", "pos").bounded(crossmap, "chr", f"grch{source}_pos")
+    found = asked.groupBy("chr", F.col(f"grch{source}_pos").alias("pos")).agg(F.countDistinct(f"grch{target}_pos").alias("n"), F.min(f"grch{target}_pos").alias("first"))
     rows = positions.join(found, ["chr", "pos"], "left")
     message = F.when(F.col("n").isNull(), "No mapping found").when(F.col("n") > 1, "Multiple mappings found")
     return rows.select("chr", "pos", F.when(F.col("n") == 1, F.col("first")).alias("to_pos"), message.alias("message"))

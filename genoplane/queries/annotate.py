@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions.codon import AMINO_ACIDS
+from ..functions.scalars import or_na
 from ..operators import variants as var
 from ..plans import annotate as ann
-from ..plans.export import csv_rows, function_cells, population_cells
+from ..plans.export import csv_rows, full_rows
+from ..plans.residues import facts, function_answer
+from ..service import ordered_download
 from . import query
 
 _CONSEQUENCE = "CASE WHEN v.alt_aa = v.protein_seq THEN 'synonymous' WHEN v.alt_aa = '*' THEN 'stop gained' ELSE 'missense' END"
@@ -91,70 +95,145 @@ def transcripts_by_isoform(t):
     return t["mapping"].groupBy("accession", "enst").agg(F.count("*").alias("n_rows"), F.min("protein_position").alias("first_position"))
 
 
-@query(f"""SELECT v.chromosome || '-' || v.genomic_position || '-' || v.allele || '-' || v.alt_allele AS "User_input", v.gene_name AS "Gene", CASE WHEN v.reverse_strand THEN '-' ELSE '+' END AS "Strand", coalesce(CAST(c.score AS VARCHAR), 'N/A') AS "CADD_phred_like_score",
- CASE WHEN v.is_mane_select THEN v.enst ELSE 'N/A' END AS "MANE_transcript", CASE v.protein_seq {_THREE} END || '/' || CASE v.alt_aa {_THREE} END AS "Amino_acid_change", {_CONSEQUENCE} AS "Consequences", 'N/A' AS "Cytogenetic_band", 44 AS n_cells {_CORE}""")
-def csv_export_rows(t):
-    rows = csv_rows(_core(t))
-    return rows.select("User_input", "Gene", "Strand", "CADD_phred_like_score", "MANE_transcript", "Amino_acid_change", "Consequences", "Cytogenetic_band", F.lit(len(rows.columns)).alias("n_cells"))
+def _evidences(items: str) -> str:
+    """SQL of the evidences cell of a list: ids by name of the source."""
+    named = f"list_filter(list_transform({items}, lambda e: e.source), lambda s: s.name IS NOT NULL)"
+    one = f"n || ':[' || array_to_string(list_transform(list_filter({named}, lambda s: s.name = n), lambda s: s.id), ',') || ']'"
+    return f"CASE WHEN len({items}) > 0 THEN '(' || array_to_string(list_transform(list_sort(list_distinct(list_transform({named}, lambda s: s.name))), lambda n: {one}), '') || ')' ELSE '' END"
 
 
+_E = '[<<"source":<<"name":"VARCHAR","id":"VARCHAR">>>>]'
+_HEAD = (
+    '<<"proteinExistence":"VARCHAR","sequence":<<"length":"INTEGER","modified":"VARCHAR">>,"info":<<"modified":"VARCHAR">>,"comments":[<<"type":"VARCHAR","text":[<<"value":"VARCHAR">>],'
+    f'"reaction":<<"dbReferences":[<<"id":"VARCHAR">>],"evidences":{_E}>>,"locations":[<<"location":<<"value":"VARCHAR">>,"topology":<<"value":"VARCHAR">>>>],"interactions":[<<"accession2":"VARCHAR","gene":"VARCHAR">>]>>]>>'
+)
+_VARIANT = (
+    '<<"genomicLocation":["VARCHAR"],"cytogeneticBand":"VARCHAR","xrefs":[<<"name":"VARCHAR","id":"VARCHAR">>],"clinicalSignificances":[<<"type":"VARCHAR","sources":["VARCHAR"]>>],'
+    f'"populationFrequencies":[<<"populationName":"VARCHAR","frequency":"DOUBLE","source":"VARCHAR">>],"association":[<<"name":"VARCHAR","evidences":{_E}>>]>>'
+)
 _NA = "coalesce(nullif(CAST({} AS VARCHAR), ''), 'N/A')"
-_VC = f"SELECT DISTINCT v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession, v.protein_position, v.protein_seq, v.alt_aa FROM {{variants}} v SEMI JOIN {{gnomad_allele_freq}} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele WHERE v.genomic_position % 5 = 0"
-_KEYS = "v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession"
-
-
-def _chosen(t):
-    rows = var.expand(t["mapping"].filter("genomic_position % 5 = 0"))
-    known = t["gnomad_allele_freq"].select(F.col("chr").alias("chromosome"), F.col("pos").alias("genomic_position"), F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"))
-    return rows.join(known, var.VARIANT_KEY, "left_semi")
-
-
-@query(f"""WITH v AS MATERIALIZED ({_VC}), r AS MATERIALIZED (SELECT DISTINCT accession, protein_position AS p FROM v),
- f AS (SELECT r.accession, r.p, string_agg(type, '|' ORDER BY feature_index) FILTER (begin_pos = end_pos) AS one, string_agg(type || ';' || begin_pos || '-' || end_pos, '|' ORDER BY feature_index) FILTER (begin_pos <> end_pos) AS span FROM r JOIN {{function_feature}} x ON x.accession = r.accession AND r.p BETWEEN begin_pos AND end_pos AND (type <> 'DISULFID' OR r.p = begin_pos OR r.p = end_pos) GROUP BY 1, 2),
- k AS (SELECT r.accession, r.p, string_agg(pocket_score_combined_scaled || ';' || array_to_string(pocket_resid, ','), '|' ORDER BY pocket_score_combined_scaled DESC, pocket_id) AS pockets FROM r JOIN {{pocket}} x ON x.struct_id = r.accession AND list_contains(x.pocket_resid, r.p) GROUP BY 1, 2),
- b AS (SELECT r.accession, r.p, x.a, x.b, x.a_residues, x.b_residues, x.pdockq FROM r JOIN {{interfaces}} x ON x.a = r.accession AND list_contains(x.a_residues, r.p) UNION SELECT r.accession, r.p, x.a, x.b, x.a_residues, x.b_residues, x.pdockq FROM r JOIN {{interfaces}} x ON x.b = r.accession AND list_contains(x.b_residues, r.p)),
- i AS (SELECT accession, p, string_agg(a || '-' || b || ';' || array_to_string(a_residues, ',') || ';' || array_to_string(b_residues, ',') || ';' || pdockq, '|' ORDER BY pdockq DESC, a, b) AS interactions, string_agg(DISTINCT CASE WHEN a = accession THEN b ELSE a END, '|' ORDER BY CASE WHEN a = accession THEN b ELSE a END) AS partners FROM b GROUP BY 1, 2),
- x AS (SELECT protein_acc, position, mutated_type, foldx_ddg || ';' || plddt AS foldx FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY protein_acc, position, mutated_type) AS m FROM {{foldx}} WINDOW w AS (PARTITION BY protein_acc, position, mutated_type ORDER BY af_id)) WHERE n = m // 2 + 1)
- SELECT {_KEYS}, {_NA.format("f.one")} AS residue_function, {_NA.format("f.span")} AS region_function, {_NA.format("k.pockets")} AS pockets, {_NA.format("i.interactions")} AS interactions, {_NA.format("i.partners")} AS partners, {_NA.format("x.foldx")} AS foldx,
- {_NA.format("c.score")} AS conservation, {_NA.format("e.score")} AS esm, {_NA.format("n.protein_name")} AS protein_name, {_NA.format("n.existence")} AS existence, {_NA.format("n.sequence_length")} AS length, {_NA.format("n.entry_updated")} AS entry_updated, {_NA.format("n.sequence_updated")} AS sequence_updated,
- {_NA.format("split_part(n.activity, '.', 1)")} AS activity, {_NA.format("split_part(n.complex, '.', 1)")} AS complex, {_NA.format("split_part(n.location, '.', 1)")} AS location, {_NA.format("split_part(n.family, '.', 1)")} AS family
- FROM v LEFT JOIN f ON f.accession = v.accession AND f.p = v.protein_position LEFT JOIN k ON k.accession = v.accession AND k.p = v.protein_position LEFT JOIN i ON i.accession = v.accession AND i.p = v.protein_position
- LEFT JOIN x ON x.protein_acc = v.accession AND x.position = v.protein_position AND x.mutated_type = v.alt_aa LEFT JOIN {{conserv_score}} c ON c.accession = v.accession AND c.position = v.protein_position AND c.aa = v.protein_seq
- LEFT JOIN {{esm}} e ON e.accession = v.accession AND e.position = v.protein_position AND e.mt_aa = v.alt_aa LEFT JOIN {{protein_info}} n ON n.accession = v.accession""")
+_OF = "list_filter(j.comments, lambda c: c.type = '{}')"
+_SENTENCE = "split_part(c.text[1].value, '.', 1)"
+
+#: Cells by residue and by change, from v (chromosome, genomic_position, allele, alt_allele, accession, protein_position, protein_seq, alt_aa).
+_CELLS = f"""r AS MATERIALIZED (SELECT DISTINCT accession, protein_position AS p FROM v),
+ f AS (SELECT accession, p, string_agg(cell, '|' ORDER BY feature_index) FILTER (begin_pos = end_pos) AS one, string_agg(cell, '|' ORDER BY feature_index) FILTER (begin_pos <> end_pos) AS span FROM (
+  SELECT accession, p, feature_index, begin_pos, end_pos, type || coalesce('-' || description, '') || CASE WHEN begin_pos <> end_pos THEN ';Range:' || begin_pos || '-' || end_pos ELSE '' END || {_evidences("ev")} AS cell
+  FROM (SELECT r.accession, r.p, x.*, CASE WHEN json_valid(evidences_json) THEN json_transform(evidences_json, '{_E}') ELSE [] END AS ev FROM r JOIN {{function_feature}} x ON x.accession = r.accession AND r.p BETWEEN begin_pos AND end_pos AND (type <> 'DISULFID' OR r.p IN (begin_pos, end_pos)) WHERE category <> 'VARIANTS')) GROUP BY 1, 2),
+ h AS (SELECT accession, j.proteinExistence AS existence, j.sequence.length AS len, j.info.modified AS updated, j.sequence.modified AS modified,
+  array_to_string(list_transform({_OF.format("CATALYTIC_ACTIVITY")}, lambda c: list_filter(c.reaction.dbReferences, lambda d: d.id LIKE '%RHEA:%')[1].id || {_evidences("c.reaction.evidences")}), '|') AS activity,
+  array_to_string(list_transform({_OF.format("SUBUNIT")}, lambda c: {_SENTENCE}), '|') AS complex, array_to_string(list_transform({_OF.format("SIMILARITY")}, lambda c: {_SENTENCE}), '|') AS family,
+  array_to_string(list_transform({_OF.format("SUBCELLULAR_LOCATION")}, lambda c: array_to_string(list_transform(c.locations, lambda l: l.location.value), ';') || '(' || array_to_string(list_filter(list_transform(c.locations, lambda l: l.topology.value), lambda q: q IS NOT NULL), ';') || ')'), '|') AS location,
+  array_to_string(list_transform({_OF.format("INTERACTION")}, lambda c: array_to_string(list_transform(c.interactions, lambda i: i.accession2 || '(' || i.gene || ')'), ';')), '|') AS partners
+  FROM (SELECT accession, json_transform(header_json, '{_HEAD}') AS j FROM {{function_header}} WHERE json_valid(header_json))),
+ k AS (SELECT r.accession, r.p, string_agg('pocket_id:' || pocket_id || ';rad_gyration:' || pocket_rad_gyration || ';energy_per_vol:' || pocket_energy_per_vol || ';buriedness:' || pocket_buriedness || ';resid:' || pocket_resid[1] || '-' || pocket_resid[2] || ' ' || pocket_resid[3] || ';mean_plddt:' || pocket_mean_plddt || ';score:' || pocket_score_combined_scaled, '|' ORDER BY pocket_score_combined_scaled DESC, pocket_id, pocket_rad_gyration)
+  AS pockets FROM r JOIN (SELECT *, unnest(pocket_resid) AS q FROM {{pocket}}) x ON x.struct_id = r.accession AND x.q = r.p GROUP BY 1, 2),
+ b AS (SELECT a AS accession, unnest(a_residues) AS p, a, b, a_residues, b_residues, pdockq FROM {{interfaces}} UNION SELECT b, unnest(b_residues), a, b, a_residues, b_residues, pdockq FROM {{interfaces}}),
+ i AS (SELECT accession, p, string_agg(a || '-' || b || ';A residues:' || array_to_string(a_residues, ' ') || ';B residues:' || array_to_string(b_residues, ' ') || ';pDockQ:' || pdockq, '|' ORDER BY pdockq DESC, a, b, a_residues) AS interactions FROM r JOIN b USING (accession, p) GROUP BY 1, 2),
+ x AS (SELECT protein_acc, position, mutated_type, string_agg('foldxDdg:' || foldx_ddg || ';plddt:' || plddt, '|' ORDER BY af_id) AS foldx FROM {{foldx}} GROUP BY 1, 2, 3),
+ c AS (SELECT accession, position, min(score) AS score FROM {{conserv_score}} GROUP BY 1, 2),
+ n AS (SELECT accession, position AS p, wild_type, alt, CASE wild_type {_THREE} END AS wild3, CASE alt {_THREE} END AS alt3, json_transform(raw_json, '{_VARIANT}') AS j FROM {{population}} WHERE json_valid(raw_json)),
+ m AS (SELECT accession, p, wild_type, alt, alt3, wild3, j.cytogeneticBand IS NULL AS no_band, coalesce(j.genomicLocation[1], 'N/A') AS place, coalesce(j.cytogeneticBand, 'N/A') AS band, j, array_to_string(list_transform(j.xrefs, lambda x: x.name || '-' || x.id
+   || coalesce(';' || list_filter(j.populationFrequencies, lambda q: q.source = x.name)[-1].populationName || ':' || list_filter(j.populationFrequencies, lambda q: q.source = x.name)[-1].frequency, '')
+   || coalesce(';' || list_filter(j.clinicalSignificances, lambda q: list_contains(q.sources, x.name))[-1].type, '')), '|') AS ids,
+   array_to_string(list_transform(j.association, lambda d: d.name || '-' || {_evidences("d.evidences")}), '|') AS diseases FROM n),
+ w AS (SELECT v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession, string_agg(m.place, '|' ORDER BY m.wild_type, m.alt, m.place) FILTER (m.alt = v.alt_aa) AS place, string_agg(m.band, '|' ORDER BY m.wild_type, m.alt, m.place) FILTER (m.alt = v.alt_aa) AS band,
+   string_agg(m.ids, '|' ORDER BY m.wild_type, m.alt, m.place) FILTER (m.alt = v.alt_aa) AS ids, string_agg({_NA.format("m.diseases")}, '|' ORDER BY m.wild_type, m.alt, m.place) FILTER (m.alt = v.alt_aa) AS diseases,
+   string_agg('[' || m.wild3 || '>' || m.alt3 || ';' || m.place || ';' || m.band || ';' || m.ids || ']', '' ORDER BY m.wild_type, m.alt, m.place) FILTER (m.alt <> v.alt_aa) AS colocated FROM v JOIN m ON m.accession = v.accession AND m.p = v.protein_position GROUP BY ALL),
+ t AS (SELECT accession, p, string_agg(pdb_id || ';' || places || ';' || resolution || ';' || experimental_method, '|' ORDER BY pdb_id) AS structures FROM (SELECT r.accession, r.p, z.pdb_id, z.resolution, z.experimental_method, string_agg(z.chain_id || (r.p + z.pdb_start - z.unp_start), ',' ORDER BY z.chain_id) AS places FROM r JOIN {{structure_regions}} z
+   ON z.accession = r.accession AND len(list_filter(z.observed_regions, lambda q: r.p BETWEEN q[1] AND q[2])) > 0 GROUP BY ALL) GROUP BY 1, 2)"""
+_JOINS = """LEFT JOIN f ON f.accession = v.accession AND f.p = v.protein_position LEFT JOIN h ON h.accession = v.accession LEFT JOIN k ON k.accession = v.accession AND k.p = v.protein_position LEFT JOIN i ON i.accession = v.accession AND i.p = v.protein_position
+ LEFT JOIN x ON x.protein_acc = v.accession AND x.position = v.protein_position AND x.mutated_type = v.alt_aa LEFT JOIN c ON c.accession = v.accession AND c.position = v.protein_position LEFT JOIN {esm} e ON e.accession = v.accession AND e.position = v.protein_position AND e.mt_aa = v.alt_aa
+ LEFT JOIN w ON w.chromosome = v.chromosome AND w.genomic_position = v.genomic_position AND w.allele = v.allele AND w.alt_allele = v.alt_allele AND w.accession = v.accession LEFT JOIN t ON t.accession = v.accession AND t.p = v.protein_position
+ LEFT JOIN {gnomad_allele_freq} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele"""
+#: A double below a thousandth is written with an exponent; here it is a number of fifty-thousandths.
+_AF = "CASE WHEN g.ac > 0 AND 2 * g.ac < 10 THEN (2 * g.ac) || '.0E-5' WHEN g.ac > 0 AND 2 * g.ac < 100 THEN (2 * g.ac // 10) || '.' || (2 * g.ac % 10) || 'E-4' ELSE CAST(g.af AS VARCHAR) END"
+_FUNCTION = {
+    "Residue_function_(evidence)": "f.one", "Region_function_(evidence)": "f.span", "Protein_existence_evidence": "h.existence", "Protein_length": "h.len", "Entry_last_updated": "h.updated", "Sequence_last_updated": "h.modified",
+    "Protein_catalytic_activity": "h.activity", "Protein_complex": "h.complex", "Protein_sub_cellular_location": "h.location", "Protein_family": "h.family", "Protein_interactions_PROTEIN(gene)": "h.partners",
+    "Predicted_pockets(energy;per_vol;score;resids)": "k.pockets", "Predicted_interactions(chainA-chainB;a_resids;b_resids;pDockQ)": "i.interactions", "Foldx_prediction(foldxDdg;plddt)": "x.foldx", "Conservation_score": "c.score", "ESM1b_score": "e.score",
+}
+_POPULATION = {
+    "Gnomad_allele_freq(ac;an;af)": f"g.ac || ';' || g.an || ';' || {_AF}", "Genomic_location": "w.place", "Cytogenetic_band": "w.band", "Other_identifiers_for_the_variant": "w.ids",
+    "Diseases_associated_with_variant": "w.diseases", "Variants_colocated_at_residue_position": "w.colocated", "Position_in_structures": "t.structures",
+}
+_MAPPED = {
+    "Gene": "v.gene_name", "Codon_change": "v.codon || '/' || v.alt_codon", "Strand": "CASE WHEN v.reverse_strand THEN '-' ELSE '+' END", "CADD_phred_like_score": "d.score", "Canonical_isoform_transcripts": "'[' || v.ensp || '(' || v.enst || ')]'",
+    "MANE_transcript": "CASE WHEN v.is_mane_select THEN v.enst END", "Uniprot_canonical_isoform_(non_canonical)": "v.accession", "Alternative_isoform_mappings": f"CASE WHEN NOT v.is_canonical THEN v.accession || ';' || v.protein_position || ';' || CASE v.protein_seq {_THREE} END || '/' || CASE v.alt_aa {_THREE} END || ';' || {_CONSEQUENCE} || ';[' || v.ensp || '(' || v.enst || ')]' END",
+    "Protein_name": "v.protein_name", "Amino_acid_position": "v.protein_position", "Amino_acid_change": f"CASE v.protein_seq {_THREE} END || '/' || CASE v.alt_aa {_THREE} END", "Consequences": _CONSEQUENCE,
+    "AlphaMissense_pathogenicity(class)": "CASE WHEN v.is_canonical THEN a.am_pathogenicity || '(' || CASE a.am_class WHEN -1 THEN 'AMBIGUOUS' WHEN 0 THEN 'BENIGN' ELSE 'PATHOGENIC' END || ')' END",
+    "popEVE_score(class)": "CASE WHEN v.is_canonical THEN u.popeve || '(' || CASE WHEN u.popeve < -5.056 THEN 'SEVERE' WHEN u.popeve < -4.617 THEN 'MODERATELY_DELETERIOUS' ELSE 'UNLIKELY_DELETERIOUS' END || ')' END",
+}
+_SCORES = f"""LEFT JOIN {{cadd}} d ON d.chromosome = v.chromosome AND d.position = v.genomic_position AND d.reference_allele = v.allele AND d.alt_allele = v.alt_allele LEFT JOIN {{alphamissense}} a ON a.accession = v.accession AND a.position = v.protein_position AND a.wt_aa = v.protein_seq AND a.mt_aa = v.alt_aa
+ LEFT JOIN {_POPEVE} u ON u.uniprot_acc = v.accession AND u.position = v.protein_position AND u.wt_aa = v.protein_seq AND u.mt_aa = v.alt_aa"""
+_KEY = ["chromosome", "genomic_position", "allele", "alt_allele", "accession"]
+_KNOWN = "SELECT v.* FROM {variants} v SEMI JOIN {gnomad_allele_freq} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele"
+#: The codon with the base of the alternate allele in its place.
+_ALT_CODON = "CASE WHEN reverse_strand THEN replace(translate(alt_allele, 'ATGC', 'TACG'), 'T', 'U') ELSE replace(alt_allele, 'T', 'U') END"
+_CODON = f"CASE codon_position WHEN 1 THEN {_ALT_CODON} || substr(codon, 2, 2) WHEN 2 THEN substr(codon, 1, 1) || {_ALT_CODON} || substr(codon, 3, 1) ELSE substr(codon, 1, 2) || {_ALT_CODON} END"
+
+
+def _cells(named: dict[str, str]) -> str:
+    return ", ".join(f'{_NA.format(sql)} AS "{name}"' for name, sql in named.items())
+
+
+def _known_cells(t, names):
+    """Cells of every variant with a population frequency, by its key."""
+    rows = full_rows(_core(t), t)
+    return csv_rows(rows.withColumns({f"key_{c}": F.col(c) for c in _KEY}), [f"key_{c}" for c in _KEY]).select(*[F.col(f"key_{c}").alias(c) for c in _KEY], *[F.col(f"`{n}`") for n in names])
+
+
+_KEYS = ", ".join(f"v.{c}" for c in _KEY)
+
+
+@query(f"WITH v AS MATERIALIZED ({_KNOWN}), {_CELLS} SELECT {_KEYS}, {_cells(_FUNCTION)} FROM v {_JOINS}")
 def csv_function_columns(t):
-    rows = csv_rows(function_cells(_chosen(t), t).withColumn("input", F.concat_ws(" ", *KEY)))
-    names = {
-        "Residue_function_(evidence)": "residue_function", "Region_function_(evidence)": "region_function", "Predicted_pockets(energy;per_vol;score;resids)": "pockets",
-        "Predicted_interactions(chainA-chainB;a_resids;b_resids;pDockQ)": "interactions", "Protein_interactions_PROTEIN(gene)": "partners", "Foldx_prediction(foldxDdg;plddt)": "foldx",
-        "Conservation_score": "conservation", "ESM1b_score": "esm", "Protein_name": "protein_name", "Protein_existence_evidence": "existence", "Protein_length": "length", "Entry_last_updated": "entry_updated",
-        "Sequence_last_updated": "sequence_updated", "Protein_catalytic_activity": "activity", "Protein_complex": "complex", "Protein_sub_cellular_location": "location", "Protein_family": "family",
-    }
-    return rows.select(*_keys(), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-
-
-KEY = ["chromosome", "genomic_position", "allele", "alt_allele", "accession"]
-
-
-def _keys():
-    """The key of a row, back from its input cell."""
-    return [F.split("User_input", " ")[k].cast("int" if c == "genomic_position" else "string").alias(c) for k, c in enumerate(KEY)]
-
-
-@query(f"""WITH v AS MATERIALIZED ({_VC}), r AS MATERIALIZED (SELECT DISTINCT accession, protein_position AS p FROM v),
- s AS (SELECT chr, pos, ref, alt, string_agg(DISTINCT id, '|' ORDER BY id) AS id FROM (SELECT id, chr, pos, ref, unnest(string_split(alt, ',')) AS alt FROM {{dbsnp}}) GROUP BY 1, 2, 3, 4),
- o AS (SELECT chr, pos, ref, alt, string_agg(DISTINCT other, '|' ORDER BY other) AS other FROM (SELECT chr, pos, ref, alt, unnest(list_append(rcvs, vcv)) AS other FROM {{clinvar_extended}} UNION ALL SELECT chr, pos, ref, alt, unnest([id, legacy_id]) FROM {{cosmic}}) GROUP BY 1, 2, 3, 4),
- d AS (SELECT accession, position, string_agg(DISTINCT clin_sig, '|' ORDER BY clin_sig) AS diseases FROM {{population}} WHERE disease GROUP BY 1, 2),
- w AS MATERIALIZED (SELECT DISTINCT m.accession, m.protein_position AS p, m.chromosome || '-' || m.genomic_position || '-' || m.allele || '-' || g.alt AS name FROM {{mapping}} m SEMI JOIN r ON r.accession = m.accession AND r.p = m.protein_position JOIN {{gnomad_allele_freq}} g ON g.chr = m.chromosome AND g.pos = m.genomic_position AND g.ref = m.allele),
- c AS (SELECT v.chromosome, v.genomic_position, v.allele, v.alt_allele, v.accession, string_agg(w.name, '|' ORDER BY w.name) AS colocated FROM v JOIN w ON w.accession = v.accession AND w.p = v.protein_position AND w.name <> v.chromosome || '-' || v.genomic_position || '-' || v.allele || '-' || v.alt_allele GROUP BY ALL),
- t AS (SELECT accession, p, string_agg(pdb_id || ';' || chains || ';' || spot, '|' ORDER BY pdb_id) AS structures FROM (SELECT r.accession, r.p, x.pdb_id, string_agg(DISTINCT chain_id, ',' ORDER BY chain_id) AS chains, min(r.p + x.pdb_start - x.unp_start) AS spot FROM r JOIN {{structure_regions}} x ON x.accession = r.accession AND len(list_filter(x.observed_regions, lambda q: r.p BETWEEN q[1] AND q[2])) > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
- SELECT {_KEYS}, {_NA.format("s.id")} AS id, g.ac || ';' || g.an || ';' || CAST(g.af AS DECIMAL(18,8)) AS frequency, v.chromosome || ':' || v.genomic_position AS place, {_NA.format("v.chromosome || y.band")} AS band, {_NA.format("o.other")} AS other_ids, {_NA.format("d.diseases")} AS diseases, {_NA.format("c.colocated")} AS colocated, {_NA.format("t.structures")} AS structures
- FROM v JOIN {{gnomad_allele_freq}} g ON g.chr = v.chromosome AND g.pos = v.genomic_position AND g.ref = v.allele AND g.alt = v.alt_allele LEFT JOIN s ON s.chr = v.chromosome AND s.pos = v.genomic_position AND s.ref = v.allele AND s.alt = v.alt_allele
- LEFT JOIN o ON o.chr = v.chromosome AND o.pos = v.genomic_position AND o.ref = v.allele AND o.alt = v.alt_allele LEFT JOIN {{cytoband}} y ON y.chr = v.chromosome AND v.genomic_position BETWEEN y.begin_pos AND y.end_pos LEFT JOIN d ON d.accession = v.accession AND d.position = v.protein_position
- LEFT JOIN c ON c.chromosome = v.chromosome AND c.genomic_position = v.genomic_position AND c.allele = v.allele AND c.alt_allele = v.alt_allele AND c.accession = v.accession LEFT JOIN t ON t.accession = v.accession AND t.p = v.protein_position""")
+    return _known_cells(t, _FUNCTION)
+
+
+@query(f"WITH v AS MATERIALIZED ({_KNOWN}), {_CELLS} SELECT {_KEYS}, {_cells(_POPULATION)} FROM v {_JOINS}")
 def csv_population_columns(t):
-    rows = csv_rows(population_cells(_chosen(t), t).withColumn("input", F.concat_ws(" ", *KEY)))
-    names = {
-        "ID": "id", "Gnomad_allele_freq(ac;an;af)": "frequency", "Genomic_location": "place", "Cytogenetic_band": "band", "Other_identifiers_for_the_variant": "other_ids",
-        "Diseases_associated_with_variant": "diseases", "Variants_colocated_at_residue_position": "colocated", "Position_in_structures": "structures",
-    }
-    return rows.select(*_keys(), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return _known_cells(t, _POPULATION)
+
+
+@query(f"WITH v AS MATERIALIZED (SELECT *, {_CODON} AS alt_codon FROM ({_KNOWN})) SELECT {_KEYS}, {_cells(_MAPPED)} FROM v {_SCORES}")
+def csv_export_rows(t):
+    return _known_cells(t, _MAPPED)
+
+
+#: Every line with what it stands for: kind 0 to 3 the variant that it was made of, 4 the alternates of an id, 5 a place without mapping, 6 no variant, 7 a place on chromosome 1.
+_LINES = """l AS MATERIALIZED (SELECT genomic_position AS line_no, d.line, v.genomic_position % 8 AS k, v.chromosome, v.allele, v.alt_allele FROM {variants} v JOIN {download_input} d ON d.line_no = v.genomic_position WHERE is_canonical AND alt_allele = CASE WHEN allele = 'A' THEN 'T' ELSE 'A' END),
+ o AS MATERIALIZED (SELECT line_no, line, k, chromosome AS chr, allele AS ref, alt_allele AS alt FROM l WHERE k < 4 UNION ALL SELECT line_no, line, k, s.chr, s.ref, unnest(string_split(s.alt, ',')) FROM l JOIN {dbsnp} s ON s.id = l.line WHERE k = 4
+  UNION ALL SELECT line_no, line, k, 'X', 'A', 'T' FROM l WHERE k = 5 UNION ALL SELECT line_no, line, k, '1', allele, alt_allele FROM l WHERE k = 7
+  UNION ALL SELECT line_no, line, k, NULL, NULL, NULL FROM l WHERE k = 6 OR k = 4 AND line NOT IN (SELECT id FROM {dbsnp})),"""
+
+
+@query(f"""WITH {_LINES} v AS MATERIALIZED (SELECT o.line_no, o.line, o.k, z.*, {_CODON.replace("alt_allele", "z.alt_allele").replace("codon_position", "z.codon_position").replace("reverse_strand", "z.reverse_strand")} AS alt_codon FROM o JOIN {{variants}} z ON z.chromosome = o.chr AND z.genomic_position = o.line_no AND z.allele = o.ref AND z.alt_allele = o.alt), {_CELLS},
+ y AS (SELECT DISTINCT v.line_no, v.chromosome, v.genomic_position, v.allele, v.alt_allele, {_cells({**_MAPPED, **_FUNCTION, **_POPULATION})} FROM v {_JOINS} {_SCORES})
+ SELECT o.line_no, row_number() OVER (PARTITION BY o.line_no ORDER BY o.alt) AS seq, o.line AS "User_input", {_NA.format("o.chr")} AS "Chromosome", CASE WHEN o.chr IS NULL THEN 'N/A' ELSE CAST(o.line_no AS VARCHAR) END AS "Coordinate", CASE o.k WHEN 1 THEN 'id' || o.line_no WHEN 4 THEN o.line ELSE 'N/A' END AS "ID",
+ {_NA.format("o.ref")} AS "Reference_allele", {_NA.format("o.alt")} AS "Alternative_allele", CASE WHEN y.line_no IS NOT NULL THEN 'N/A' WHEN o.k = 6 THEN 'ERROR:Unsupported format' WHEN o.k = 4 THEN 'ERROR:No mapping found for dbSNP ID.' ELSE 'No mapping found' END AS "Notes",
+ {", ".join(f"coalesce(y.{chr(34)}{n}{chr(34)}, 'N/A') AS {chr(34)}{n}{chr(34)}" for n in [*_MAPPED, *_FUNCTION, *_POPULATION])} FROM o LEFT JOIN y ON y.line_no = o.line_no AND y.chromosome = o.chr AND y.allele = o.ref AND y.alt_allele = o.alt""")
+def download_lines(t):
+    """Every line of an input with its 44 cells and its place in the download: mapped, unmapped and invalid ones."""
+    return ordered_download(t["download_input"], t).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"""WITH v AS MATERIALIZED (SELECT DISTINCT '' AS chromosome, 0 AS genomic_position, '' AS allele, '' AS alt_allele, accession, protein_position, protein_seq, '' AS alt_aa FROM {{mapping}} WHERE is_canonical), {_CELLS}
+ SELECT v.accession, v.protein_position, {_cells({"existence": "h.existence", "n_comments": "h.family", "residue_function": "f.one", "region_function": "f.span", "conservation": "c.score"})}, coalesce(s.n, 0) AS n_pockets, coalesce(b2.n, 0) AS n_interactions FROM v {_JOINS}
+ LEFT JOIN (SELECT struct_id, q, count(*) AS n FROM (SELECT struct_id, unnest(pocket_resid) AS q FROM {{pocket}}) GROUP BY 1, 2) s ON s.struct_id = v.accession AND s.q = v.protein_position LEFT JOIN (SELECT accession, p, count(*) AS n FROM b GROUP BY 1, 2) b2 ON b2.accession = v.accession AND b2.p = v.protein_position""")
+def function_records(t):
+    """The function of every canonical residue as a nested record: one shuffle for all tables of facts."""
+    asked = t["mapping"].filter("is_canonical").select("accession", "protein_position", F.lit(None).cast("string").alias("variant_aa")).distinct()
+    rows = function_answer(asked, t)
+    cells = {"existence": F.col("existence"), "n_comments": records.comment_cells(F.col("comments"))["family"], "residue_function": records.features_cell(F.col("features"), True), "region_function": records.features_cell(F.col("features"), False), "conservation": F.col("conservation")}
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("pockets", "interactions")]
+    return rows.select("accession", "protein_position", *[or_na(c).alias(n) for n, c in cells.items()], *counts)
+
+
+@query("""SELECT accession, position AS protein_position, string_agg(alt, ',' ORDER BY wild_type, alt) AS alts, CAST(count(*) AS BIGINT) AS n FROM {population} SEMI JOIN (SELECT DISTINCT accession, protein_position FROM {mapping}) m ON m.accession = population.accession AND m.protein_position = position
+ WHERE json_valid(raw_json) GROUP BY 1, 2""")
+def population_records(t):
+    """Population variants of every mapped residue as records; rows whose record can't be read are left out."""
+    known = facts(t["mapping"].select("accession", "protein_position"), t, ["variants"])
+    alts = F.transform(F.filter("variants", lambda v: records.variant(v["raw_json"]).isNotNull()), lambda v: v["alt"])
+    return known.select("accession", "protein_position", F.array_join(alts, ",").alias("alts"), F.size(alts).cast("long").alias("n")).filter("n > 0")

@@ -6,28 +6,75 @@ once. Nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import groupwise, vector
-from .plans import annotate, browse, export, resolve
-from .plans.lines import invalid_lines, parse_lines, resolve_lines, unmapped_lines
+from .operators import groupwise, narrow, vector
+from .plans import annotate, browse, export, residues, resolve
+from .plans.lines import Resolved, invalid_lines, parse_lines, resolve_all, resolve_lines, unmapped_lines
 from .sources.catalog import Catalog
 from .sources.lineage import cut
 
-__all__ = ["Service", "annotate_lines", "download_lines", "invalid_lines", "parse_lines", "resolve_lines", "unmapped_lines"]
+__all__ = ["Service", "annotate_lines", "download_lines", "invalid_lines", "ordered_download", "parse_lines", "resolve_lines", "unmapped_lines", "write_download"]
 
-def annotate_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
-    """Resolved lines with gene, consequence and scores, one row for each line, variant and mapping."""
-    return annotate.annotate_core(resolve_lines(lines, t, assembly), t, carried=["line_no", "warnings"])
+#: Columns that order a download: lines as given, then variants and genes of a line.
+ORDER = ["line_no", "seq"]
+
+
+def annotate_variants(variants: DataFrame, t: Catalog, carried: list[str]) -> DataFrame:
+    """annotate_core for variants that may be few: these cut the mapping and the scores down at their scans."""
+    variants = cut(variants)
+    return annotate.annotate_core(variants, annotate.narrowed(t, variants), carried)
 
 
-def download_lines(lines: DataFrame, t: Catalog, assembly: str = "GRCH38") -> DataFrame:
-    """The 44 CSV cells for each annotated line, and one row with its messages for each invalid one."""
-    core = cut(annotate_lines(lines, t, assembly).withColumnRenamed("warnings", "notes"))  # read once for each kind of cell
-    done = export.full_rows(core, t, ["line_no"]).join(lines.select("line_no", F.col("line").alias("input")), "line_no")
-    wrong = invalid_lines(lines).select(F.col("line").alias("input"), F.col("messages").alias("notes"))
-    return export.csv_rows(done).unionByName(export.csv_rows(wrong))
+def annotate_lines(lines: DataFrame, t: Catalog, assembly: str | None = "GRCH38") -> DataFrame:
+    """Resolved lines with gene, consequence and scores, one row for each line, variant and mapping."""
+    return annotate_variants(resolve_lines(lines, t, assembly), t, ["line_no", "warnings"])
+
+
+def _notes(done: Resolved) -> DataFrame:
+    """(line_no, said): what the ledger says of each line, stage by stage."""
+    items = F.sort_array(F.collect_set(F.struct("stage", "text")))
+    return done.ledger.groupBy("line_no").agg(F.transform(items, lambda x: x["text"]).alias("said"))
+
+
+def ordered_download(lines: DataFrame, t: Catalog, assembly: str | None = "GRCH38", every_gene: bool = False) -> DataFrame:
+    """line_no, seq and the 44 cells: every line has a row, whatever became of it; seq numbers the rows of a line.
+
+    A mapped line has a row for each variant and gene, a valid one without mapping a row for each place that it
+    names (one, if it names none), an invalid one a row with its messages. Line numbers must be distinct.
+    """
+    done = resolve_all(lines, t, assembly)
+    said = cut(_notes(done))
+    core = cut(annotate_variants(done.variants, t, ["line_no", "warnings"]))  # read for genes and for lines that have none
+    genes = export.full_rows(core, t, ["line_no", "warnings"], every_gene)
+    lost = done.places.join(core.select("line_no", "chromosome", "genomic_position").distinct(), ["line_no", "chromosome", "genomic_position"], "left_anti")
+    lost = lost.select("line_no", "chromosome", "genomic_position", F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"), F.col("notes").alias("warnings"))
+    rows = genes.unionByName(lost, allowMissingColumns=True)
+    about = done.parsed.select("line_no", F.col("line").alias("input"), F.coalesce(F.when(F.col("type") == "VARIANT_ID", F.trim("line")), "vcf_id").alias("input_id"), F.struct("chr", "pos", "ref", "alt", "type").alias("given"))
+    # Outer: lines that name no place keep their row.
+    rows = about.join(said, "line_no", "left").join(rows, "line_no", "left")
+    named = F.col("chromosome").isNull() & (F.col("given.type") == "GENOMIC")
+    for own, of in {"chromosome": "chr", "genomic_position": "pos", "allele": "ref", "alt_allele": "alt"}.items():
+        rows = rows.withColumn(f"__{own}", F.when(named, F.col("given")[of]).otherwise(F.col(own)))
+    for own in ("chromosome", "genomic_position", "allele", "alt_allele"):
+        rows = rows.drop(own).withColumnRenamed(f"__{own}", own)
+    notes = F.array_distinct(F.concat(F.coalesce("said", F.array().cast("array<string>")), F.coalesce("warnings", F.array().cast("array<string>"))))
+    wrong = F.exists(notes, lambda n: n.startswith("ERROR:"))
+    notes = F.when(F.col("accession").isNull() & ~wrong, F.concat(notes, F.array(F.lit(export.NO_MAPPING)))).otherwise(notes)
+    number = F.row_number().over(Window.partitionBy("line_no").orderBy("chromosome", "genomic_position", "allele", "alt_allele", "gene_name", "ensg", "warnings"))
+    rows = rows.withColumn("notes", F.array_join(notes, ";")).withColumn("seq", number)
+    return export.csv_rows(rows, ORDER)
+
+
+def download_lines(lines: DataFrame, t: Catalog, assembly: str | None = "GRCH38", every_gene: bool = False) -> DataFrame:
+    """The 44 cells of ordered_download, in its order."""
+    return ordered_download(lines, t, assembly, every_gene).orderBy(*ORDER).drop(*ORDER)
+
+
+def write_download(lines: DataFrame, t: Catalog, path: str, assembly: str | None = "GRCH38", single_file: bool = False, every_gene: bool = False) -> None:
+    """A download as gzip CSV: sorted parts, or one file of them under one header."""
+    export.write_csv(ordered_download(lines, t, assembly, every_gene), path, ORDER, single_file)
 
 
 class Service:
@@ -42,11 +89,17 @@ class Service:
     def mapping(self, line: str, assembly: str | None = None) -> DataFrame:
         return annotate_lines(self.t.spark.createDataFrame([(1, line)], "line_no long, line string"), self.t, assembly)
 
-    def function(self, accession: str, position: int) -> DataFrame:
+    def features(self, accession: str, position: int) -> DataFrame:
         return annotate.features_at(self.t["function_feature"], accession, position)
 
-    def population(self, accession: str, position: int) -> DataFrame:
-        return self.t["population"].filter((F.col("accession") == accession) & (F.col("position") == position))
+    def function(self, accession: str, position: int, variant_aa: str | None = None) -> DataFrame:
+        """The record of the residue's function: entry, features with evidences, pockets, interactions, and the predictions for an amino acid (one letter)."""
+        return residues.function_answer(self.t.spark.createDataFrame([(accession, position, variant_aa)], "accession string, protein_position int, variant_aa string"), self.t)
+
+    def population(self, accession: str, position: int, chromosome: str | None = None, genomic_position: int | None = None, alt_allele: str | None = None) -> DataFrame:
+        """Population variants of the residue as records, and frequencies at the genomic place by alternate base."""
+        asked = [(accession, position, chromosome, genomic_position, alt_allele)]
+        return residues.population_answer(self.t.spark.createDataFrame(asked, "accession string, protein_position int, chromosome string, genomic_position int, alt_allele string"), self.t)
 
     def structure(self, accession: str, position: int) -> DataFrame:
         return annotate.structure_residues(self.t["structure_regions"].filter(F.col("accession") == accession), F.lit(position))
@@ -57,6 +110,12 @@ class Service:
     def allele_frequency(self, chromosome: str, position: int) -> DataFrame:
         return self.t["gnomad_allele_freq"].filter((F.col("chr") == chromosome) & (F.col("pos") == position))
 
+    def allele_frequencies(self, places: DataFrame) -> DataFrame:
+        """Frequencies of many (chromosome, genomic_position), those without any too."""
+        keys = narrow.Keys(places, "chromosome", "genomic_position")
+        found = keys.bounded(self.t["gnomad_allele_freq"], "chr", "pos").withColumnsRenamed({"chr": "chromosome", "pos": "genomic_position"})
+        return places.select("chromosome", "genomic_position").distinct().join(found, ["chromosome", "genomic_position"], "left")
+
     def foldx(self, accession: str, position: int, fragments: str = "all") -> DataFrame:
         rows = self.t["foldx"].filter((F.col("protein_acc") == accession) & (F.col("position") == position))
         return groupwise.foldx_middle(rows) if fragments == "middle" else rows.orderBy("mutated_type", "af_id")

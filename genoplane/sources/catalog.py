@@ -20,6 +20,7 @@ def _popeve_by_accession(t: Catalog) -> DataFrame:
 
 #: Tables made from others by operators, where a release has not written them.
 DERIVED = {"popeve_by_accession": _popeve_by_accession}
+DERIVED_FROM = {"popeve_by_accession": ["popeve", "uniprot_refseq"]}
 
 
 class Catalog:
@@ -37,6 +38,8 @@ class Catalog:
         """Whether a table is given, written, or derived from such."""
         if name in self.given:
             return True
+        if name in DERIVED:
+            return all(other in self for other in DERIVED_FROM[name])
         if name in fixtures.TABLES:
             return all(other in self for other in fixtures.needs(fixtures.TABLES[name]))
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.directory}/{name}.parquet")

@@ -1,8 +1,8 @@
 """Variant tables derived from the star schema, for tests and for checks against DuckDB.
 
 Each text is SQL in which ``{name}`` stands for another table, ARR(...) for an array
-literal, SPLIT(...) for splitting at a comma and SORTED_LIST(...) for values joined by
-a comma in order. ``spark_text`` and ``duckdb_text`` put in the spelling of an engine.
+literal, SPLIT(...) for splitting at a comma, SORTED_LIST(...) for values joined by
+a comma in order, and << and >> for the braces of JSON. ``spark_text`` and ``duckdb_text`` put in the spelling of an engine.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ SELECT s.chromosome, s.genomic_position,
  CASE s.codon_position WHEN 1 THEN substr(s.cod,1,1) || lower(substr(s.cod,2,2))
    WHEN 2 THEN lower(substr(s.cod,1,1)) || substr(s.cod,2,1) || lower(substr(s.cod,3,1))
    ELSE lower(substr(s.cod,1,2)) || substr(s.cod,3,1) END AS codon,
- s.codon_position, s.reverse_strand, s.gene_name, s.ensg, s.enst, s.is_canonical, s.is_mane_select
+ s.codon_position, s.reverse_strand, s.gene_name, s.ensg, s.enst, s.ensp, s.is_canonical, s.is_mane_select, s.protein_name
 FROM (
  SELECT CAST(1 + o_custkey % 22 AS VARCHAR(8)) AS chromosome,
   CAST(o_orderkey*3 + k.cp AS INT) AS genomic_position,
@@ -32,7 +32,8 @@ FROM (
   k.cp AS codon_position, (o_custkey % 2 = 1) AS reverse_strand,
   'GENE' || CAST(o_custkey % 40 AS VARCHAR(12)) AS gene_name,
   'ENSG' || lpad(CAST(o_custkey % 40 AS VARCHAR(12)), 11, '0') AS ensg,
-  'ENST' || lpad(CAST(o_custkey AS VARCHAR(12)), 11, '0') AS enst,
+  'ENST' || lpad(CAST(o_custkey AS VARCHAR(12)), 11, '0') AS enst, 'ENSP' || lpad(CAST(o_custkey AS VARCHAR(12)), 11, '0') AS ensp,
+  'protein ' || CAST(o_custkey AS VARCHAR(12)) AS protein_name,
   (o_orderkey % 5 <> 0) AS is_canonical, (o_orderkey % 3 = 0) AS is_mane_select
  FROM {orders} CROSS JOIN (VALUES (1),(2),(3)) k(cp)) s
 JOIN {codon_table} ct ON ct.codon = s.cod
@@ -106,17 +107,39 @@ SELECT DISTINCT chromosome AS chr, genomic_position AS grch38_pos, allele AS grc
     "function_feature": """
 SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR(12)), 5, '0') AS accession, CAST(o_orderkey AS INT) AS feature_index,
  CASE o_orderkey % 7 WHEN 0 THEN 'MOD_RES' WHEN 1 THEN 'DOMAIN' WHEN 2 THEN 'DISULFID' WHEN 3 THEN 'BINDING' WHEN 4 THEN 'ACT_SITE' WHEN 5 THEN 'TRANSMEM' ELSE 'MUTAGEN' END AS type,
- CAST(o_orderkey AS INT) AS begin_pos, CAST(o_orderkey + CASE WHEN o_orderkey % 7 IN (1,2,5) THEN 900 ELSE 0 END AS INT) AS end_pos
+ CAST(o_orderkey AS INT) AS begin_pos, CAST(o_orderkey + CASE WHEN o_orderkey % 7 IN (1,2,5) THEN 900 ELSE 0 END AS INT) AS end_pos,
+ CASE WHEN o_orderkey % 11 = 0 THEN 'VARIANTS' ELSE 'DOMAINS_AND_SITES' END AS category, CASE WHEN o_orderkey % 3 > 0 THEN 'site ' || CAST(o_orderkey % 5 AS VARCHAR(4)) END AS description,
+ CASE o_orderkey % 8 WHEN 0 THEN '[' WHEN 2 THEN '[]' WHEN 4 THEN '[<<"code":"ECO:1","source":<<"name":"PubMed","id":"' || CAST(o_orderkey AS VARCHAR(12)) || '">>>>,<<"source":<<"name":"PROSITE","id":"PS1">>>>,<<"code":"ECO:2">>,<<"source":<<"name":"PubMed","id":"7">>>>]' END AS evidences_json
 FROM {orders} WHERE o_orderkey % 2 = 0
+""",
+    "function_header": """
+SELECT 'P' || lpad(CAST(c_custkey AS VARCHAR(12)), 5, '0') AS accession,
+ CASE WHEN c_custkey % 17 = 3 THEN '<<bad' ELSE '<<"accession":"P' || CAST(c_custkey AS VARCHAR(12)) || '","proteinExistence":"' || CASE WHEN c_custkey % 2 = 0 THEN 'evidence at protein level' ELSE 'predicted' END
+ || '","info":<<"type":"Swiss-Prot","modified":"2024-0' || CAST(1 + c_custkey % 9 AS VARCHAR(4)) || '-01">>,"sequence":<<"length":' || CAST(100 + c_custkey % 900 AS VARCHAR(8)) || ',"modified":"2020-0' || CAST(1 + c_custkey % 7 AS VARCHAR(4)) || '-02">>,'
+ || '"protein":<<"recommendedName":<<"fullName":<<"value":"protein ' || CAST(c_custkey AS VARCHAR(12)) || '">>>>,"alternativeName":[<<"fullName":<<"value":"x">>>>,<<"fullName":<<"value":"y">>>>]>>,'
+ || '"gene":[<<"name":<<"value":"GENE' || CAST(c_custkey % 40 AS VARCHAR(12)) || '">>>>],"dbReferences":[<<"type":"Pfam","id":"PF1">>,<<"type":"PDB","id":"1ABC">>],"comments":['
+ || '<<"type":"CATALYTIC_ACTIVITY","reaction":<<"dbReferences":[<<"type":"ChEBI","id":"CHEBI:1">>,<<"type":"Rhea","id":"RHEA:' || CAST(c_custkey % 5 AS VARCHAR(4)) || '">>],"evidences":[<<"source":<<"name":"PubMed","id":"' || CAST(c_custkey AS VARCHAR(12)) || '">>>>]>>>>,'
+ || '<<"type":"SUBCELLULAR_LOCATION","locations":[<<"location":<<"value":"Membrane">>,"topology":<<"value":"Single-pass">>>>,<<"location":<<"value":"Nucleus">>>>]>>,'
+ || CASE WHEN c_custkey % 3 = 0 THEN '<<"type":"SUBUNIT","text":[<<"value":"Homodimer. Rarely a tetramer.">>]>>,' ELSE '' END
+ || '<<"type":"SIMILARITY","text":[<<"value":"Belongs to family ' || CAST(c_custkey % 11 AS VARCHAR(4)) || '">>]>>,<<"type":"SIMILARITY","text":[<<"value":"Second. Of two.">>]>>,'
+ || '<<"type":"INTERACTION","interactions":[<<"accession1":"P","accession2":"Q' || CAST(c_custkey % 7 AS VARCHAR(4)) || '","gene":"G1">>,<<"accession2":"Q9","gene":"G2">>]>>]>>' END AS header_json
+FROM {customer} WHERE c_custkey % 9 <> 4
 """,
     "population": """
 SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR(12)), 5, '0') AS accession, CAST(o_orderkey AS INT) AS position,
- (o_orderkey % 4 = 1) AS disease, o_orderpriority AS clin_sig FROM {orders} WHERE o_orderkey % 3 <> 2
+ (o_orderkey % 4 = 1) AS disease, o_orderpriority AS clin_sig, substr('ACDEFGHIKLMNPQRSTVWY', CAST(1 + o_orderkey % 20 AS INT), 1) AS wild_type,
+ substr('ACDEFGHIKLMNPQRSTVWY', CAST(1 + (o_orderkey*7 + k.n*3) % 20 AS INT), 1) AS alt,
+ CASE o_orderkey % 13 WHEN 5 THEN '<<bad' WHEN 7 THEN NULL ELSE '<<"genomicLocation":["NC_1:g.' || CAST(o_orderkey*3 + k.n AS VARCHAR(12)) || 'A>T","second"],' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE '"cytogeneticBand":"1p' || CAST(o_orderkey % 30 AS VARCHAR(4)) || '",' END
+  || '"xrefs":[<<"name":"ClinVar","id":"RCV' || CAST(o_orderkey AS VARCHAR(12)) || '">>,<<"name":"gnomAD","id":"rs' || CAST(o_orderkey AS VARCHAR(12)) || '">>,<<"name":"Ensembl","id":"e' || CAST(k.n AS VARCHAR(4)) || '">>],'
+  || '"clinicalSignificances":[<<"type":"Benign","sources":["ClinVar","Ensembl"]>>,<<"type":"Pathogenic","sources":["ClinVar"]>>],"populationFrequencies":[<<"populationName":"MAF","frequency":0.25,"source":"gnomAD">>],'
+  || '"association":[' || CASE WHEN o_orderkey % 4 = 1 THEN '<<"name":"disease ' || CAST(o_orderkey % 9 AS VARCHAR(4)) || '","evidences":[<<"source":<<"name":"ClinVar","id":"RCV1">>>>,<<"source":<<"name":"ClinVar","id":"RCV2">>>>]>>' ELSE '' END || ']>>' END AS raw_json
+FROM {orders} JOIN (VALUES (0),(1)) k(n) ON k.n = 0 OR o_orderkey % 5 = 0 WHERE o_orderkey % 3 <> 2
 """,
     "pocket": """
 SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR(12)), 5, '0') AS struct_id, CAST(o_orderkey % 10 AS INT) AS pocket_id,
  ARR(CAST(o_orderkey AS INT), CAST(o_orderkey + 1 AS INT), CAST(o_orderkey + 5 AS INT)) AS pocket_resid,
- CAST(o_orderkey % 900 AS DOUBLE) AS pocket_score_combined_scaled FROM {orders} WHERE o_orderkey % 10 < 4
+ CAST(o_orderkey % 900 AS DOUBLE) AS pocket_score_combined_scaled, CAST(o_orderkey % 70 AS DOUBLE)/4 AS pocket_rad_gyration, CAST(0 - o_orderkey % 30 AS DOUBLE)/2 AS pocket_energy_per_vol,
+ CAST(o_orderkey % 9 AS DOUBLE)/8 AS pocket_buriedness, CAST(50 + o_orderkey % 50 AS DOUBLE) AS pocket_mean_plddt FROM {orders} WHERE o_orderkey % 10 < 4
 """,
     "interfaces": """
 SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR(12)), 5, '0') AS a, 'P' || lpad(CAST(1 + (o_custkey*7) % 1500 AS VARCHAR(12)), 5, '0') AS b,
@@ -125,7 +148,8 @@ SELECT 'P' || lpad(CAST(o_custkey AS VARCHAR(12)), 5, '0') AS a, 'P' || lpad(CAS
 """,
     "structure_regions": """
 SELECT accession, pdb_id, chain_id, unp_start, unp_end, pdb_start,
- ARR(ARR(unp_start, unp_start + 300), ARR(unp_start + 500, unp_end)) AS observed_regions FROM {structure}
+ ARR(ARR(unp_start, unp_start + 300), ARR(unp_start + 500, unp_end)) AS observed_regions,
+ CAST(unp_start % 40 AS DOUBLE)/8 AS resolution, 'X-ray diffraction' AS experimental_method FROM {structure}
 """,
     "input_lines": """
 SELECT CAST(genomic_position AS BIGINT) AS line_no, CASE genomic_position % 12
@@ -141,6 +165,16 @@ SELECT CAST(genomic_position AS BIGINT) AS line_no, CASE genomic_position % 12
  WHEN 9 THEN 'NP_000001.1: p.(' || protein_seq || CAST(protein_position AS VARCHAR(12)) || alt_aa || ')'
  WHEN 10 THEN '# comment' ELSE 'completely_invalid_format_' || CAST(genomic_position AS VARCHAR(12)) END AS line
 FROM {variants} WHERE is_canonical AND alt_allele = CASE WHEN allele = 'A' THEN 'T' ELSE 'A' END
+""",
+    "download_input": """
+SELECT CAST(genomic_position AS BIGINT) AS line_no, CASE genomic_position % 8
+ WHEN 0 THEN chromosome || '-' || CAST(genomic_position AS VARCHAR(12)) || '-' || allele || '-' || alt_allele
+ WHEN 1 THEN chromosome || ' ' || CAST(genomic_position AS VARCHAR(12)) || ' id' || CAST(genomic_position AS VARCHAR(12)) || ' ' || allele || ' ' || alt_allele
+ WHEN 2 THEN chromosome || ' ' || CAST(genomic_position AS VARCHAR(12)) || ' ' || allele || '/' || alt_allele
+ WHEN 3 THEN chromosome || ':' || CAST(genomic_position AS VARCHAR(12)) || ':' || lower(allele) || ':' || alt_allele
+ WHEN 4 THEN 'rs' || CAST(genomic_position AS VARCHAR(12)) WHEN 5 THEN 'X-' || CAST(genomic_position AS VARCHAR(12)) || '-A-T'
+ WHEN 6 THEN 'no variant ' || CAST(genomic_position AS VARCHAR(12)) ELSE 'NC_000001.11:g.' || CAST(genomic_position AS VARCHAR(12)) || allele || '>' || alt_allele END AS line
+FROM {variants} WHERE is_canonical AND alt_allele = CASE WHEN allele = 'A' THEN 'T' ELSE 'A' END
 """,
     "eve_score": """
 SELECT DISTINCT accession, protein_position AS position, alt_aa AS mt_aa,
@@ -167,14 +201,6 @@ FROM {mapping} m JOIN {dbsnp} d ON d.chr = m.chromosome AND d.pos = m.genomic_po
 """,
     "uniprot_entry": """
 SELECT DISTINCT 'P' || lpad(CAST(c_custkey AS VARCHAR(12)), 5, '0') AS accession FROM {customer} WHERE c_custkey % 8 <> 5
-""",
-    "protein_info": """
-SELECT 'P' || lpad(CAST(c_custkey AS VARCHAR(12)), 5, '0') AS accession, 'protein ' || CAST(c_custkey AS VARCHAR(12)) AS protein_name,
- CASE WHEN c_custkey % 2 = 0 THEN 'evidence at protein level' ELSE 'predicted' END AS existence, CAST(100 + c_custkey % 900 AS INT) AS sequence_length,
- '2024-0' || CAST(1 + c_custkey % 9 AS VARCHAR(4)) || '-01' AS entry_updated, '2020-0' || CAST(1 + c_custkey % 7 AS VARCHAR(4)) || '-02' AS sequence_updated,
- 'Catalyses step ' || CAST(c_custkey % 5 AS VARCHAR(4)) || '. Needs zinc.' AS activity, CASE WHEN c_custkey % 3 = 0 THEN 'Homodimer. Rarely a tetramer.' END AS complex,
- 'Nucleus. Cytoplasm.' AS location, 'Belongs to family ' || CAST(c_custkey % 11 AS VARCHAR(4)) || '. Subfamily A.' AS family
-FROM {customer}
 """,
     "cytoband": """
 SELECT CAST(1 + c.chr AS VARCHAR(8)) AS chr, CAST(1 + b.k * 3000 AS INT) AS begin_pos, CAST((b.k + 1) * 3000 AS INT) AS end_pos,
@@ -198,13 +224,14 @@ def needs(text: str) -> list[str]:
 def spark_text(text: str) -> str:
     text = re.sub(r"SORTED_LIST\(([\w.]+)\)", r"listagg(\1, ',') WITHIN GROUP (ORDER BY \1)", text)
     text = re.sub(r"\bSPLIT\(([\w.]+)\)", r"split(\1, ',')", text)
-    return text.replace("ARR(", "array(")
+    # Braces are doubled, as the text is a format of table names.
+    return text.replace("ARR(", "array(").replace("<<", "{{").replace(">>", "}}")
 
 
 def duckdb_text(text: str) -> str:
     text = re.sub(r"SORTED_LIST\(([\w.]+)\)", r"string_agg(\1, ',' ORDER BY \1)", text)
     text = re.sub(r"\bSPLIT\(([\w.]+)\)", r"string_split(\1, ',')", text)
-    return _NAME.sub(r"\1", text.replace("ARR(", "list_value("))
+    return _NAME.sub(r"\1", text.replace("ARR(", "list_value(")).replace("<<", "{").replace(">>", "}")
 
 
 def duckdb_query(text: str) -> str:

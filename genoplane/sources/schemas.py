@@ -72,20 +72,20 @@ CADD = "chromosome string, position int, reference_allele string, alt_allele str
 ALLELE_FREQUENCY = "chr string, pos int, ref string, alt string, ac int, an int, af double"
 ALPHAMISSENSE = "accession string, position int, wt_aa string, mt_aa string, am_pathogenicity double, am_class int"
 
-#: Tables that only fill cells of an export; where a release has none, these cells are N/A.
-EXPORT_TABLES = {
-    "function_feature": "accession string, feature_index int, type string, begin_pos int, end_pos int",
-    "pocket": "struct_id string, pocket_id int, pocket_resid array<int>, pocket_score_combined_scaled double",
+#: Tables of facts about residues; where a release has none, nothing is known of that kind.
+RESIDUE_TABLES = {
+    "function_header": "accession string, header_json string",
+    "function_feature": "accession string, feature_index int, type string, category string, begin_pos int, end_pos int, description string, evidences_json string",
+    "pocket": "struct_id string, pocket_id int, pocket_rad_gyration double, pocket_energy_per_vol double, pocket_buriedness double, pocket_resid array<int>, pocket_mean_plddt double, pocket_score_combined_scaled double",
     "interfaces": "a string, b string, a_residues array<int>, b_residues array<int>, pdockq double",
     "foldx": "protein_acc string, position int, af_id string, wild_type string, mutated_type string, foldx_ddg double, plddt double",
-    "protein_info": "accession string, protein_name string, existence string, sequence_length int, entry_updated string, sequence_updated string, activity string, complex string, location string, family string",
     "conserv_score": "accession string, position int, aa string, score double",
+    "eve_score": "accession string, position int, mt_aa string, score double, class int",
     "esm": "accession string, position int, mt_aa string, score double",
+    "popeve_by_accession": "accession string, position int, wt_aa string, mt_aa string, popeve double",
+    "alphamissense": ALPHAMISSENSE,
+    "m3d": "uniprot_id string, pos int, mut string, prediction string, damaging_feature string",
     "gnomad_allele_freq": ALLELE_FREQUENCY,
-    "dbsnp": "id string, chr string, pos int, ref string, alt string",
-    "clinvar_extended": "rcvs array<string>, vcv string, chr string, pos int, ref string, alt string",
-    "cosmic": "id string, legacy_id string, chr string, pos int, ref string, alt string",
-    "cytoband": "chr string, begin_pos int, end_pos int, band string",
-    "population": "accession string, position int, disease boolean, clin_sig string",
-    "structure_regions": "accession string, pdb_id string, chain_id string, unp_start int, unp_end int, pdb_start int, observed_regions array<array<int>>",
+    "population": "accession string, position int, wild_type string, alt string, disease boolean, clin_sig string, raw_json string",
+    "structure_regions": "accession string, pdb_id string, chain_id string, unp_start int, unp_end int, pdb_start int, observed_regions array<array<int>>, resolution double, experimental_method string",
 }
