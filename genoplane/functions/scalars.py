@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.schemas import POPEVE_BANDS
+
 #: Fixed words for the mitochondrial chromosome.
 MITOCHONDRIAL = ["m", "mt", "mit", "mtdna", "mitochondria", "mitochondrion"]
 
@@ -17,7 +19,11 @@ def normalize_chromosome(name: Column) -> Column:
 
 
 def popeve_class(score: Column) -> Column:
-    return F.when(score < -5.056, "SEVERE").when(score < -4.617, "MODERATELY_DELETERIOUS").when(score.isNotNull(), "UNLIKELY_DELETERIOUS")
+    """The band of a score, from the open-ended bands of the schema."""
+    found = F.when(score.isNull(), None)
+    for name, (_, high) in POPEVE_BANDS.items():
+        found = found.when(score < high, name) if high is not None else found.otherwise(name)
+    return found
 
 
 def or_na(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import FEATURE_GROUPS, parse_category
+from .intervals import within_ranges
 
 
 def in_bands(value: Column, chosen: list[str], bands: dict[str, tuple[float | None, float | None]]) -> Column:
@@ -33,15 +34,15 @@ def _positions(features: DataFrame) -> DataFrame:
 
 
 def with_feature_groups(rows: DataFrame, features: DataFrame, groups: list[str]) -> DataFrame:
-    """Rows in a feature of every group. A range join on the accession for ranges; disulfide bonds count at their two ends, by equality."""
+    """Rows in a feature of every group. Ranges meet positions by bins; disulfide bonds count at their two ends only."""
     for name in groups:
         types = FEATURE_GROUPS[parse_category(name, FEATURE_GROUPS)]
         ranged = _positions(features).filter(F.col("type").isin([t for t in types if t != "DISULFID"]))
-        spans = ranged.select(F.col("accession").alias("__acc"), "begin_pos", "end_pos")
+        spans = ranged.select("accession", "begin_pos", "end_pos")
         if "DISULFID" in types:
-            ends = _positions(features).filter("type = 'DISULFID'").select(F.col("accession").alias("__acc"), F.explode(F.array("begin_pos", "end_pos")).alias("begin_pos"))
+            ends = _positions(features).filter("type = 'DISULFID'").select("accession", F.explode(F.array("begin_pos", "end_pos")).alias("begin_pos"))
             spans = spans.unionByName(ends.withColumn("end_pos", F.col("begin_pos")))
-        rows = rows.join(spans, (F.col("accession") == F.col("__acc")) & F.col("protein_position").between(F.col("begin_pos"), F.col("end_pos")), "left_semi")
+        rows = within_ranges(rows, spans, "accession", "protein_position", "begin_pos", "end_pos")
     return rows
 
 
@@ -70,9 +71,8 @@ def structure_positions(structures: DataFrame) -> DataFrame:
 
 
 def in_structures(rows: DataFrame, structures: DataFrame) -> DataFrame:
-    """Rows within unp_start and unp_end of a structure: equality on the accession, the range as residue."""
-    spans = structures.select(F.col("accession").alias("__acc"), "unp_start", "unp_end")
-    return rows.join(spans, (F.col("accession") == F.col("__acc")) & F.col("protein_position").between(F.col("unp_start"), F.col("unp_end")), "left_semi")
+    """Rows within unp_start and unp_end of a structure, by bins."""
+    return within_ranges(rows, structures, "accession", "protein_position", "unp_start", "unp_end")
 
 
 def in_regions(position: Column, regions: Column) -> Column:

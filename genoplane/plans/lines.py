@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grammar import parse_variant
+from ..functions.reuse import reused
 from ..operators.narrow import Keys
 from ..sources.catalog import Catalog
 from ..sources.lineage import cut
@@ -41,7 +42,6 @@ MESSAGES = {
 }
 _NOT_FOUND = {"DBSNP": "DBSNP_NO_MAPPING", "CLINVAR": "CLINVAR_NO_MAPPING", "COSMIC": "COSMIC_NO_MAPPING", "HGVS_PROTEIN": "PROTEIN_NO_MAPPING", "INTERNAL_PROTEIN": "PROTEIN_NO_MAPPING", "HGVS_CODING": "CODING_NO_MAPPING"}
 PLACE = ["chromosome", "genomic_position"]
-_PARSERS: dict[tuple[str, bool], Column] = {}
 _FOUND = ["line_no", *PLACE, "ref", "alt", "notes"]
 
 
@@ -57,11 +57,8 @@ class Resolved:
 
 def parse_lines(lines: DataFrame, versioned_ids: bool = True) -> DataFrame:
     """lines: (line_no, line). One column for each field of a parsed variant."""
-    # The expression has thousands of parts: it is made once for a context, not for each request.
-    key = (lines.sparkSession.sparkContext.applicationId, versioned_ids)
-    if key not in _PARSERS:
-        _PARSERS[key] = parse_variant(F.trim("line"), versioned_ids).alias("v")
-    return lines.select("line_no", "line", _PARSERS[key]).select("line_no", "line", "v.*")
+    parsed = reused(lines, ("parse_lines", versioned_ids), lambda: parse_variant(F.trim("line"), versioned_ids).alias("v"))
+    return lines.select("line_no", "line", parsed).select("line_no", "line", "v.*")
 
 
 def _no_notes() -> Column:

@@ -34,7 +34,7 @@ def filter_af_bands(t):
     return var.with_frequency(_all(t), t["gnomad_allele_freq"], "inner").filter(flt.in_bands(F.col("af"), ["VERY_RARE", "COMMON"], schemas.FREQUENCY_BANDS)).select(*KEY, "af")
 
 
-@query(f"""SELECT {_V}, p.popeve FROM {{variants}} v JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {{popeve}} e JOIN {{uniprot_refseq}} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p
+@query(f"""SELECT {_V}, p.popeve FROM {{variants}} v LEFT JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {{popeve}} e JOIN {{uniprot_refseq}} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p
  ON p.uniprot_acc = v.accession AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa WHERE p.popeve < -5.056 OR p.popeve >= -4.617""")
 def filter_popeve_bands(t):
     rows = var.with_popeve(_all(t), t["popeve_by_accession"], "inner")
@@ -64,7 +64,7 @@ def filter_esm1b(t):
     return var.with_esm(_all(t), t["esm"], "inner").filter(flt.in_range(F.col("esm_score"), None, -7.5)).select(*KEY, "esm_score")
 
 
-@query(f"SELECT {_V} FROM {{variants}} v WHERE EXISTS (SELECT 1 FROM {{foldx}} f WHERE f.protein_acc = v.accession AND f.position = v.protein_position AND f.mutated_type = v.alt_aa AND f.foldx_ddg >= 2)")
+@query(f"SELECT {_V} FROM {{variants}} v LEFT JOIN (SELECT protein_acc, position, mutated_type, max(foldx_ddg) AS ddg FROM {{foldx}} GROUP BY 1, 2, 3) f ON f.protein_acc = v.accession AND f.position = v.protein_position AND f.mutated_type = v.alt_aa WHERE f.ddg >= 2")
 def filter_stability(t):
     return var.with_stability(_all(t), t["foldx"], F.col("foldx_ddg") >= schemas.STABILITY_CUTOFF).select(*KEY)
 
@@ -153,7 +153,7 @@ def feature_residue_region(t):
     return grouped.select("accession", none(pick(lambda x: x["begin_pos"] == x["end_pos"])).alias("residues"), none(pick(lambda x: x["begin_pos"] != x["end_pos"])).alias("regions"))
 
 
-@query("SELECT v.chromosome, v.genomic_position, v.alt_allele, p.popeve, CASE WHEN p.popeve < -5.056 THEN 'SEVERE' WHEN p.popeve < -4.617 THEN 'MODERATELY_DELETERIOUS' WHEN p.popeve IS NOT NULL THEN 'UNLIKELY_DELETERIOUS' END AS class FROM {variants} v JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {popeve} e JOIN {uniprot_refseq} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p ON p.uniprot_acc = v.accession AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa")
+@query("SELECT v.chromosome, v.genomic_position, v.alt_allele, p.popeve, CASE WHEN p.popeve < -5.056 THEN 'SEVERE' WHEN p.popeve < -4.617 THEN 'MODERATELY_DELETERIOUS' WHEN p.popeve IS NOT NULL THEN 'UNLIKELY_DELETERIOUS' END AS class FROM {variants} v LEFT JOIN (SELECT r.uniprot_acc, e.position, e.wt_aa, e.mt_aa, min(e.popeve) AS popeve FROM {popeve} e JOIN {uniprot_refseq} r ON r.refseq_acc = e.refseq_protein GROUP BY ALL) p ON p.uniprot_acc = v.accession AND p.position = v.protein_position AND p.wt_aa = v.protein_seq AND p.mt_aa = v.alt_aa WHERE p.popeve IS NOT NULL")
 def popeve_class(t):
     rows = var.with_popeve(_all(t), t["popeve_by_accession"], "inner")
     return rows.select("chromosome", "genomic_position", "alt_allele", "popeve", popeve_class_of(F.col("popeve")).alias("class"))

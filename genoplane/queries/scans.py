@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.codon import CODONS, translate_codon
+from ..functions.codon import is_snv_pair
 from ..operators import variants as var
 from ..plans.annotate import merge_json_features
-from ..sources.text_input import checksum
-from ..streaming.jobs import job_counts
+from ..sources.lineage import cut, shared_folder
+from ..sources.text_input import checksum, lines_of
+from ..streaming.jobs import job_counts, job_states, read_ledger, run_jobs
 from . import query
 
 
@@ -56,17 +59,12 @@ def codon_translate(t):
  SELECT doc_id, k, trim(x) AS line FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]|,')) AS x, generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c]|,'), 1) AS k FROM {documents})) WHERE line <> '' AND line NOT LIKE '#%'""")
 def normalize_input_lines(t):
     """Whole documents taken as uploads: split at line breaks and commas, trimmed, blank lines and comments dropped."""
-    texts = t["documents"].select("doc_id", "text")
-    parts = texts.select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c]|,")).alias("at", "line")).withColumn("line", F.trim("line"))
-    kept = parts.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    numbered = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    return numbered.select("doc_id", F.posexplode("lines").alias("line_no", "x")).select("doc_id", "line_no", F.col("x.line").alias("line"))
+    return t["documents"].select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
 
 
 @query("""SELECT doc_id, regexp_replace(md5(array_to_string(list_filter(list_transform(string_split_regex(text, '\\n|,'), lambda x: trim(x)), lambda x: x <> '' AND x NOT LIKE '#%'), chr(10))), '^0+(.)', '\\1') AS upload_id FROM {documents}""")
 def input_checksum(t):
-    lines = F.filter(F.transform(F.split("text", r"\n|,"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    return t["documents"].select("doc_id", checksum(lines).alias("upload_id"))
+    return t["documents"].select("doc_id", checksum(lines_of(F.col("text"))).alias("upload_id"))
 
 
 @query("""SELECT accession, feature_index, type AS type, begin_pos AS begin_at, end_pos AS end_at, CASE WHEN feature_index % 10 = 0 THEN NULL ELSE 'feature ' || CAST(feature_index AS VARCHAR) END AS description FROM {function_feature}""")
@@ -84,12 +82,16 @@ def download_counters(t):
     return counts.withColumn("day", F.col("day").cast("string"))
 
 
-@query(None)
+@query("SELECT CAST(line_no // 1000 AS VARCHAR) AS job_id, CASE WHEN count(*) > 300 THEN 'FAILED' ELSE 'READY' END AS state, CAST(CASE WHEN count(*) > 300 THEN 0 ELSE 1 END AS BIGINT) AS attempt, CAST(CASE WHEN count(*) > 300 THEN 0 ELSE count(*) END AS BIGINT) AS n_lines FROM {input_lines} GROUP BY line_no // 1000")
 def download_jobs(t):
-    """Requests as the stream takes them: each job once, oversized ones failed."""
-    requests = t["input_lines"].select((F.col("line_no") % 100).cast("string").alias("job_id"), "line")
-    sizes = requests.groupBy("job_id").agg(F.count("*").alias("n_lines"))
-    return sizes.withColumn("state", F.when(F.col("n_lines") > 100_000, "FAILED").otherwise("READY"))
+    """The lines as requests of a stream, a thousand numbers a job: what its ledger and its output say of each job. More than 300 lines are too many here."""
+    folder = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4().hex}"
+    requests = t["input_lines"].groupBy(F.floor(F.col("line_no") / 1000).cast("string").alias("job_id")).agg(F.collect_list("line").alias("lines"), F.current_timestamp().alias("submitted"))
+    requests.write.json(f"{folder}/inbox")
+    run_jobs(t.spark, f"{folder}/inbox", f"{folder}/ledger", f"{folder}/checkpoint", lambda lines: lines, f"{folder}/output", most_rows=300).awaitTermination()
+    done = t.spark.read.schema("line_no int, line string, job_id string").parquet(f"{folder}/output").groupBy("job_id").agg(F.count("*").alias("n_lines"))
+    states = job_states(read_ledger(t.spark, f"{folder}/ledger")).join(done, "job_id", "left")
+    return cut(states.select("job_id", "state", F.col("attempt").cast("long").alias("attempt"), F.coalesce("n_lines", F.lit(0)).alias("n_lines")))
 
 
 @query("SELECT chr, pos, ref, array_to_string(known_alts, ',') AS known_alts FROM {mapping_dbsnp_lookup}")
@@ -124,19 +126,19 @@ def accession_coordinates(t):
     return t["mapping"].select("accession", "chromosome", "genomic_position").distinct()
 
 
-@query("""SELECT a.codon AS from_codon, b.codon AS to_codon, CAST(a.codon[1] <> b.codon[1] AS INT) + CAST(a.codon[2] <> b.codon[2] AS INT) + CAST(a.codon[3] <> b.codon[3] AS INT) AS changes FROM {codon_table} a, {codon_table} b""")
+@query("""SELECT upper(m.codon) AS from_codon, c.codon AS to_codon, CAST(count(*) AS BIGINT) AS n, min(CAST(m.codon[1] <> c.codon[1] AS INT) + CAST(upper(m.codon)[2] <> c.codon[2] AS INT) + CAST(upper(m.codon)[3] <> c.codon[3] AS INT)) AS changes
+ FROM (SELECT * REPLACE (upper(codon) AS codon) FROM {mapping}) m JOIN {codon_table} c ON CASE m.codon_position WHEN 1 THEN c.codon[1] <> m.codon[1] AND c.codon[2:3] = m.codon[2:3] WHEN 2 THEN c.codon[2] <> m.codon[2] AND c.codon[1] = m.codon[1] AND c.codon[3] = m.codon[3]
+ ELSE c.codon[3] <> m.codon[3] AND c.codon[1:2] = m.codon[1:2] END GROUP BY 1, 2""")
 def codon_change_matrix(t):
-    """The 4096 pairs of codons: the constant table against itself."""
-    codons = F.array(*map(F.lit, CODONS))
-    pairs = t.spark.range(1).select(F.explode(codons).alias("from_codon")).select("from_codon", F.explode(codons).alias("to_codon"))
+    """How often each codon of the mapping becomes another by one of its variants, and in how many letters these differ."""
+    pairs = var.expand(t["mapping"]).groupBy(F.upper("codon").alias("from_codon"), F.upper("alt_codon").alias("to_codon")).agg(F.count("*").alias("n"))
     differs = sum((F.substring("from_codon", k, 1) != F.substring("to_codon", k, 1)).cast("int") for k in (1, 2, 3))
     return pairs.withColumn("changes", differs)
 
 
-@query("""SELECT DISTINCT a.amino_acid AS ref_aa, b.amino_acid AS alt_aa FROM {codon_table} a JOIN {codon_table} b
- ON CAST(a.codon[1] <> b.codon[1] AS INT) + CAST(a.codon[2] <> b.codon[2] AS INT) + CAST(a.codon[3] <> b.codon[3] AS INT) = 1""")
+@query("""SELECT wild_type AS ref_aa, alt AS alt_aa, CAST(count(*) AS BIGINT) AS n, bool_or(s.a IS NOT NULL) AS by_snv FROM {population} LEFT JOIN (SELECT DISTINCT a.amino_acid AS a, b.amino_acid AS b FROM {codon_table} a JOIN {codon_table} b
+ ON CAST(a.codon[1] <> b.codon[1] AS INT) + CAST(a.codon[2] <> b.codon[2] AS INT) + CAST(a.codon[3] <> b.codon[3] AS INT) = 1) s ON s.a = wild_type AND s.b = alt GROUP BY 1, 2""")
 def aa_snv_pairs(t):
-    matrix = codon_change_matrix(t).filter("changes = 1")
-    return matrix.select(translate_codon(F.col("from_codon")).alias("ref_aa"), translate_codon(F.col("to_codon")).alias("alt_aa")).distinct()
-
-
+    """Changes of the population variants, and whether one base can cause them."""
+    pairs = t["population"].groupBy(F.col("wild_type").alias("ref_aa"), F.col("alt").alias("alt_aa")).agg(F.count("*").alias("n"))
+    return pairs.withColumn("by_snv", is_snv_pair(F.col("ref_aa"), F.col("alt_aa")))
