@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.lineage import cut
+
 log = logging.getLogger(__name__)
 
 REQUEST = "job_id string, lines array<string>, submitted timestamp"
@@ -79,27 +81,24 @@ def run_jobs(spark: SparkSession, inbox: str, ledger: str, checkpoint: str, work
         states = job_states(read_ledger(spark, ledger))
         known = states.select("job_id", F.col("state").alias("known"), F.coalesce("attempt", F.lit(0)).alias("attempt"))
         fresh = requests.dropDuplicates(["job_id"]).join(known, "job_id", "left").filter(~F.coalesce(F.col("known").isin(*ENDED), F.lit(False)))
-        # The ledger changes below: what was decided on it is kept.
-        fresh = fresh.withColumn("attempt", F.coalesce("attempt", F.lit(0))).persist()
-        try:
-            too_many, spent = F.size("lines") > most_rows, F.col("attempt") >= attempts
-            append(fresh.filter(too_many), ledger, "FAILED", number, reason=TOO_LARGE)
-            append(fresh.filter(~too_many & spent), ledger, "FAILED", number, reason=EXHAUSTED)
-            left = fresh.filter(~too_many & ~spent)
-            append(left, ledger, "PROCESSING", number, F.col("attempt") + 1)
-            if attempt(left):
-                append(left, ledger, "READY", number, F.col("attempt") + 1)
-                return
-            for row in left.select("job_id", "attempt").toLocalIterator():  # jobs of one micro-batch, one at a time
-                alone, good = left.filter(F.col("job_id") == row.job_id), False
-                tried = row.attempt + 1
-                while not good and tried < attempts:
-                    tried += 1
-                    append(alone, ledger, "PROCESSING", number, F.lit(tried))
-                    good = attempt(alone)
-                append(alone, ledger, "READY" if good else "FAILED", number, F.lit(tried), None if good else FAILED)
-        finally:
-            fresh.unpersist()
+        # The ledger changes below, and a cached plan would be made anew with it: what was decided is written.
+        fresh = cut(fresh.withColumn("attempt", F.coalesce("attempt", F.lit(0))))
+        too_many, spent = F.size("lines") > most_rows, F.col("attempt") >= attempts
+        append(fresh.filter(too_many), ledger, "FAILED", number, reason=TOO_LARGE)
+        append(fresh.filter(~too_many & spent), ledger, "FAILED", number, reason=EXHAUSTED)
+        left = fresh.filter(~too_many & ~spent)
+        append(left, ledger, "PROCESSING", number, F.col("attempt") + 1)
+        if attempt(left):
+            append(left, ledger, "READY", number, F.col("attempt") + 1)
+            return
+        for row in left.select("job_id", "attempt").toLocalIterator():  # jobs of one micro-batch, one at a time
+            alone, good = left.filter(F.col("job_id") == row.job_id), False
+            tried = row.attempt + 1
+            while not good and tried < attempts:
+                tried += 1
+                append(alone, ledger, "PROCESSING", number, F.lit(tried))
+                good = attempt(alone)
+            append(alone, ledger, "READY" if good else "FAILED", number, F.lit(tried), None if good else FAILED)
 
     stream = spark.readStream.schema(REQUEST).json(inbox)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -125,18 +124,14 @@ def sweep_jobs(spark: SparkSession, ledger: str, output: str, days: int = 30) ->
 
     The ledger comes last: after a crash between, the next sweep finds nothing to delete and adds the row.
     """
-    old = expire(read_ledger(spark, ledger), days).persist()
-    swept = Swept()
-    try:
-        for row in old.select("job_id").toLocalIterator():
-            at, system = _path(spark, f"{output}/job_id={_escaped(spark, row.job_id)}")
-            if system.exists(at):
-                swept.bytes += system.getContentSummary(at).getLength()
-                system.delete(at, True)
-                swept.items += 1
-        append(old, ledger, "EXPIRED", None)
-    finally:
-        old.unpersist()
+    old, swept = cut(expire(read_ledger(spark, ledger), days)), Swept()
+    for row in old.select("job_id").toLocalIterator():
+        at, system = _path(spark, f"{output}/job_id={_escaped(spark, row.job_id)}")
+        if system.exists(at):
+            swept.bytes += system.getContentSummary(at).getLength()
+            system.delete(at, True)
+            swept.items += 1
+    append(old, ledger, "EXPIRED", None)
     return swept
 
 

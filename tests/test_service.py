@@ -79,7 +79,7 @@ def test_annotation_and_download(spark, t):
     first = next(c for c in cells if c.User_input == "1-101-A-G")
     assert (first["popEVE_score(class)"], first["AlphaMissense_pathogenicity(class)"], first.Amino_acid_change, first.MANE_transcript) == ("-5.5(SEVERE)", "0.9(PATHOGENIC)", "Met/Val", "ENST1")
     wrong = next(c for c in cells if c.User_input == "nonsense")
-    assert wrong.Notes == "Unsupported format" and wrong.Gene == "N/A"
+    assert wrong.Notes == "ERROR:Unsupported format" and wrong.Gene == "N/A"
 
 
 def test_requests(spark, t):
@@ -94,7 +94,9 @@ def test_requests(spark, t):
 def test_requests_over_derived_tables(spark):
     s = service.Service(Catalog(spark, "/root/testdata/sf0.001"))
     feature = s.t["function_feature"].orderBy("accession", "feature_index").first()
-    assert s.function(feature.accession, feature.begin_pos).count() >= 1
+    assert s.features(feature.accession, feature.begin_pos).count() >= 1
+    record = s.function(feature.accession, feature.begin_pos).first()
+    assert feature.feature_index is not None and feature.type in [f.type for f in record.features]
     pocket = s.t["pocket"].orderBy("struct_id", "pocket_id").first()
     assert s.pockets(pocket.struct_id, pocket.pocket_resid[0]).count() >= 1
     link = s.t["interfaces"].orderBy("a", "b").first()
@@ -104,7 +106,7 @@ def test_requests_over_derived_tables(spark):
     assert s.nearest([1.0] * len(s.t["embeddings"].first().embedding), 5).count() == 5
     f = s.t["foldx"].first()
     assert s.foldx(f.protein_acc, f.position, "middle").count() <= s.foldx(f.protein_acc, f.position).count()
-    assert s.scores(f.protein_acc, f.position).count() > 0 and s.population("none", 1).count() == 0
+    assert s.scores(f.protein_acc, f.position).count() > 0 and s.population("none", 1).first().variants == []
     assert s.allele_frequency("1", -1).count() == 0 and s.structure("none", 1).count() == 0
 
 
@@ -112,6 +114,7 @@ def test_old_jobs_expire(spark):
     now = datetime.datetime.now()
     rows = [("a", "READY", now - datetime.timedelta(days=40), 1), ("b", "READY", now, 1), ("c", "READY", now - datetime.timedelta(days=40), 1), ("c", "EXPIRED", now, 2)]
     ledger = spark.createDataFrame(rows, "job_id string, state string, changed timestamp, batch long")
+    ledger = ledger.withColumn("attempt", F.lit(1))
     assert [r.job_id for r in expire(ledger).select("job_id", F.lit(1)).collect()] == ["a"]
 
 
@@ -128,7 +131,7 @@ def test_messages_of_protein_lines_reach_the_warnings(spark, t):
 
 
 def test_a_bad_job_fails_alone(spark, tmp_path):
-    from genoplane.streaming.jobs import run_jobs
+    from genoplane.streaming.jobs import job_states, read_ledger, run_jobs
 
     (tmp_path / "inbox").mkdir()
     (tmp_path / "inbox" / "a.json").write_text('{"job_id": "good", "lines": ["x"]}\n{"job_id": "bad", "lines": ["boom"]}\n{"job_id": "long", "lines": ["a", "b", "c"]}\n')
@@ -142,5 +145,6 @@ def test_a_bad_job_fails_alone(spark, tmp_path):
         return lines
 
     run_jobs(spark, str(tmp_path / "inbox"), str(tmp_path / "ledger"), str(tmp_path / "cp"), work, str(tmp_path / "out"), most_rows=2, attempts=3).awaitTermination()
-    assert {r.job_id: r.state for r in spark.read.parquet(str(tmp_path / "ledger")).collect()} == {"good": "READY", "bad": "FAILED", "long": "FAILED"}
+    states = {r.job_id: (r.state, r.attempt, r.reason) for r in job_states(read_ledger(spark, str(tmp_path / "ledger"))).collect()}
+    assert states == {"good": ("READY", 2, None), "bad": ("FAILED", 3, "processing failed"), "long": ("FAILED", 0, "too many lines")}
     assert tried.count(["boom"]) == 2 and [r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["x"]
