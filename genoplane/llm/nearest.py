@@ -53,6 +53,8 @@ QUERY_ROWS = 2048
 COLUMNS = 16
 SCANNED_ROWS = 1024
 SCANNED_QUERIES = 128
+#: Share of live candidates under which they are scanned one by one.
+DENSE = 0.05
 #: Of the test: larger abandons less.
 EPSILON = 2.1
 SEED = 11
@@ -133,20 +135,26 @@ def scan(found: Found, asked: np.ndarray, query_ids: np.ndarray, queries: np.nda
             norms = (plain_queries**2).sum(axis=1)
             # Squared distance of the k-th: infinite until a query has k.
             within = norms + largest**2 - 2 * found.scores[some, -1]
-            row = at = partial = None
+            whole = live = row = at = partial = None
             for k, block in enumerate(columns):
                 a, b = edges[k], edges[k + 1]
                 of_query = turned_queries[:, a:b]
+                # Of the whole distance b of dims is in; at the end only rounding is allowed for.
+                limit = within * (1 + epsilon / b**0.5) ** 2 * (b / dims) if b < dims else within * (1 + 1e-9) + 1e-12 * largest**2
                 if row is None:
-                    whole = squares[0][:, None] - 2 * block @ of_query.T + (of_query**2).sum(axis=1)
-                    live = whole * (dims / b) <= within * (1 + epsilon / b**0.5) ** 2 if b < dims else whole <= within * (1 + 1e-9) + 1e-12
-                    live &= own[:, None] != query_ids[some]
-                    row, at = np.nonzero(live)
-                    partial = whole[row, at]
+                    part = squares[k][:, None] - 2 * block @ of_query.T + (of_query**2).sum(axis=1)
+                    whole = part if whole is None else np.add(whole, part, out=whole)
+                    near = whole <= limit
+                    live = near & (own[:, None] != query_ids[some]) if live is None else live & near
+                    if b == dims:
+                        live &= whole <= kth_of(np.where(live, whole, np.inf), found.k) * (1 + 1e-9) + 1e-9 * largest**2
+                    # While most candidates live, a product of matrices is cheaper than picking them out.
+                    if b == dims or np.count_nonzero(live) < DENSE * live.size:
+                        row, at = np.nonzero(live)
+                        partial = whole[row, at]
                     continue
                 partial = partial + ((block[row] - of_query[at]) ** 2).sum(axis=1)
-                limit = within[at]
-                kept = partial * (dims / b) <= limit * (1 + epsilon / b**0.5) ** 2 if b < dims else partial <= limit * (1 + 1e-9) + 1e-12 * largest**2
+                kept = partial <= limit[at]
                 row, at, partial = row[kept], at[kept], partial[kept]
             if len(row):
                 # Only those that can be among the k nearest of what this scan has: the exact score decides.
@@ -155,6 +163,11 @@ def scan(found: Found, asked: np.ndarray, query_ids: np.ndarray, queries: np.nda
                 found.add(some[at], (plain[row] * plain_queries[at]).sum(axis=1), own[row])
 
 
+def kth_of(distances: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest of each column, or infinity if there are fewer."""
+    return np.partition(distances, k - 1, axis=0)[k - 1] if len(distances) >= k else np.full(distances.shape[1], np.inf)
+
+
 def nearest_only(at: np.ndarray, distances: np.ndarray, k: int, largest: float) -> np.ndarray:
     """Places of the k nearest of each query, and of all that rounding does not tell from the k-th."""
     order = np.lexsort((distances, at))
