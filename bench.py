@@ -23,7 +23,10 @@ ENGINE = [
     "batch_scores_long", "filter_interact", "filter_feature_groups", "strategy2_features", "strategy3_known", "parse_variant_format", "protein_to_genomic", "annotate_variant_core",
     "csv_export_rows", "sort_cadd_desc", "semantic_topk", "liftover_37_to_38",
 ]
-LLM = ["op1_exact_dedup", "op2_best_fit_packing", "op3_lm_scoring", "op4_url_filter", "op5_quality_classifier", "op6_bpe_encoding", "op7_quality_rules", "op8_html_extraction", "op9_toxicity", "op10_simhash_near_dedup"]
+LLM = [
+    "op1_exact_dedup", "op2_best_fit_packing", "op3_lm_scoring", "op4_url_filter", "op5_quality_classifier", "op6_bpe_encoding", "op7_quality_rules", "op8_html_extraction", "op9_toxicity", "op10_simhash_near_dedup",
+    "op11_nearest_neighbours", "op12_conversation_trie", "op13_embedding_whitening",
+]
 
 
 def main() -> None:
@@ -39,7 +42,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from pyspark.sql import functions as F
 
-    from genoplane import queries
+    from genoplane import queries, service
     from genoplane.operators import filters as flt
     from genoplane.operators import variants as var
     from genoplane.plans.browse import by_gene
@@ -62,6 +65,8 @@ def main() -> None:
     one_gene = lambda: var.expand(by_gene(stored["mapping"], ["GENE7"]))
     runs["one_gene_known_delimited"] = lambda: flt.known_variants(one_gene(), stored["dbsnp"], F.split("alt", ",")).agg(F.count("*").alias("n"))
     runs["one_gene_known_lookup"] = lambda: flt.known_variants(one_gene(), stored["mapping_dbsnp_lookup"]).agg(F.count("*").alias("n"))
+    # A user's request: a thousand lines, all 44 cells, in order.
+    runs["download_thousand_lines"] = lambda: service.download_lines(stored["download_input"].limit(1000), stored)
     try:
         from genoplane.llm import queries as llm
 
