@@ -18,9 +18,11 @@ from ..functions.grammar import parse_variant
 from ..functions.scalars import ENSEMBL, identifier_type
 from ..operators import filters as flt
 from ..operators import variants as var
+from ..operators.narrow import Keys
 from ..operators.paging import SORT_COLUMNS, ordering, page
 from ..sources import schemas
 from ..sources.catalog import Catalog
+from ..sources.lineage import cut
 from ..sources.schemas import IdentifierType
 from ..sources.text_input import split_text
 from .lines import resolve_lines
@@ -185,8 +187,10 @@ def by_input(t: Catalog, r: Request) -> DataFrame:
             lines = lines.filter(~F.col("line_no").isin([k.line_no for k in kinds]))
             if lines.isEmpty():
                 return found
-    wanted = resolve_lines(lines, t, r.assembly).select(*var.VARIANT_KEY).distinct()
-    rows = var.with_change(t["mapping"].join(wanted, var.VARIANT_KEY[:3]))
+    wanted = cut(resolve_lines(lines, t, r.assembly).select(*var.VARIANT_KEY).distinct())
+    # Few variants cut the mapping down at its scan.
+    held = Keys(wanted, "chromosome", "genomic_position").bounded(t["mapping"], "chromosome", "genomic_position")
+    rows = var.with_change(held.join(wanted, var.VARIANT_KEY[:3]))
     return rows if found is None else found.unionByName(rows.select(*found.columns)).distinct()
 
 
@@ -215,9 +219,14 @@ def leading(t: Catalog, r: Request) -> tuple[DataFrame, str]:
         if not r.warnings() and any(r.positions):
             rows = rows.filter(F.col("protein_position").between(min(r.positions), max(r.positions)))
         return var.expand(rows), "identifiers"
-    found = [test(mapping) for test in feature_tests(t, r)]
-    if found:
-        return var.expand(found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found).distinct()), "features"
+    tests = feature_tests(t, r)
+    if len(tests) == 1:
+        return var.expand(tests[0](mapping)), "features"
+    if tests:
+        # Features are of residues: their keys are made distinct, never the wide rows, and the mapping is joined once.
+        places = mapping.select("accession", "protein_position").distinct()
+        held = reduce(DataFrame.unionByName, [test(places) for test in tests]).distinct()
+        return var.expand(mapping.join(held, ["accession", "protein_position"], "left_semi")), "features"
     if r.known:
         return known_first(t), "known"
     if r.allele_frequency:
