@@ -138,9 +138,8 @@ def browse_stored_upload(t):
     return plan.browse(stored, Request(result_id="5f2b").validate()).select(*KEY).distinct()
 
 
-@query("SELECT DISTINCT v.chromosome, v.genomic_position, v.allele, v.alt_allele FROM {variants} v JOIN {crossmap} c ON c.chr = v.chromosome AND c.grch38_pos = v.genomic_position AND c.grch38_base = v.allele WHERE c.grch37_pos % 50 = 0")
+@query("SELECT DISTINCT v.chromosome, v.genomic_position, v.allele, v.alt_allele FROM {variants} v JOIN {crossmap} c ON c.chr = v.chromosome AND c.grch38_pos = v.genomic_position AND c.grch38_base = v.allele")
 def resolve_assembly_auto(t):
     """Lines on GRCh37 with no assembly named: it is found from a sample, and the lines are lifted."""
-    old = t["crossmap"].filter("grch37_pos % 50 = 0")
-    lines = old.select(F.monotonically_increasing_id().alias("line_no"), F.concat_ws(" ", "chr", F.col("grch37_pos").cast("string"), "grch37_base").alias("line"))
+    lines = t["crossmap"].select(F.monotonically_increasing_id().alias("line_no"), F.concat_ws(" ", "chr", F.col("grch37_pos").cast("string"), "grch37_base").alias("line"))
     return resolve_lines(lines, t, None).select("chromosome", "genomic_position", "allele", "alt_allele").distinct()
