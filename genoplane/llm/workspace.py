@@ -91,6 +91,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def noted(paths: list[str]):
+    """Adds the paths of the tables that are written inside, for whoever deletes them."""
+    tables = _tables()
+    tables.append(paths)
+    try:
+        yield
+    finally:
+        tables.pop()
+
+
 def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Writes the function's result and deletes the tables that it wrote on the way.
 
