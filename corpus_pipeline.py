@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from genoplane.llm import exact_dedup, packing, quality_classifier, quality_rules, simhash_dedup
 from genoplane.llm.queries import tokenizer_path
-from genoplane.llm.workspace import fresh, read, written
+from genoplane.llm.workspace import delete, fresh, noted, read, written
 
 #: Ids to drop that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -74,12 +74,21 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts count as empty and fail the rules, null languages are one of their own.
     Repeated rows are judged alike, and one of them stays; very long texts go through
     whole; ties go to the least id. Extra columns pass all stages but the last,
-    whatever their names. An empty table gives an empty result.
+    whatever their names. An empty table gives an empty result. Of the tables in the
+    shared folder only the result stays.
     """
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, paths = read(spark, sf_dir, "documents"), []
+    try:
+        with noted(paths):
+            for name, stage in STAGES[:-1]:
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+                # What the stage read and made on its way is not needed beside what it kept.
+                while len(paths) > 1:
+                    delete(spark, paths.pop(0))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        for path in paths:
+            delete(spark, path)
 
 
 #: A trained classifier, cutoffs by exact binomial bounds and a tokenizer are beyond SQL: tests hold each stage against a plain version.
