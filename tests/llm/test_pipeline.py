@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from genoplane.llm import quality_classifier, quality_rules, simhash_dedup
+from genoplane.llm.workspace import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,7 +72,11 @@ def test_packing_stage_holds_every_token(stages):
 
 def test_run_is_the_stages_in_turn(spark, stages):
     _, _, out = stages
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
     got = corpus_pipeline.run(spark, SF).collect()
+    left = {x.name for x in folder.iterdir()} - before
+    assert len(left) == 1 and left.pop().startswith("pack-")
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in out[4][1])
 
 
