@@ -4,6 +4,7 @@ Up to MOST_KEYS distinct keys, which are pairs of a name and a whole number, com
 driver. From them a condition is made that Parquet's row groups are skipped by: lists of
 numbers by name for few keys, else the range of numbers of each name. What the scan lets
 through is held against the keys by a broadcast join. More keys are joined by a shuffle.
+Rows of a few names (a gene's, a protein's), however many, give the range of each name.
 """
 
 from __future__ import annotations
@@ -63,3 +64,34 @@ class Keys:
     def bounded(self, table: DataFrame, name: str, number: str) -> DataFrame:
         """cut, with a hint to broadcast what is left of a table that has few rows a key."""
         return F.broadcast(self.cut(table, name, number)) if self.small else self.cut(table, name, number)
+
+
+Ranges = dict[str, tuple[int, int]] | None
+
+
+def ranges(rows: DataFrame, *pairs: tuple[str, str]) -> list[Ranges]:
+    """For each pair of columns (name, number) the least and the largest number of each name, in one pass over rows.
+
+    None for every pair if more than MOST_NAMES combinations of names occur. Nulls match nothing.
+    """
+    ends = [f(number).alias(f"__{k}{end}") for k, (_, number) in enumerate(pairs) for end, f in enumerate((F.min, F.max))]
+    found = rows.groupBy(*[F.col(name).alias(f"__name{k}") for k, (name, _) in enumerate(pairs)]).agg(*ends).limit(MOST_NAMES + 1).collect()
+    if len(found) > MOST_NAMES:
+        return [None] * len(pairs)
+    out: list[Ranges] = [{} for _ in pairs]
+    for row in found:
+        for k, held in enumerate(out):
+            name, low, high = row[f"__name{k}"], row[f"__{k}0"], row[f"__{k}1"]
+            if name is not None and low is not None:
+                before = held.get(name, (low, high))
+                held[name] = min(low, before[0]), max(high, before[1])
+    return out
+
+
+def within(table: DataFrame, name: str, number: str, held: Ranges) -> DataFrame:
+    """The rows of table in the range of their name, by a condition that is pushed to the scan; all, if no ranges are known."""
+    if held is None:
+        return table
+    if not held:
+        return table.filter(F.lit(False))
+    return table.filter(reduce(or_, [(F.col(name) == k) & F.col(number).between(*ends) for k, ends in held.items()]))

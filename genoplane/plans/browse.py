@@ -18,7 +18,7 @@ from ..functions.grammar import parse_variant
 from ..functions.scalars import ENSEMBL, identifier_type
 from ..operators import filters as flt
 from ..operators import variants as var
-from ..operators.narrow import Keys
+from ..operators.narrow import Keys, ranges, within
 from ..operators.paging import SORT_COLUMNS, ordering, page
 from ..sources import schemas
 from ..sources.catalog import Catalog
@@ -293,9 +293,38 @@ def apply_filters(t: Catalog, rows: DataFrame, r: Request, led: str) -> DataFram
     return rows
 
 
+def narrowed(t: Catalog, rows: DataFrame, r: Request) -> Catalog:
+    """The catalog with the tables that the request's filters join cut down to the places and residues of the leading rows, where these are of few names.
+
+    A gene's scores are then one range of a table sorted by place, whatever the table's size.
+    """
+    place, residue = ("chromosome", "genomic_position"), ("accession", "protein_position")
+    by_place = {
+        "cadd": ("chromosome", "position", r.cadd or r.sort == "cadd"),
+        "gnomad_allele_freq": ("chr", "pos", r.allele_frequency),
+        "mapping_dbsnp_lookup": ("chr", "pos", r.known),
+    }
+    by_residue = {
+        "alphamissense": ("accession", "position", r.am or r.sort == "am"),
+        "popeve_by_accession": ("accession", "position", r.popeve or r.sort == "popeve"),
+        "esm": ("accession", "position", r.sort == "esm1b" or any(x is not None for x in r.esm1b)),
+        "conserv_score": ("accession", "position", any(x is not None for x in r.conservation)),
+        "foldx": ("protein_acc", "position", r.stability),
+        "population": ("accession", "position", r.disease),
+    }
+    if not any(used for *_, used in (*by_place.values(), *by_residue.values())):
+        return t
+    made = {}
+    for tables, held in zip((by_place, by_residue), ranges(rows, place, residue)):
+        made |= {table: within(t[table], name, number, held) for table, (name, number, used) in tables.items() if used}
+    return Catalog(t.spark, t.directory, {**t.given, **made})
+
+
 def browse(t: Catalog, r: Request) -> DataFrame:
     """All variants that the request finds, each once, before paging."""
     rows, led = leading(t, r)
+    if led == "identifiers":
+        t = narrowed(t, rows, r)
     return apply_filters(t, rows, r, led)
 
 

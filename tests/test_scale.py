@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genoplane import service
 from genoplane.operators import intervals, narrow
-from genoplane.plans import annotate, lines
+from genoplane.plans import annotate, browse, lines
 from genoplane.sources import fixtures
 from genoplane.sources.catalog import Catalog
 from genoplane.streaming import jobs
@@ -73,6 +73,28 @@ def test_one_line_leaves_no_exchange_of_a_large_table(spark, stored):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("request_of", [{"cadd": ["PROBABLY_DELETERIOUS"], "sort": "am"}, {"known": True, "allele_frequency": ["COMMON"], "sort": "cadd"}, {"conservation": (0.2, None), "stability": ["LIKELY_DESTABILISING"], "sort": "popeve"}, {"esm1b": (None, -1.0), "disease": True}])
+def test_a_gene_reads_its_ranges_of_the_scores(stored, monkeypatch, request_of):
+    request = browse.Request(ids=[("gene", "GENE7")], **request_of).validate()
+    rows = browse.browse(stored, request)
+    got = sorted(map(repr, rows.collect()))
+    if "cadd" in (*request_of, request_of.get("sort")):
+        assert 0 < rows_scanned(rows, "cadd") < stored["cadd"].count() / 2
+    monkeypatch.setattr(narrow, "MOST_NAMES", 0)  # more names than that: nothing is cut down
+    assert sorted(map(repr, browse.browse(stored, request).collect())) == got
+
+
+def test_ranges_of_names(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 5, "x", 1), ("a", 2, "y", 9), ("b", 7, "x", 3), (None, 4, "z", 4), ("c", None, None, 2)], "n string, p int, m string, q int")
+    by_n, by_m = narrow.ranges(rows, ("n", "p"), ("m", "q"))
+    assert by_n == {"a": (2, 5), "b": (7, 7)} and by_m == {"x": (1, 3), "y": (9, 9), "z": (4, 4)}
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("a", 5), ("b", 8), (None, 3), ("c", 2)], "n string, p int")
+    assert sorted(tuple(r) for r in narrow.within(table, "n", "p", by_n).collect()) == [("a", 2), ("a", 5)]
+    assert narrow.within(table, "n", "p", {}).count() == 0 and narrow.within(table, "n", "p", None).count() == 6
+    monkeypatch.setattr(narrow, "MOST_NAMES", 4)
+    assert narrow.ranges(rows, ("n", "p"), ("m", "q")) == [None, None]
+
+
 def test_few_and_many_inputs_give_the_same(spark, stored, monkeypatch):
     texts = [r.line for r in stored["input_lines"].orderBy("line_no").limit(60).collect()]
     given = spark.createDataFrame(list(enumerate(texts)), "line_no long, line string")
