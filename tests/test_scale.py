@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from genoplane import service
 from genoplane.operators import intervals, narrow
+from genoplane.operators import variants as var
 from genoplane.plans import annotate, browse, lines
 from genoplane.sources import fixtures
 from genoplane.sources.catalog import Catalog
@@ -269,3 +270,15 @@ def test_features_meet_without_a_union_of_shuffled_parts(spark):
     assert joins_in_unions(found) == 0
     assert {r[0] for r in found.select("protein_position").distinct().collect()} == want
     assert found.count() == 3 * len(want)
+
+
+def test_derived_popeve_is_not_multiplied_by_the_ids_of_an_accession(spark):
+    # P1 has ten ids, of which it shares one with P2, given twice; P3 has none.
+    variants = spark.createDataFrame([(a, p, "K", alt, True) for a in ("P1", "P2", "P3") for p in (1, 2) for alt in ("L", "W", "L")], "accession string, protein_position int, protein_seq string, alt_aa string, is_canonical boolean")
+    refseq = spark.createDataFrame([("P1", f"NP_{k}.1") for k in range(10)] + [("P2", "NP_9.1")] * 2, "uniprot_acc string, refseq_acc string")
+    t = Catalog(spark, SF, {"variants": variants.union(variants.filter("accession = 'P2'").withColumn("protein_position", F.lit(5))), "uniprot_refseq": refseq})
+    found = t["popeve_by_accession"]
+    assert "popeve" not in t._made
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == len(set(rows)) == 2 * 3 * 2
+    assert rows == sorted(map(tuple, var.popeve_by_accession(t["popeve"], refseq).collect()))
