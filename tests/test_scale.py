@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from genoplane import service
 from genoplane.operators import intervals, narrow
 from genoplane.operators import variants as var
-from genoplane.plans import annotate, browse, lines
+from genoplane.plans import annotate, browse, export, lines, residues
 from genoplane.sources import fixtures
 from genoplane.sources.catalog import Catalog
+from genoplane.sources.schemas import RESIDUE_TABLES
 from genoplane.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -282,3 +283,25 @@ def test_derived_popeve_is_not_multiplied_by_the_ids_of_an_accession(spark):
     rows = sorted(map(tuple, found.collect()))
     assert len(rows) == len(set(rows)) == 2 * 3 * 2
     assert rows == sorted(map(tuple, var.popeve_by_accession(t["popeve"], refseq).collect()))
+
+
+def test_headers_of_an_accession_multiply_its_rows_last(spark):
+    head = '{"proteinExistence":"%s","comments":[{"type":"SIMILARITY","text":[{"value":"Of one. Two."}]}]}'
+    tables = {
+        "function_header": spark.createDataFrame([("P1", head % "first"), ("P1", head % "second")], "accession string, header_json string"),
+        "gnomad_allele_freq": spark.createDataFrame([("1", 7, "A", "C", 1, 10, 0.1)], "chr string, pos int, ref string, alt string, ac int, an int, af double"),
+        "conserv_score": spark.createDataFrame([("P1", 3, "K", 0.5)], "accession string, position int, aa string, score double"),
+    }
+    lacking = {name: spark.createDataFrame([], schema) for name, schema in RESIDUE_TABLES.items() if name not in tables}
+    t = Catalog(spark, SF, {**lacking, **tables})
+    rows = spark.createDataFrame([("1", 7, "A", "C", "P1", 3, "R")], "chromosome string, genomic_position int, allele string, alt_allele string, accession string, protein_position int, alt_aa string")
+    full = export.with_cells(rows, t)
+    assert sorted((r.existence, r.family, r.conservation_score, r.ac) for r in full.collect()) == [("first", "Of one", 0.5, 1), ("second", "Of one", 0.5, 1)]
+    node = full._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() != "Join":
+        node = node.children().apply(0)
+    assert "af#" in node.left().toString() and "af#" not in node.right().toString()
+    # Facts that are not asked for are not read, and cells are made of a residue's facts before headers multiply it.
+    asked = spark.createDataFrame([("P1", 3, None)], "accession string, protein_position int, variant_aa string")
+    made = residues.function_answer(asked, t, ["conservation"], {"twice": 2 * F.col("conservation")[0]["score"]})
+    assert "popeve" not in made.columns and [(r.conservation, r.twice) for r in made.collect()] == [(0.5, 1.0)] * 2
