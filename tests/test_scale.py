@@ -8,10 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from genoplane import service
+from genoplane import queries, service
 from genoplane.operators import intervals, narrow
 from genoplane.operators import variants as var
-from genoplane.plans import annotate, browse, export, lines, residues
+from genoplane.plans import annotate, browse, export, lines, residues, resolve
 from genoplane.sources import fixtures
 from genoplane.sources.catalog import Catalog
 from genoplane.sources.schemas import RESIDUE_TABLES
@@ -305,3 +305,16 @@ def test_headers_of_an_accession_multiply_its_rows_last(spark):
     asked = spark.createDataFrame([("P1", 3, None)], "accession string, protein_position int, variant_aa string")
     made = residues.function_answer(asked, t, ["conservation"], {"twice": 2 * F.col("conservation")[0]["score"]})
     assert "popeve" not in made.columns and [(r.conservation, r.twice) for r in made.collect()] == [(0.5, 1.0)] * 2
+
+
+def test_coding_inputs_meet_refseq_once_and_residues_are_tested_before_expansion(spark):
+    refseq = spark.createDataFrame([("P2", "NM_1.1"), ("P1", "NM_1.1"), ("P3", "NM_1.2"), ("P4", "NM_2.7"), (None, "NM_3.1")], "uniprot_acc string, refseq_acc string")
+    inputs = spark.createDataFrame([(x,) for x in ("NM_1.1", "NM_1.2", "NM_1.9", "NM_1", "NM_2", "NM_3.1", "NM_4.1", None)], "refseq_id string")
+    found = resolve.refseq_to_accession(inputs, refseq)
+    assert len(re.findall(r"Join ", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+    rows = {r.refseq_id: (r.acc, r.n_proteins, r.other_version) for r in found.collect()}
+    assert rows == {"NM_1.1": ("P1", 2, None), "NM_1.2": ("P3", 1, None), "NM_1.9": ("P1", 2, "NM_1.1"), "NM_1": ("P1", 2, "NM_1.1"), "NM_2": ("P4", 1, "NM_2.7"), "NM_3.1": (None, 0, "NM_3.1"), "NM_4.1": (None, 0, None), None: (None, 0, None)}
+    queries.load()
+    for name in ("filter_disease_residue", "filter_experimental_model", "filter_interact"):
+        plan = queries.FUNCTIONS[name](Catalog(spark, SF))._jdf.queryExecution().analyzed().toString()
+        assert plan.index("alt_allele") < plan.index("LeftSemi")
