@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codon import is_snv_pair
 from ..operators import variants as var
+from ..operators.filters import structure_positions
 from ..plans.annotate import merge_json_features
 from ..sources.lineage import cut, shared_folder
 from ..sources.text_input import checksum, lines_of
@@ -42,7 +43,7 @@ def aligned_unnest(t):
 
 @query("SELECT DISTINCT accession, unnest(generate_series(unp_start, unp_end)) AS position FROM {structure}")
 def explode_structure_positions(t):
-    return t["structure"].select("accession", F.explode(F.sequence("unp_start", "unp_end")).alias("position")).distinct()
+    return structure_positions(t["structure"])
 
 
 @query("SELECT chromosome, genomic_position, allele, alt_allele, accession FROM {variants}")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from genoplane import queries, service
-from genoplane.operators import intervals, narrow
+from genoplane.operators import filters, intervals, narrow
 from genoplane.operators import variants as var
 from genoplane.plans import annotate, browse, export, lines, residues, resolve
 from genoplane.sources import fixtures
@@ -273,6 +273,18 @@ def test_features_meet_without_a_union_of_shuffled_parts(spark):
     assert found.count() == 3 * len(want)
 
 
+def test_positions_of_structures_are_not_shuffled(spark):
+    rng = random.Random(3)
+    ranges = [("P1", b, b + rng.randrange(40)) for b in (rng.randrange(300) for _ in range(60))] + [("P2", 5, 9), ("P2", 5, 9), ("P2", 6, 7), ("P2", 12, 11), ("P3", 4, 1), ("P4", None, 3), ("P5", 3, None), (None, 1, 2), (None, 2, 3), ("P6", 2**31 - 3, 2**31 - 1), ("P6", 2**31 - 2, 2**31 - 1)]
+    rows = [tuple(r) for r in filters.structure_positions(spark.createDataFrame(ranges, "accession string, unp_start int, unp_end int")).collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(a, p) for a, b, e in ranges if b is not None and e is not None for p in range(b, e + 1)}
+    queries.load()
+    plan = plan_of(queries.FUNCTIONS["explode_structure_positions"](Catalog(spark, SF)))
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "Exchange" in final and "Exchange" not in final[: final.index("Generate")]
+
+
 def test_derived_popeve_is_not_multiplied_by_the_ids_of_an_accession(spark):
     # P1 has ten ids, of which it shares one with P2, given twice; P3 has none.
     variants = spark.createDataFrame([(a, p, "K", alt, True) for a in ("P1", "P2", "P3") for p in (1, 2) for alt in ("L", "W", "L")], "accession string, protein_position int, protein_seq string, alt_aa string, is_canonical boolean")
