@@ -345,3 +345,16 @@ def test_proteins_meet_residues_not_places(spark):
     assert [x[:4] for x in got[20:]] == [(5, 50, b, True) for b in "CGT"]  # codons that code for nothing neither fit nor fail
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and len(re.findall("Join ", plan)) == 1
+
+
+def test_a_gene_of_many_proteins_has_the_ranges_of_its_chromosomes(spark):
+    rows = [(str(k % 3), k, f"P{k}", 7) for k in range(90)]
+    leading = spark.createDataFrame(rows, "chromosome string, genomic_position int, accession string, protein_position int")
+    scores = spark.createDataFrame([(str(k % 5), 3 * k) for k in range(50)], "chromosome string, position int")
+    am = spark.createDataFrame([("P1", 7)], "accession string, position int")
+    made = browse.narrowed(Catalog(spark, SF, {"cadd": scores, "alphamissense": am}), leading, browse.Request(cadd=["PROBABLY_DELETERIOUS"], am=[1]))
+    assert sorted(map(tuple, made["cadd"].collect())) == sorted((str(k % 5), 3 * k) for k in range(50) if k % 5 < 3 and k % 5 <= 3 * k <= 87 + k % 5)
+    assert made["alphamissense"].count() == 1
+    # Both sides of the joins that a derived table is made of are cut.
+    lookup = narrow.within(Catalog(spark, SF)["mapping_dbsnp_lookup"], "chr", "pos", {"1": (5, 90), "2": (7, 80)})
+    assert lookup._jdf.queryExecution().optimizedPlan().toString().count("<= 90") >= 2
