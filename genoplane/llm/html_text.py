@@ -39,11 +39,11 @@ a skewed host can be split.
 Defined cases. Null or empty html gives empty text. A null url has the empty host.
 An unclosed tag or character reference at the end is dropped or kept as written.
 Very long, very deep and very wide pages are read whole: no walk is recursive, and
-all children are aligned, in memory by the longer of the two lists. Only children of
-one label are weighed against each other; lists with over WEIGHED_CELLS pairs of nodes
-under these are weighed by the children of each, and where even these are too many,
-equal ones by their size and others of one label as one, so that neither time nor memory
-grows with all pairs of subtrees. Of references of one
+all children are aligned by exact weights, whatever their number, in memory by the nodes
+of one of the two lists. Only nodes of one label and depth are weighed against each other;
+lists with over WEIGHED_CELLS pairs of nodes take the same weights from whole levels at
+once, in time by these pairs. Equal alignments are told apart by one rule at every size.
+Of references of one
 size the one of least hash is taken, of layouts with as many pages the least.
 Repeated rows give repeated results and count once; an empty table gives an empty
 result; other columns are not read.
@@ -71,9 +71,9 @@ MIN_PAGES, SHARE, LEAST_SHARE = 3, 0.5, 0.1
 MENU_SHARE = 0.5
 EVERY_PATH = 0
 BROADCAST_BYTES = 8 << 20
-#: Alignments of up to so many cells keep a table; larger ones are halved until they do.
-TABLE_CELLS = 1 << 22
-#: Lists of children are weighed by simple tree matching up to so many pairs of nodes under children of one label.
+#: Alignments of up to so many cells keep a table; of larger ones the first rows of up to PIECES pieces are kept, until they do.
+TABLE_CELLS, PIECES = 1 << 22, 64
+#: Lists of children are weighed pair by pair up to so many pairs of nodes under children of one label; larger ones level by level.
 WEIGHED_CELLS = 1 << 18
 #: Weights that are kept.
 KNOWN_WEIGHTS = 500_000
@@ -271,9 +271,14 @@ def blocks(node: Node, gone=(), names: bool = True, content=()) -> list[tuple[in
 
 
 class Shapes:
-    """Trees as numbers: a shape is a label and the shapes of its children. Weights of simple tree matching are kept by pair."""
+    """Trees as numbers: a shape is a label and the shapes of its children. Weights of simple tree matching are kept by pair.
 
-    def __init__(self) -> None:
+    Exact ones align lists of every size by these weights, and so do all pages of operator 8. Others
+    estimate the weights of lists with over WEIGHED_CELLS pairs of nodes, in time by their children alone.
+    """
+
+    def __init__(self, exact: bool = False) -> None:
+        self.exact = exact
         self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
         self.names: dict[str, int] = {}
         self.labels: list[int] = []
@@ -348,6 +353,16 @@ class Shapes:
         weigh = lambda x, y: self.sizes[x] if x == y else 1
         if cells(self.sizes.__getitem__) <= WEIGHED_CELLS:
             weigh = self.weight
+        elif self.exact:
+            by_level, held = _Levels(self, distinct.tolist()), {}
+            for x in xs:
+                row = held.get(x)
+                if row is None:
+                    row = by_level.weights(x)[at]
+                    if (len(held) + 1) * len(row) <= TABLE_CELLS:
+                        held[x] = row
+                yield row
+            return
         elif cells(lambda x: 1 + len(self.kids[x])) <= WEIGHED_CELLS:
             weigh = self.likeness
         kept: dict[int, np.ndarray] = {}
@@ -362,9 +377,9 @@ class Shapes:
                     kept[x] = row
             yield row
 
-    def scores(self, xs, ys, table: list | None = None) -> np.ndarray:
-        """Best weight of all xs with each beginning of ys; table takes the rows before."""
-        row = np.zeros(len(ys) + 1, dtype=np.int64)
+    def scores(self, xs, ys, table: list | None = None, row: np.ndarray | None = None) -> np.ndarray:
+        """Best weight of all xs with each beginning of ys, after the row of what is before xs; table takes the rows before."""
+        row = np.zeros(len(ys) + 1, dtype=np.int64) if row is None else row
         if len(ys):
             for w in self._rows(xs, ys):
                 if table is not None:
@@ -376,32 +391,36 @@ class Shapes:
         return row
 
     def align(self, xs, ys) -> list[tuple[int, int]]:
-        """Positions paired by a best alignment of two lists of shapes."""
+        """Positions paired by a best alignment of two lists of shapes: of equal ones that which the whole table gives, read from its end."""
         if len(self.known) > KNOWN_WEIGHTS:
             self.known.clear()
-        out, todo = [], [(0, len(xs), 0, len(ys))]
-        while todo:
-            a, b, c, d = todo.pop()
-            while a < b and c < d and xs[a] == ys[c]:
-                out.append((a, c))
-                a, c = a + 1, c + 1
-            while a < b and c < d and xs[b - 1] == ys[d - 1]:
-                b, d = b - 1, d - 1
-                out.append((b, d))
-            if a == b or c == d:
-                continue
-            if (b - a) * (d - c) > TABLE_CELLS and b - a > 1:
-                half = (a + b) // 2
-                front = self.scores(xs[a:half], ys[c:d])
-                back = self.scores(xs[half:b][::-1], ys[c:d][::-1])[::-1]
-                cut = c + int(np.argmax(front + back))
-                todo += [(a, half, c, cut), (half, b, cut, d)]
+        out, a, b, c, d = [], 0, len(xs), 0, len(ys)
+        while a < b and c < d and xs[a] == ys[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and xs[b - 1] == ys[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        # Where each label occurs once a list, in one order, no weight is asked for: a chain of elements is walked once.
+        mine, yours = ([self.labels[k] for k in kids] for kids in (xs[a:b], ys[c:d]))
+        both = set(mine) & set(yours)
+        left, right = ([k for k, label in enumerate(labels) if label in both] for labels in (mine, yours))
+        if len(left) == len(both) and [mine[k] for k in left] == [yours[k] for k in right]:
+            return sorted(out + [(a + i, c + k) for i, k in zip(left, right)])
+        j, todo = d - c, [(a, b, np.zeros(d - c + 1, dtype=np.int64))]
+        while todo and j:
+            top, end, row = todo.pop()
+            row = row[: j + 1]
+            if (end - top) * j > TABLE_CELLS and end - top > 1:
+                step = -(-(end - top) // min(PIECES, -(-(end - top) * j // TABLE_CELLS)))
+                for at in range(top, end, step):
+                    todo.append((at, min(at + step, end), row))
+                    if at + step < end:
+                        row = self.scores(xs[at : at + step], ys[c : c + j], row=row)
                 continue
             table: list[np.ndarray] = []
-            self.scores(xs[a:b], ys[c:d], table)
-            if b - a == 1 and not table:
-                continue
-            i, j = b - a, d - c
+            self.scores(xs[top:end], ys[c : c + j], table, row)
+            i = end - top
             while i and j:
                 here = table[i][j]
                 if here == table[i - 1][j]:
@@ -410,10 +429,78 @@ class Shapes:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    out.append((a + i, c + j))
+                    out.append((top + i, c + j))
         return sorted(out)
 
 
+class _Levels:
+    """The nodes under a list of shapes by depth, to weigh one shape with all of the list at once.
+
+    Simple tree matching pairs nodes of one depth only. What is kept of a level are its different
+    shapes, by label and number of kids (to the next power of two), so memory grows with their nodes.
+    """
+
+    def __init__(self, shapes: Shapes, ys: list[int]) -> None:
+        self.shapes = shapes
+        #: By depth: how many shapes, and by label (their places, places of their kids a level down, filled up with the place behind the last).
+        self.levels: list[tuple[int, dict[int, list[tuple[np.ndarray, np.ndarray]]]]] = []
+        #: Weights by depth and shape, up to TABLE_CELLS numbers.
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
+        self.room = TABLE_CELLS
+        while ys:
+            below = list(dict.fromkeys(k for y in ys for k in shapes.kids[y]))
+            place = {k: n for n, k in enumerate(below)}
+            groups: dict[tuple[int, int], list[int]] = {}
+            for n, y in enumerate(ys):
+                groups.setdefault((shapes.labels[y], (len(shapes.kids[y]) - 1).bit_length() if shapes.kids[y] else -1), []).append(n)
+            of: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for (label, bits), members in groups.items():
+                kids = np.full((len(members), 1 << bits if bits >= 0 else 0), len(below), dtype=np.int64)
+                for n, y in enumerate(members):
+                    mine = shapes.kids[ys[y]]
+                    kids[n, : len(mine)] = [place[k] for k in mine]
+                of.setdefault(label, []).append((np.array(members), kids))
+            self.levels.append((len(ys), of))
+            ys = below
+
+    def weights(self, x: int) -> np.ndarray:
+        """The weights of x with each shape of the list. Kids are added to their parent one by one, so a path of nodes is held."""
+        labels, kids = self.shapes.labels, self.shapes.kids
+        done = None  # the weights of the kid that was left last
+        path: list[list] = [[x, 0, None]]  # shape, kids seen, best weights of these with each beginning of the kids of a group
+        while path:
+            frame = path[-1]
+            shape, depth = frame[0], len(path) - 1
+            size, of = self.levels[depth]
+            groups = of.get(labels[shape], ())
+            if done is not None:
+                if frame[2] is None:
+                    frame[2] = [np.zeros((len(k), k.shape[1] + 1), dtype=np.int64) for _, k in groups]
+                for best, (_, k) in zip(frame[2], groups):
+                    new = np.maximum(best[:, 1:], best[:, :-1] + done[k])
+                    np.maximum.accumulate(new, axis=1, out=best[:, 1:])
+                done = None
+            mine, below = kids[shape], self.levels[depth + 1][1] if depth + 1 < len(self.levels) else {}
+            if groups and below:
+                while frame[1] < len(mine) and labels[mine[frame[1]]] not in below:
+                    frame[1] += 1
+                if frame[1] < len(mine):
+                    kid = mine[frame[1]]
+                    frame[1] += 1
+                    done = self.kept.get((depth + 1, kid))
+                    if done is None:
+                        path.append([kid, 0, None])
+                    continue
+            done = np.zeros(size + 1, dtype=np.int64)
+            for n, (members, _) in enumerate(groups):
+                done[members] = 1 if frame[2] is None else 1 + frame[2][n][:, -1]
+            if depth and len(done) <= self.room:
+                self.kept[depth, shape] = done
+                self.room -= len(done)
+            path.pop()
+        return done[:-1]
+
+
 def kinds(node: Node) -> list:
     return [c for c in node.children if not isinstance(c, str) or c.strip()]
 
@@ -432,9 +519,9 @@ def _post_order(node: Node):
 def tree_match(a: Node, b: Node) -> tuple[int, list]:
     """Simple tree matching: (size of the largest top-down alignment that keeps order, its pairs of text nodes).
 
-    Pairs are (path, text of a, text of b). All children are aligned; the size is exact up to WEIGHED_CELLS.
+    Pairs are (path, text of a, text of b). All children are aligned.
     """
-    shapes, of = Shapes(), {}
+    shapes, of = Shapes(exact=True), {}
     text = shapes.number("#text", ())
     number = lambda c: text if isinstance(c, str) else of[id(c)]
     for tree in (a, b):
@@ -657,7 +744,7 @@ def is_constant(pages, of_path, of_scope):
 def induce(sources: list[str]) -> dict:
     """The wrapper of pages of one host (and no section): keys of its constants, and its layouts by decreasing pages."""
     sources = list(dict.fromkeys(s for s in sources if s))
-    shapes, trees = Shapes(), [parse(s) for s in sources]
+    shapes, trees = Shapes(exact=True), [parse(s) for s in sources]
     found = [entries(t) for t in trees]
     counts = Counter(e for page in found for e in page)
     constants = sorted(y for (x, y), n in counts.items() if x != y and is_constant(n, counts[x, x], len(found)))
@@ -687,7 +774,7 @@ class Wrapper:
     def __init__(self, spec: dict | None):
         spec = spec or {}
         self.constants = set(spec.get("constants") or ())
-        self.shapes = Shapes()
+        self.shapes = Shapes(exact=True)
         self.layouts = {layout: (unflat(reference, self.shapes), set(gone), set(content)) for layout, reference, gone, content in spec.get("layouts") or ()}
         self.largest = next(iter(self.layouts), None)
 
@@ -783,14 +870,14 @@ def _layouts(read: DataFrame) -> DataFrame:
     groups = written(groups, "references")
 
     def make():
-        shapes, known = Shapes(), {}
+        shapes, known = Shapes(exact=True), {}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal shapes
             out: tuple[list, ...] = tuple([] for _ in range(7))
             for host, layout, tree, stats, reference in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if len(shapes.known) > KNOWN_WEIGHTS or len(known) > 1000:
-                    shapes = Shapes()
+                    shapes = Shapes(exact=True)
                     known.clear()
                 if reference not in known:
                     known[reference] = unflat(reference, shapes)

@@ -345,6 +345,34 @@ def test_wide_pages_of_different_children():
     assert len(shapes.known) < html_text.KNOWN_WEIGHTS
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 50, 1])
+def test_alignments_do_not_depend_on_a_switch_by_size(cells, monkeypatch):
+    """The weights and pairs of small lists, whichever way they are made; equal alignments are told apart in one way."""
+    rng = random.Random(6)
+    source = lambda t: f"<x{t[0]}>{''.join(map(source, t[1]))}</x{t[0]}>"
+    trees = [("r", [random_tree(rng) for _ in range(rng.choice([2, 9]))]) for _ in range(120)]
+    for a, b in zip(trees[::2], trees[1::2]):
+        pages = [html_text.parse(source(t)) for t in (a, b)]
+        found = []
+        for weighed, table in ((1 << 40, 1 << 40), (-1, cells)):
+            monkeypatch.setattr(html_text, "WEIGHED_CELLS", weighed)
+            monkeypatch.setattr(html_text, "TABLE_CELLS", table)
+            shapes = html_text.Shapes(exact=True)
+            number = lambda t: shapes.number(t[0], tuple(map(number, t[1])))
+            xs, ys = ([number(t) for t in tree[1]] for tree in (a, b))
+            found.append((html_text.tree_match(*pages)[0], shapes.align(xs, ys), [row.tolist() for row in shapes._rows(xs, ys)]))
+        assert found[0] == found[1] and found[0][0] == brute_match(a, b) + 1
+        assert sum(found[1][2][i][j] for i, j in found[1][1]) + 1 == brute_match(a, b)
+
+
+def test_long_lists_are_aligned_by_exact_weights():
+    """Far over WEIGHED_CELLS: the weights of the definition, and a template block is found by what is in it, as it is in a short list."""
+    rng = random.Random(7)
+    trees = [("r", [("d", [(rng.choice("abcd"), []) for _ in range(8)]) for _ in range(400)]) for _ in range(2)]
+    source = lambda t: f"<x{t[0]}>{''.join(map(source, t[1]))}</x{t[0]}>"
+    assert html_text.tree_match(*(html_text.parse(source(t)) for t in trees))[0] == brute_match(*trees) + 1
+
+
 def test_all_frequent_tokens_of_a_url_are_mined(spark):
     # Fifteen query names, each on other URLs; x, on the most of them, was beyond the twelve rarest.
     names = [f"q{k}" for k in range(14)]
