@@ -62,7 +62,7 @@ _LONG = """SELECT 'CONSERV' AS score_type, accession, position, CAST(NULL AS VAR
 
 @query(f"SELECT s.* FROM ({_LONG}) s SEMI JOIN {{population}} p ON p.accession = s.accession AND p.position = s.position")
 def batch_scores_long(t):
-    return scores_long(t).join(t["population"].select("accession", "position"), ["accession", "position"], "left_semi").select("score_type", "accession", "position", "mt_aa", "score", "class")
+    return scores_long(t, t["population"].select("accession", "position")).select("score_type", "accession", "position", "mt_aa", "score", "class")
 
 
 @query(f"SELECT s.score_type, s.mt_aa, s.score, s.class FROM ({_LONG}) s WHERE s.accession = 'P00000' AND s.position = 10206")

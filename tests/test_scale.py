@@ -358,3 +358,27 @@ def test_a_gene_of_many_proteins_has_the_ranges_of_its_chromosomes(spark):
     # Both sides of the joins that a derived table is made of are cut.
     lookup = narrow.within(Catalog(spark, SF)["mapping_dbsnp_lookup"], "chr", "pos", {"1": (5, 90), "2": (7, 80)})
     assert lookup._jdf.queryExecution().optimizedPlan().toString().count("<= 90") >= 2
+
+
+@pytest.mark.parametrize("name", ["batch_scores_long", "annotate_function", "join_popeve_twohop"])
+def test_scores_of_residues_are_shuffled_by_residue_only(spark, name):
+    """What derives the scores is cut at the residues asked for: no table of changes is shuffled whole. Links of popEVE meet the mapping, not variants."""
+    queries.load()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "5000")  # the codons
+    try:
+        plan = queries.FUNCTIONS[name](Catalog(spark, "/root/testdata/sf0.1"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = re.findall(r"hashpartitioning\((.*), \d+\)", plan)
+    assert any(keys.startswith("of#") for keys in shuffled)
+    assert name == "join_popeve_twohop" or all(keys.count("#") <= 2 for keys in shuffled)
+
+
+def test_scores_of_residues_are_those_of_the_whole(spark):
+    """Derived, given as tables, and of popEVE or variants that are given: the same rows."""
+    t = Catalog(spark, SF)
+    residues = t["population"].select("accession", "position").filter("position % 7 = 3")
+    want = sorted(map(str, annotate.scores_long(t).join(residues, ["accession", "position"], "left_semi").select("score_type", "accession", "position", "mt_aa", "score", "class").collect()))
+    for given in ([], list(annotate.PROTEIN_SCORES), ["popeve"], ["variants"]):
+        u = Catalog(spark, SF, {name: t[name] for name in given})
+        assert sorted(map(str, annotate.scores_long(u, residues).collect())) == want
