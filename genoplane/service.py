@@ -13,7 +13,7 @@ from .operators import groupwise, narrow, vector
 from .plans import annotate, browse, export, residues, resolve
 from .plans.lines import Resolved, invalid_lines, parse_lines, resolve_all, resolve_lines, unmapped_lines
 from .sources.catalog import Catalog
-from .sources.lineage import cut
+from .sources.lineage import cut, stored
 
 __all__ = ["Service", "annotate_lines", "download_lines", "invalid_lines", "ordered_download", "parse_lines", "resolve_lines", "unmapped_lines", "write_download"]
 
@@ -45,15 +45,19 @@ def ordered_download(lines: DataFrame, t: Catalog, assembly: str | None = "GRCH3
     names (one, if it names none), an invalid one a row with its messages. Line numbers must be distinct.
     """
     done = resolve_all(lines, t, assembly)
-    said = cut(_notes(done))
-    core = cut(annotate_variants(done.variants, t, ["line_no", "warnings"]))  # read for genes and for lines that have none
-    genes = export.full_rows(core, t, ["line_no", "warnings"], every_gene)
-    lost = done.places.join(core.select("line_no", "chromosome", "genomic_position").distinct(), ["line_no", "chromosome", "genomic_position"], "left_anti")
-    lost = lost.select("line_no", "chromosome", "genomic_position", F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"), F.col("notes").alias("warnings"))
-    rows = genes.unionByName(lost, allowMissingColumns=True)
+    variants = stored(done.variants)
+    places = narrow.Keys(variants, "chromosome", "genomic_position", peek=True)
+    near = annotate.narrowed(t, variants, places)
+    core = annotate.annotate_core(variants, near, ["line_no", "warnings"], scores=False)
+    genes = export.with_places(export.gene_rows(core, ["line_no", "warnings"], every_gene), near).withColumn("found", F.lit(True))
+    # All that a line has meets by its number, while rows are narrow: genes, places without any, what was said, and the line itself.
+    named = done.places.select("line_no", "chromosome", "genomic_position", F.col("ref").alias("allele"), F.col("alt").alias("alt_allele"), F.col("notes").alias("warnings"))
+    rows = genes.repartition("line_no").unionByName(named.repartition("line_no"), allowMissingColumns=True)
+    mapped = F.max("found").over(Window.partitionBy("line_no", "chromosome", "genomic_position"))
+    rows = rows.withColumn("mapped", mapped).filter("found OR mapped IS NULL").drop("found", "mapped")
     about = done.parsed.select("line_no", F.col("line").alias("input"), F.coalesce(F.when(F.col("type") == "VARIANT_ID", F.trim("line")), "vcf_id").alias("input_id"), F.struct("chr", "pos", "ref", "alt", "type").alias("given"))
     # Outer: lines that name no place keep their row.
-    rows = about.join(said, "line_no", "left").join(rows, "line_no", "left")
+    rows = about.join(_notes(done), "line_no", "left").join(rows, "line_no", "left")
     named = F.col("chromosome").isNull() & (F.col("given.type") == "GENOMIC")
     for own, of in {"chromosome": "chr", "genomic_position": "pos", "allele": "ref", "alt_allele": "alt"}.items():
         rows = rows.withColumn(f"__{own}", F.when(named, F.col("given")[of]).otherwise(F.col(own)))
@@ -62,8 +66,13 @@ def ordered_download(lines: DataFrame, t: Catalog, assembly: str | None = "GRCH3
     notes = F.array_distinct(F.concat(F.coalesce("said", F.array().cast("array<string>")), F.coalesce("warnings", F.array().cast("array<string>"))))
     wrong = F.exists(notes, lambda n: n.startswith("ERROR:"))
     notes = F.when(F.col("accession").isNull() & ~wrong, F.concat(notes, F.array(F.lit(export.NO_MAPPING)))).otherwise(notes)
-    number = F.row_number().over(Window.partitionBy("line_no").orderBy("chromosome", "genomic_position", "allele", "alt_allele", "gene_name", "ensg", "warnings"))
-    rows = rows.withColumn("notes", F.array_join(notes, ";")).withColumn("seq", number)
+    # A row is numbered behind the rows that those before it in its line give: one for each header of their accession, which multiply them last.
+    proteins = narrow.Keys(near["mapping"], *export.RESIDUE) if places.small else None
+    several = stored(export.entries(t, proteins, distinct=True).select("accession", F.size("entries").alias("n_entries")).filter("n_entries > 1"))
+    before = Window.partitionBy("line_no").orderBy("chromosome", "genomic_position", "allele", "alt_allele", "gene_name", "ensg", "warnings").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("notes", F.array_join(notes, ";")).join(several, "accession", "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n_entries", F.lit(1))).over(before), F.lit(0)))
+    rows = stored(rows.drop("given", "said", "warnings", "n_entries"))
+    rows = export.with_cells(rows, t, distinct=True).withColumn("seq", (F.col("before") + F.col("entry_no") + 1).cast("int"))
     return export.csv_rows(rows, ORDER)
 
 

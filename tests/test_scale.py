@@ -423,3 +423,25 @@ def test_ids_of_the_same_accessions_multiply_coding_inputs_last(spark, tmp_path)
         assert {(r.acc, r.n_proteins) for r in queries.FUNCTIONS["coding_to_protein"](t).filter("refseq_id = 'NP_a.1'").collect()} == {("P1", 2)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cells_are_made_after_the_last_shuffle_and_bad_headers_give_no_row(spark):
+    head = '{"proteinExistence":"%s"}'
+    tables = {
+        "function_header": spark.createDataFrame([("P1", head % "first"), ("P1", head % "second"), ("P1", head % "second"), ("P1", "{bad"), ("P2", "{bad")], "accession string, header_json string"),
+        "conserv_score": spark.createDataFrame([("P1", 3, "K", 0.5)], "accession string, position int, aa string, score double"),
+    }
+    lacking = {name: spark.createDataFrame([], schema) for name, schema in RESIDUE_TABLES.items() if name not in tables}
+    t = Catalog(spark, SF, {**lacking, **tables})
+    rows = spark.createDataFrame([("1", 7, "A", "C", "P1", 3, "R"), ("1", 8, "A", "C", "P2", 3, "R"), ("1", 9, "A", "C", None, None, None)], "chromosome string, genomic_position int, allele string, alt_allele string, accession string, protein_position int, alt_aa string")
+    shown = ["Conservation_score", "Protein_existence_evidence"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        full = export.with_cells(rows, t, shown)
+        got = sorted((r.genomic_position, r.entry_no, r.existence, r.conservation_score) for r in full.collect())
+        assert got == [(7, 0, "first", 0.5), (7, 1, "second", 0.5), (7, 2, "second", 0.5), (8, 0, None, None), (9, 0, None, None)]
+        assert [r.entry_no for r in export.with_cells(rows, t, shown, distinct=True).filter("genomic_position = 7").orderBy("entry_no").collect()] == [0, 1]
+        final = plan_of(full).split("Initial Plan")[0]
+        assert "Window" in final and "Exchange" not in final[: final.index("Window")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
