@@ -445,3 +445,8 @@ def test_cells_are_made_after_the_last_shuffle_and_bad_headers_give_no_row(spark
         assert "Window" in final and "Exchange" not in final[: final.index("Window")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_export_has_all_cells():
+    queries.load()
+    assert all(f'AS "{name}"' in queries.TEXTS["csv_export_rows"] for name in export.HEADER)
